@@ -31,7 +31,7 @@ TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{TOKEN_LEAST},}}+"
 #: Nats by which a random string must be likelier than an identifier.
 THRESHOLD = 8.0
 #: Bound of the labelled sample: documents whose words serve as identifiers.
-SAMPLE_DOCS = 2000
+SAMPLE_DOCS = 300
 RANDOM_ROWS = 2000
 #: Matches whose positions are summed in one go.
 CHUNK = 256
