@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, secrets, sharding, url_filters
+from . import exact_dedup, mixing, near_dedup, secrets, sharding, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mix_sources": lambda s, d: mixing.op4(table(s, d, "documents")),
         "op5_secret_scan": lambda s, d: secrets.op5(table(s, d, "documents")),
         "op6_label_shards": lambda s, d: sharding.op6(table(s, d, "documents")),
+        "op7_near_dedup": lambda s, d: near_dedup.op7(table(s, d, "documents")),
         "op8_exact_dedup": lambda s, d: exact_dedup.op8(table(s, d, "documents")),
         "op10_url_filters": lambda s, d: url_filters.op10(table(s, d, "pages")),
     }
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mix_sources": mixing.ORACLE,
+        "op7_near_dedup": lambda s, d: near_dedup.op7(table(s, d, "documents")),
         "op8_exact_dedup": exact_dedup.ORACLE,
         "op10_url_filters": url_filters.ORACLE,
     }
