@@ -13,12 +13,7 @@ their texts; a candidate is only set aside unread when its weights, or
 all coordinates together, rule out the threshold (five standard errors).
 
 1. Texts with equal shingle counts are one node.
-2. In each band bucket every node is paired with the bucket's smallest.
-3. Verified pairs are links; their components are classes.
-4. In buckets that still hold several classes, rows outside the largest
-   class meet all rows of other classes.  Pairs of classes are tried with
-   their most similar candidates first, then with all that are left, until
-   every pair is linked, in one class, or verified not to be similar.
+2. Nodes that share a band bucket are linked as ``linking`` describes.
 
 Bands miss a pair at the threshold with a probability below 1e-6 (see
 BANDS); nothing else loses a link.
@@ -37,11 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from . import linking
 from . import textkernel as K
 from .common import written
-from .graph import components
 
 THRESHOLD = 0.8
 #: 36 bands of 5: a pair of similarity 0.8 is missed with probability (1 - 0.8**5)**36 = 6e-7.
@@ -51,8 +45,6 @@ COORDS = BANDS * ROWS
 DARTS = COORDS * (np.log(COORDS) + 4)
 #: Pairs whose coordinates agree less often than this are set aside: 0.8 less five standard errors.
 LEAST = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / COORDS) ** 0.5
-#: Candidates of a pair of classes that are verified in the first rounds of step 4.
-TRIES = (4, 64)
 #: Rows of a narrow side up to which it is broadcast, at 8 bytes a key.
 SMALL = 1_000_000
 
@@ -216,49 +208,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Rows are numbered in the written table; joining on the number spreads equal texts.
     first = written(signed.where("weight > 0").groupBy("node").agg(F.min("row").alias("row")).select("row"), "near-firsts")
     nodes = written(signed.join(first, "row").select("node", "weight", "bands", "coords"), "near-nodes")
-    banded = nodes.select("node", "weight", F.posexplode("bands").alias("i", "band")).select("node", "weight", F.xxhash64("i", "band").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("band", "least")
-    met = written(banded.join(shared, "band"), "near-buckets")
-    light = F.least("wa", "wb") >= THRESHOLD * F.greatest("wa", "wb")
-    weights = nodes.select("node", "weight")
-    star = met.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"), F.col("weight").alias("wb")).distinct()
-    star = star.join(weights.select(F.col("node").alias("a"), F.col("weight").alias("wa")), "a").where(light).select("a", "b")
+    keyed = nodes.select("node", "weight", F.posexplode("bands").alias("i", "band")).select("node", "weight", F.xxhash64("i", "band").alias("band"))
     texts = _Texts(docs, signed)
-    tried = written(_promising(star, nodes), "near-star")
-    links = texts.links(tried.select("a", "b"))
-    comp = written(components(links), "near-classes")
-    # Buckets that hold several classes: rows outside the largest meet the others.
-    placed = met.join(comp, "node", "left").select("band", "node", "weight", F.coalesce("comp", "node").alias("comp"))
-    placed = written(placed, "near-placed")
-    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
-    mixed = written(placed.join(main.select("band", "main"), "band"), "near-mixed")
-    stray = mixed.where("comp != main").select("band", F.col("node").alias("x"), F.col("weight").alias("wa"), F.col("comp").alias("cx"))
-    others = mixed.select("band", F.col("node").alias("y"), F.col("weight").alias("wb"), F.col("comp").alias("cy"))
-    across = stray.join(others, "band").where(light & (F.col("cx") != F.col("cy")))
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    left = written(_promising(across, nodes), "near-across")
-    for most in (*TRIES, None):
-        left = _between(left, comp)
-        if left.isEmpty():
-            break
-        now = left if most is None else left.withColumn(
-            "k", F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.desc("agree"), "a", "b"))
-        ).where(F.col("k") <= most).drop("k")
-        now = written(now.select("a", "b"), "near-tries")
-        links = links.unionByName(texts.links(now))
-        comp = written(components(links), "near-classes")
-        left = left.join(now, ["a", "b"], "left_anti")
-    return signed, comp
-
-
-def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs whose nodes are in different classes, with the classes."""
-    for c in "ab":
-        side = comp.select(F.col("node").alias(c), F.col("comp").alias(f"_{c}"))
-        pairs = pairs.join(side, c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
-    pairs = pairs.where("_a != _b").select("a", "b", "agree", F.least("_a", "_b").alias("ca"), F.greatest("_a", "_b").alias("cb"))
-    return written(pairs, "near-left")
+    return signed, linking.classes(keyed, THRESHOLD, lambda pairs: _promising(pairs, nodes), texts.links)
 
 
 def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -77,12 +77,13 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, np.flatnonzero(inside & (~after | first[1:])) + 1
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of each word, and each text's first word (n + 1 values).
 
-    Words are divided by white space; A-Z count as a-z.
+    `inside` tells for each byte whether words hold it; by default they
+    are divided by white space.  A-Z count as a-z.
     """
-    starts, ends = spans(data, offsets, ~_SPACE[data])
+    starts, ends = spans(data, offsets, inside[data])
     up, down = _power(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUE[_LOWER[data]] * up[: len(data)], out=sums[1:])
