@@ -84,7 +84,7 @@ class Pieces:
         for text, item, at in [*sorted(self.hits(hashes, firsts)), (-1, -1, 0)]:
             k, n = (self.items[item][3], len(self.items[item][1])) if item >= 0 else (0, 0)
             low, high = at - k, at + n + k
-            if last and last[:2] == (text, item) and low <= last[3]:
+            if last and (last[0], last[1]) == (text, item) and low <= last[3]:
                 last[3] = max(last[3], high)
                 continue
             if last:

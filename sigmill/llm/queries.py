@@ -32,12 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_line_dedup": lambda s, d: line_dedup.op1(table(s, d, "documents")),
-        "op2_language_id": lambda s, d: language_id.op2(table(s, d, "documents")),
-        "op3_decontaminate": lambda s, d: decontaminate.op3(table(s, d, "documents"), table(s, d, "benchmark")),
         "op4_mix_sources": mixing.ORACLE,
-        "op7_near_dedup": lambda s, d: near_dedup.op7(table(s, d, "documents")),
         "op8_exact_dedup": exact_dedup.ORACLE,
-        "op9_token_counts": lambda s, d: token_counts.op9(table(s, d, "documents")),
         "op10_url_filters": url_filters.ORACLE,
     }
