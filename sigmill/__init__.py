@@ -1,0 +1 @@
+"""Analytics on industrial sensor signals, as Spark DataFrames keyed by series."""
