@@ -118,7 +118,7 @@ def oversampled(spark, d):
     ids = ev.select("series_id").distinct()
     grid = _grid(spark, d).withColumn("series_id", F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 3)]))).join(ids, "series_id", "left_semi")
     before, after = O.oversample(ev, grid), O.next_hold(ev, grid)
-    return before.select("series_id", "ts", F.col("k").alias("k_before"), r(F.col("x")).alias("x_before")).join(
+    return before.select("series_id", "ts", F.coalesce("k", F.lit(-1)).alias("k_before"), r(F.col("x")).alias("x_before")).join(
         after.select("series_id", "ts", F.col("k").alias("k_after")), ["series_id", "ts"]
     )
 
@@ -128,7 +128,7 @@ g as (select series_id, timestamp '2024-01-01' + to_hours(range::int) as ts from
 b as (select g.series_id, g.ts, e.k, e.x from g asof left join e on g.series_id = e.series_id and g.ts >= e.ts),
 a as (select g.series_id, g.ts, e.k from g asof left join e on g.series_id = e.series_id and g.ts <= e.ts),
 l as (select series_id, max(k) as k from e group by 1)
-select b.series_id, b.ts, b.k as k_before, round(b.x, 6) as x_before, coalesce(a.k, l.k) as k_after from b join a on a.series_id = b.series_id and a.ts = b.ts join l on l.series_id = b.series_id"""
+select b.series_id, b.ts, coalesce(b.k, -1) as k_before, round(b.x, 6) as x_before, coalesce(a.k, l.k) as k_after from b join a on a.series_id = b.series_id and a.ts = b.ts join l on l.series_id = b.series_id"""
 
 
 def index_at(spark, d):
