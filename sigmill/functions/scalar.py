@@ -170,7 +170,7 @@ def steady_input(y: Column, bias: float, gain: float, u0: float = 0.0, curvature
     a = curvature / unorm
     square = gain * gain + 4 * a * rest
     root = lambda sign: (-gain + sign * F.sqrt(F.greatest(square, F.lit(0.0)))) / (2 * a)
-    return F.when(square > 0, F.least(root(1), root(-1))).otherwise(-gain / (2 * a)) + u0
+    return F.when(square > 0, F.least(root(1), root(-1))).when(square <= 0, -gain / (2 * a)) + u0
 
 
 def select(inputs: list[Column], kind: str) -> Column:

@@ -1,5 +1,243 @@
-"""Queries of models, simulation and identification."""
+"""Queries of models, simulation, identification and streaming."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..functions import scalar as S
+from ..operators import recursive as C
+from ..operators import series as O
+from ..plans import identify as I
+from ..plans import models as M
+from ..plans import plant as P
+from ..sources import files
+from ..sources.plants import plant_to_json
+from ..streaming import stateful as T
+from .base import BAD_EVERY, EVENTS, events, r, table
+
+
+def static_models(spark, d):
+    x = F.col("x")
+    y = S.steady_state([x, F.col("k").cast("double")], 5.0, [1.5, -0.25], [10.0, 0.0], [0.02, 0.0])
+    prev = F.lag("x").over(O.W)
+    return events(spark, d).select(
+        "series_id", "k", r(y).alias("y"), r(S.steady_input(x, 5.0, 1.5, 2.0)).alias("u_linear"), r(S.steady_input(x, 5.0, 1.5, 2.0, -0.01)).alias("u_curved"),
+        r(S.integrated_gain(20.0, x, [30.0, 60.0], [1.0, 2.0, 0.5])).alias("integral"), r(S.select([x, prev], "MIN")).alias("least"),
+        r(S.select([x, prev], "MAX")).alias("most"), r(S.divide_model(x, prev, 2.0, 0.1, 50)).alias("divided"),
+    )
+
+
+_SQ = "2.25::double - 0.04 * (x - 5)"
+STATIC_MODELS = f"""with {EVENTS}, q as (select *, lag(x) over (partition by series_id order by k) as p from s)
+select series_id, k, round(5 + 1.5 * (x - 10) + 0.02 * (x - 10) * (x - 10) - 0.25 * k, 6) as y, round((x - 5) / 1.5 + 2, 6) as u_linear,
+round(case when x is null then null when {_SQ} > 0 then least((-1.5 + sqrt(greatest({_SQ}, 0))) / -0.02::double, (-1.5 - sqrt(greatest({_SQ}, 0))) / -0.02::double) else 75 end + 2, 6) as u_curved,
+round((least(x, 30) - 20) * 1.0 + (least(greatest(x, 30), 60) - 30) * 2.0 + (greatest(x, 60) - 60) * 0.5 + (case when x is null then null else 0 end), 6) + 0.0 as integral,
+round(least(x, p), 6) as least, round(greatest(x, p), 6) as most,
+round(case when x / nullif(p, 0) is null then -9999 else greatest(least(2 * x / p, 50), 0.1) end, 6) as divided from q"""
+
+
+def unit_step(spark, d):
+    """A first-order process with a delay of two samples, driven by each series."""
+    p = M.UnitParameters([0.8], 2.0, 4.0, 2.0, u0=[10.0])
+    out = C.filtered(events(spark, d), lambda: lambda v, m=M.UnitModel("m", p, ["u"], "y"): m.step([v], 1.0)[0])
+    return out.select("series_id", "k", r(F.col("y")).alias("y"))
+
+
+_FILLED = """f as (select series_id, k, coalesce(last_value(x ignore nulls) over (partition by series_id order by k rows between unbounded preceding and current row),
+  first_value(x ignore nulls) over (partition by series_id order by k rows between current row and unbounded following)) as x from s)"""
+UNIT_STEP = f"""with recursive {EVENTS}, {_FILLED}, t as (select series_id, k, 2 + 0.8 * (x - 10) as x from f),
+g as (select 0::bigint as k, series_id, x as y from t where k = 0
+ union all select t.k, t.series_id, g.y * 0.8::double + t.x * (1 - 0.8::double) from g join t on t.series_id = g.series_id and t.k = g.k + 1)
+select series_id, k, round(case when k < 2 then y else lag(y, 2) over (partition by series_id order by k) end, 6) as y from g"""
+
+
+def pid_step(spark, d):
+    """A PI controller on each series with a fixed set point."""
+    p = M.PidParameters(0.3, 25.0)
+    out = C.filtered(events(spark, d), lambda: lambda v, c=M.PidController(p, 1.0): c.step(v, 50.0), ignore_missing=False)
+    return out.select("series_id", "k", r(F.col("y")).alias("u"))
+
+
+PID_STEP = f"""with recursive {EVENTS}, g as (select -1::bigint as k, series_id, 0.0::double as u, 0.0::double as e from s where k = 0
+ union all select s.k, s.series_id, case when x is null then g.u else least(100, greatest(0, g.u + 0.3 * ((50 - x) - g.e) + 0.3 / 25::double * (50 - x))) end,
+ case when x is null then g.e else 50 - x end from g join s on s.series_id = g.series_id and s.k = g.k + 1)
+select series_id, k, round(u, 6) as u from g where k >= 0"""
+
+
+def loop_plant() -> P.Plant:
+    process = M.UnitModel("Process", M.UnitParameters([1.0], 5.0, 10.0, 5.0), ["Pid-U"], "Process-Y", ["D"])
+    pid = M.PidModel("Pid", M.PidParameters(0.5, 20.0), ["Process-Y", "Yset"], "Pid-U")
+    return P.Plant([pid, process], "loop")
+
+
+def serial_plant() -> P.Plant:
+    first = M.UnitModel("First", M.UnitParameters([1.0, 0.5], 5.0, 10.0, 5.0), ["Yset", "D"], "First-Y")
+    second = M.UnitModel("Second", M.UnitParameters([1.1], 5.0, 20.0, 10.0, curvatures=[0.01], u0=[50.0]), ["First-Y"], "Second-Y")
+    most = M.SelectModel("Most", "MAX", ["First-Y", "Second-Y"], "Most-Y")
+    return P.Plant([first, second, most], "serial")
+
+
+def scenario_inputs(spark, d, plants, n=200):
+    """A scenario for each customer segment's share: set point steps and disturbances by id."""
+    ids = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("scenario_id"))
+    k, s = F.col("k"), F.col("scenario_id")
+    return ids.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).select(
+        F.explode(F.array(*map(F.lit, plants))).alias("plant_id"), "scenario_id", "k",
+        F.when(k < 50, 50.0).otherwise(50.0 + s / 5.0).alias("Yset"), F.when(k < 120, 0.0).otherwise((s % 7 - 3).cast("double")).alias("D"),
+    )
+
+
+def simulated(spark, d):
+    plants = {"loop": plant_to_json(loop_plant()), "serial": plant_to_json(serial_plant())}
+    out = P.simulate(scenario_inputs(spark, d, list(plants)), plants, 1.0)
+    return out.select("plant_id", "scenario_id", "k", "signal", r(F.col("value"), 5).alias("value"))
+
+
+def _loops(spark, d):
+    plants = {"loop": plant_to_json(loop_plant())}
+    sim = P.simulate(scenario_inputs(spark, d, list(plants)), plants, 1.0)
+    wide = sim.groupBy("scenario_id", "k").pivot("signal", ["Pid-U", "Process-Y"]).agg(F.first("value"))
+    given = scenario_inputs(spark, d, list(plants)).select("scenario_id", "k", "Yset", "D")
+    rows = wide.join(given, ["scenario_id", "k"]).where("scenario_id > 0")
+    return rows.select(F.col("scenario_id").alias("series_id"), "k", F.col("Pid-U").alias("u"), F.col("Process-Y").alias("y"), "Yset", F.col("D").alias("given"))
+
+
+def _found(df):
+    return df.select("series_id", "kind", "able", r(F.col("fit_score"), 3).alias("fit_score"), "params")
+
+
+def identified_units(spark, d):
+    rows = scenario_inputs(spark, d, ["serial"]).where("scenario_id > 0").select(F.col("scenario_id").alias("series_id"), "k", F.col("Yset").alias("u"), "D")
+
+    def estimate(pdf):
+        m = M.UnitModel("m", M.UnitParameters([1.5, 0.7], 5.0, 6.0, 3.0, u0=[50.0, 0.0]), ["u", "d"], "y")
+        u = pdf[["u", "D"]].to_numpy(float)
+        y = P.simulate_single(m, [u[:, 0], u[:, 1]], 1.0)
+        return I.identify_unit(y, u, 1.0)[0]
+
+    return _found(I.per_series(rows, estimate, ["u", "D"]))
+
+
+def identified_pids(spark, d):
+    return _found(I.per_series(_loops(spark, d), lambda p: I.identify_pid(p["y"], p["Yset"], p["u"], 1.0)[0], ["u", "y", "Yset"]))
+
+
+def identified_loops(spark, d):
+    pid = M.PidParameters(0.5, 20.0)
+    return _found(I.per_series(_loops(spark, d).where("series_id < 6"), lambda p: I.identify_closed_loop(p["y"], p["Yset"], p["u"], 1.0, pid)[0], ["u", "y", "Yset"]))
+
+
+def identified_schedules(spark, d):
+    rows = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("series_id")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(319).cast("long"))))
+
+    def estimate(pdf):
+        s = int(pdf["series_id"].iloc[0])
+        u = np.floor(pdf["k"].to_numpy() / 20)
+        g = M.GainSchedParameters([[1.0], [2.0 + s]], [7.0], [3.0], operating_u=5.0, operating_y=10.0)
+        y = P.simulate_single(M.GainSchedModel("g", g, ["u"], "y"), [u], 1.0)
+        return I.identify_gain_sched(y, u, 1.0, coarse=20, fine=10)[0]
+
+    return _found(I.per_series(rows, estimate, []))
+
+
+def disturbances(spark, d):
+    """The disturbance of each loop, from the known process; the last value is the true one."""
+    model = M.UnitParameters([1.0], 5.0, 10.0, 5.0)
+    loops = _loops(spark, d)
+
+    def one(pdf):
+        pdf = pdf.sort_values("k")
+        pdf["d"] = I.disturbance(pdf["y"], pdf["u"], model, 1.0)
+        return pdf[["series_id", "k", "d", "given"]]
+
+    out = loops.groupBy("series_id").applyInPandas(one, "series_id bigint, k bigint, d double, given double")
+    return out.groupBy("series_id").agg(r(F.max_by("d", "k"), 3).alias("last"), r(F.max_by("given", "k"), 3).alias("true"))
+
+
+DISTURBANCES = """select n_nationkey as series_id, (n_nationkey % 7 - 3)::double as last, (n_nationkey % 7 - 3)::double as true from nation where n_nationkey > 0"""
+
+
+def shifted_correlations(spark, d):
+    ev = events(spark, d).where("series_id < 20").withColumn("x", F.coalesce("x", F.lit(50.0)))
+    low = C.low_pass(ev, 4.0).withColumn("late", F.lag("y", 2).over(O.W)).withColumn("late", F.coalesce("late", "y"))
+    out = I.strongest_shifts(low, "late", ["x", "y"], 1.0)
+    return out.select("series_id", "signal", r(F.col("corr"), 4).alias("corr"), r(F.col("time_constant_s"), 3).alias("time_constant_s"), "delay_s")
+
+
+def graph_closure(spark, d):
+    """All models downstream of each model of a plant, by joins on its edges."""
+    plant = serial_plant()
+    edges = spark.createDataFrame(sorted(plant.edges), "a string, b string")
+    reach = edges
+    for _ in range(max(1, len(plant.models) - 1).bit_length()):
+        more = reach.alias("x").join(reach.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
+        reach = reach.unionByName(more).distinct()
+    return reach.orderBy("a", "b")
+
+
+GRAPH = "select * from (values ('First', 'Second'), ('First', 'Most'), ('Second', 'Most')) as t(a, b)"
+
+
+def steady_sweep(spark, d):
+    """Steady state output over a range of inputs: the data of a gain plot."""
+    g = M.GainSchedParameters([[1.0], [2.0], [0.5]], [30.0, 60.0], operating_u=20.0, operating_y=5.0)
+    x = F.col("id").cast("double")
+    y = S.integrated_gain(g.operating_u, x, g.thresholds, [v[0] for v in g.gains]) + g.operating_y
+    return spark.range(101).select(x.alias("u"), r(y).alias("y"))
+
+
+STEADY_SWEEP = "select range::double as u, round(5 + (least(range, 30) - 20) * 1.0::double + (least(greatest(range, 30), 60) - 30) * 2.0 + (greatest(range, 60) - 60) * 0.5, 6) as y from range(101)"
+
+
+def csv_text(spark, d):
+    """Signals written as CSV lines and read back, to five digits."""
+    ev = events(spark, d).where("k < 50")
+    lines = files.csv_lines(ev.withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz")), ["x"]).where("k >= 0")
+    cell = F.split("line", ";")
+    return lines.select("series_id", "k", F.try_to_timestamp(cell[0]).cast("timestamp_ntz").alias("ts"), r(F.nanvl(cell[1].try_cast("double"), F.lit(-9999.0)), 2).alias("x"))
+
+
+CSV_TEXT = f"with {EVENTS} select series_id, k, date_trunc('second', ts) as ts, round(coalesce(x, -9999), 2) as x from s where k < 50"
+
+
+def _stream(spark, d):
+    schema = table(spark, d, "events").schema
+    # A pattern, since the table may be one file or a folder of files.
+    raw = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
+    x = F.when(F.col("event_id") % BAD_EVERY == 0, None).otherwise(F.col("value"))
+    return raw.select(F.col("user_id").alias("series_id"), "ts", x.alias("x"))
+
+
+def stream_mean(spark, d):
+    out = T.drained(T.running_mean(_stream(spark, d)))
+    return out.select("series_id", "ts", r(F.col("y"), 9).alias("y"))
+
+
+STREAM_MEAN = f"with {EVENTS} select series_id, ts, round(coalesce(avg(x) over (partition by series_id order by k rows between unbounded preceding and current row), 0), 9) as y from s"
+
+
+def stream_low_pass(spark, d):
+    out = T.drained(T.low_pass(_stream(spark, d).where("x is not null"), 5.0))
+    return out.select("series_id", "ts", r(F.col("y")).alias("y"))
+
+
+STREAM_LOW_PASS = f"""with recursive {EVENTS}, f as (select series_id, ts, x, row_number() over (partition by series_id order by ts) - 1 as k from s where x is not null),
+g as (select 0::bigint as k, series_id, ts, x as y from f where k = 0
+ union all select f.k, f.series_id, f.ts, g.y * (1 / (1 + 1 / 5.0::double)) + f.x * (1 - 1 / (1 + 1 / 5.0::double)) from g join f on f.series_id = g.series_id and f.k = g.k + 1)
+select series_id, ts, round(y, 6) as y from g"""
+
+
+def stream_pid(spark, d):
+    out = T.drained(T.pid(_stream(spark, d).where("x is not null"), M.PidParameters(0.3, 25.0), 50.0))
+    return out.groupBy("series_id").agg(F.count("*").alias("n"), r(F.max_by("y", "ts"), 5).alias("u_last"))
+
+
+QUERIES = {
+    "model_static": (static_models, STATIC_MODELS), "model_unit_dynamic": (unit_step, UNIT_STEP), "pid_controller": (pid_step, PID_STEP),
+    "plant_simulate": (simulated, None), "ident_unit": (identified_units, None), "ident_pid": (identified_pids, None),
+    "ident_closed_loop": (identified_loops, None), "ident_gain_sched": (identified_schedules, None), "disturbance_estimate": (disturbances, DISTURBANCES),
+    "correlate_and_shift": (shifted_correlations, None), "plant_graph_closure": (graph_closure, GRAPH), "gain_sweep": (steady_sweep, STEADY_SWEEP),
+    "csv_roundtrip": (csv_text, CSV_TEXT), "stream_running_mean": (stream_mean, STREAM_MEAN), "stream_low_pass": (stream_low_pass, STREAM_LOW_PASS),
+    "stream_pid": (stream_pid, None),
+}
