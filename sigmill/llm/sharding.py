@@ -2,10 +2,12 @@
 
 Documents with equal texts are linked.  Every document starts in a shard
 that its hash gives.  In each round a join brings each node the label
-that most of its neighbours carry; nodes that want to move are admitted
-in hash order, neighbours together, up to the target shard's quota.  A
-last pass moves single documents first from shards with too many rows to
-those with too few, so that counts differ by one at most.
+that most of its neighbours carry, of labels whose shards have room for
+all of them; nodes that want to move are admitted in hash order,
+neighbours together, up to the target shard's quota, which linked
+documents never exceed.  A last pass moves single documents from shards
+with too many rows to those with too few, so that counts differ by one at
+most.
 
 A node of the propagation is a bundle: the documents of one group that
 start in one shard.  They have the same neighbours and the same label, so
@@ -29,7 +31,7 @@ from pyspark.sql.window import Window
 from .common import hash32, running_total, written
 
 SHARDS = 24
-ROUNDS = 3
+ROUNDS = 4
 #: Share of a shard's rows above which a group is cut into parts.
 LARGE = 0.9
 
@@ -70,10 +72,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         state.withColumn("label", F.col("start")).withColumn("all", F.sum("n").over(group)).where("all > 1"), "shard-nodes"
     )
     load = [0] * shards
-    for s, k in nodes.groupBy("start").agg(F.count("*")).collect():
+    for s, k in state.groupBy("label").agg(F.sum("n")).collect():
         load[s] = k
     for _ in range(rounds):
-        state, load, moved = _round(state, load, capacity, shards)
+        state, load, moved = _round(state, load, n // shards, shards)
         if not moved:
             break
     placed = nodes.join(state.select("g", "part", "start", "label"), ["g", "part", "start"], "left").select(
@@ -85,21 +87,18 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
 
 
 def _round(state: DataFrame, load: list[int], capacity: int, shards: int) -> tuple[DataFrame, list[int], bool]:
-    votes = state.groupBy("g", "part", "label").agg(F.sum("n").alias("votes"))
+    """Move nodes; `load` counts linked documents, since single ones make room for them."""
+    quota = [max(0, capacity - x) for x in load]
+    votes = state.groupBy("g", "part", "label").agg(F.sum("n").alias("votes"), F.max("all").alias("all"))
+    fits = _at(quota, F.col("label")) >= F.col("all") - F.col("votes")
     best = votes.groupBy("g", "part").agg(
-        F.max_by("label", F.struct("votes", F.hash("g", "label").alias("tie"))).alias("want")
+        F.max_by("label", F.struct(fits.alias("fits"), "votes", F.hash("g", "label").alias("tie"))).alias("want")
     )
-    seen = state.join(best, ["g", "part"])
-    wish = written(seen.withColumn("h", hash32("g", "part")), "shard-wishes")
+    wish = written(state.join(best, ["g", "part"]).withColumn("h", hash32("g", "part")), "shard-wishes")
     moves = wish.where("want != label").drop("all")
-    out = [0] * shards
-    total = 0
-    for s, k, m in moves.groupBy("label").agg(F.sum("n"), F.count("*")).collect():
-        out[s], total = k, total + m
+    total = moves.count()
     if not total:
         return state, load, False
-    # What leaves makes room; what is admitted beyond that stays within capacity.
-    quota = [max(0, capacity - load[s] + out[s]) for s in range(shards)]
     ranked = running_total(moves, ["want"], "n", total, "before", [F.col("g"), F.col("part"), F.col("start")])
     goes = ranked.where(F.col("before") + F.col("n") <= _at(quota, F.col("want"))).select("g", "part", "start", F.lit(True).alias("go"))
     after = written(
