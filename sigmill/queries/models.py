@@ -24,17 +24,17 @@ def static_models(spark, d):
     return events(spark, d).select(
         "series_id", "k", r(y).alias("y"), r(S.steady_input(x, 5.0, 1.5, 2.0)).alias("u_linear"), r(S.steady_input(x, 5.0, 1.5, 2.0, -0.01)).alias("u_curved"),
         r(S.integrated_gain(20.0, x, [30.0, 60.0], [1.0, 2.0, 0.5])).alias("integral"), r(S.select([x, prev], "MIN")).alias("least"),
-        r(S.select([x, prev], "MAX")).alias("most"), r(S.divide_model(x, prev, 2.0, 0.1, 50)).alias("divided"),
+        r(S.select([x, prev], "MAX")).alias("most"), r(S.divide_model(x, prev, 2.0, 0.1, 50), 9).alias("divided"),
     )
 
 
 _SQ = "2.25::double - 0.04 * (x - 5)"
 STATIC_MODELS = f"""with {EVENTS}, q as (select *, lag(x) over (partition by series_id order by k) as p from s)
-select series_id, k, round(5 + 1.5 * (x - 10) + 0.02 * (x - 10) * (x - 10) - 0.25 * k, 6) as y, round((x - 5) / 1.5 + 2, 6) as u_linear,
-round(case when x is null then null when {_SQ} > 0 then least((-1.5 + sqrt(greatest({_SQ}, 0))) / -0.02::double, (-1.5 - sqrt(greatest({_SQ}, 0))) / -0.02::double) else 75 end + 2, 6) as u_curved,
+select series_id, k, round(5 + 1.5 * (x - 10) + 0.02 * (x - 10) * (x - 10) - 0.25 * k, 6) + 0.0 as y, round((x - 5) / 1.5 + 2, 6) + 0.0 as u_linear,
+round(case when x is null then null when {_SQ} > 0 then least((-1.5 + sqrt(greatest({_SQ}, 0))) / -0.02::double, (-1.5 - sqrt(greatest({_SQ}, 0))) / -0.02::double) else 75 end + 2, 6) + 0.0 as u_curved,
 round((least(x, 30) - 20) * 1.0 + (least(greatest(x, 30), 60) - 30) * 2.0 + (greatest(x, 60) - 60) * 0.5 + (case when x is null then null else 0 end), 6) + 0.0 as integral,
 round(least(x, p), 6) as least, round(greatest(x, p), 6) as most,
-round(case when x / nullif(p, 0) is null then -9999 else greatest(least(2 * x / p, 50), 0.1) end, 6) as divided from q"""
+round(case when x / nullif(p, 0) is null then -9999 else greatest(least(x / p * 2, 50), 0.1) end, 9) as divided from q"""
 
 
 def unit_step(spark, d):
