@@ -22,19 +22,19 @@ def bad(signals: list[str]) -> Column:
 
 def plus_next(flag: Column) -> Column:
     """The flag, and the sample after it."""
-    return flag | F.coalesce(F.lag(flag).over(W), F.lit(False))
+    return flag | F.coalesce(F.lag(flag).over(W()), F.lit(False))
 
 
 def plus_previous(flag: Column) -> Column:
     """The flag, and the sample before it; with a flag on the first sample also the second."""
-    first = F.coalesce(F.lag(flag).over(W), F.lit(False)) & (F.row_number().over(W) == 2)
-    return flag | F.coalesce(F.lead(flag).over(W), F.lit(False)) | first
+    first = F.coalesce(F.lag(flag).over(W()), F.lit(False)) & (F.row_number().over(W()) == 2)
+    return flag | F.coalesce(F.lead(flag).over(W()), F.lit(False)) | first
 
 
 def frozen(signals: list[str]) -> Column:
     """No signal differs from the sample before; a missing value counts as a change."""
-    same = [F.coalesce(F.col(s) == F.lag(s).over(W), F.lit(False)) for s in signals]
-    return reduce(lambda a, b: a & b, same) & (F.row_number().over(W) > 1)
+    same = [F.coalesce(F.col(s) == F.lag(s).over(W()), F.lit(False)) for s in signals]
+    return reduce(lambda a, b: a & b, same) & (F.row_number().over(W()) > 1)
 
 
 def ignored(df: DataFrame, signals: list[str], given: Column | None = None, detect_frozen: bool = True) -> DataFrame:
@@ -49,8 +49,8 @@ def ignored(df: DataFrame, signals: list[str], given: Column | None = None, dete
 
 def frozen_runs(df: DataFrame, signals: list[str]) -> DataFrame:
     """series_id, n_frozen, mean_run (rounded up) and min_run of frozen samples before each change."""
-    flagged = df.withColumn("_f", frozen(signals)).withColumn("_change", ~F.col("_f") & (F.row_number().over(W) > 1))
-    runs = flagged.withColumn("_run", F.sum(F.col("_change").cast("int")).over(W) - F.col("_change").cast("int"))
+    flagged = df.withColumn("_f", frozen(signals)).withColumn("_change", ~F.col("_f") & (F.row_number().over(W()) > 1))
+    runs = flagged.withColumn("_run", F.sum(F.col("_change").cast("int")).over(W()) - F.col("_change").cast("int"))
     islands = runs.groupBy("series_id", "_run").agg(
         F.sum(F.col("_f").cast("int")).alias("length"), F.bool_or("_change").alias("closed")
     )

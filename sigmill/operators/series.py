@@ -7,11 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.scalar import BAD, clean
 
-W = Window.partitionBy("series_id").orderBy("k")
+
+def W() -> WindowSpec:
+    """All samples of a series, in order."""
+    return Window.partitionBy("series_id").orderBy("k")
 
 
 def from_rows(rows: DataFrame, key: Column, order: list[Column], value: Column, ts: Column, bad: float = BAD) -> DataFrame:
@@ -23,7 +26,7 @@ def from_rows(rows: DataFrame, key: Column, order: list[Column], value: Column,
 
 def moving_average(x: Column, n: int) -> Column:
     """Mean of the last n samples with this one; fewer at the start.  A missing sample makes it missing."""
-    w = W.rowsBetween(-(n - 1), 0)
+    w = W().rowsBetween(-(n - 1), 0)
     return F.when(F.count(x).over(w) == F.count(F.lit(1)).over(w), F.avg(x).over(w))
 
 
@@ -31,25 +34,25 @@ def smooth(x: Column, kernel: int) -> Column:
     """Mean of the samples at most `kernel` away that are there; the ends are copied."""
     if kernel <= 0:
         return x
-    k = F.row_number().over(W)
+    k = F.row_number().over(W())
     n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
-    return F.when((k <= kernel) | (k > n - kernel), x).otherwise(F.avg(x).over(W.rowsBetween(-kernel, kernel)))
+    return F.when((k <= kernel) | (k > n - kernel), x).otherwise(F.avg(x).over(W().rowsBetween(-kernel, kernel)))
 
 
 def difference(x: Column) -> Column:
     """x[k] - x[k - 1]; 0 for the first sample."""
-    return F.when(F.row_number().over(W) == 1, F.lit(0.0)).otherwise(x - F.lag(x).over(W))
+    return F.when(F.row_number().over(W()) == 1, F.lit(0.0)).otherwise(x - F.lag(x).over(W()))
 
 
 def delayed(x: Column, samples: int) -> Column:
     """The sample so many before; the first ones pass through."""
-    return F.when(F.row_number().over(W) <= samples, x).otherwise(F.lag(x, samples).over(W)) if samples > 0 else x
+    return F.when(F.row_number().over(W()) <= samples, x).otherwise(F.lag(x, samples).over(W())) if samples > 0 else x
 
 
 def held(x: Column, flag: Column) -> Column:
     """Flagged samples take the last unflagged value; the first sample stays."""
-    first = F.row_number().over(W) == 1
-    return F.last(F.when(~flag | first, x), ignorenulls=True).over(W.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.row_number().over(W()) == 1
+    return F.last(F.when(~flag | first, x), ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def downsample(df: DataFrame, factor: int, key: int = 0) -> DataFrame:

@@ -20,7 +20,7 @@ from .base import BAD_EVERY, EVENTS, events, r, table
 def static_models(spark, d):
     x = F.col("x")
     y = S.steady_state([x, F.col("k").cast("double")], 5.0, [1.5, -0.25], [10.0, 0.0], [0.02, 0.0])
-    prev = F.lag("x").over(O.W)
+    prev = F.lag("x").over(O.W())
     return events(spark, d).select(
         "series_id", "k", r(y).alias("y"), r(S.steady_input(x, 5.0, 1.5, 2.0)).alias("u_linear"), r(S.steady_input(x, 5.0, 1.5, 2.0, -0.01)).alias("u_curved"),
         r(S.integrated_gain(20.0, x, [30.0, 60.0], [1.0, 2.0, 0.5])).alias("integral"), r(S.select([x, prev], "MIN")).alias("least"),
@@ -160,7 +160,7 @@ DISTURBANCES = """select n_nationkey as series_id, (n_nationkey % 7 - 3)::double
 
 def shifted_correlations(spark, d):
     ev = events(spark, d).where("series_id < 20").withColumn("x", F.coalesce("x", F.lit(50.0)))
-    low = C.low_pass(ev, 4.0).withColumn("late", F.lag("y", 2).over(O.W)).withColumn("late", F.coalesce("late", "y"))
+    low = C.low_pass(ev, 4.0).withColumn("late", F.lag("y", 2).over(O.W())).withColumn("late", F.coalesce("late", "y"))
     out = I.strongest_shifts(low, "late", ["x", "y"], 1.0)
     return out.select("series_id", "signal", r(F.col("corr"), 4).alias("corr"), r(F.col("time_constant_s"), 3).alias("time_constant_s"), "delay_s")
 

@@ -29,7 +29,7 @@ round(pow(a, 1.5), 4) as powered from p"""
 
 def clamps(spark, d):
     x = F.col("x")
-    prev = F.lag("x").over(O.W)
+    prev = F.lag("x").over(O.W())
     return events(spark, d).select(
         "series_id", "k", r(S.larger(x, prev)).alias("larger"), r(S.smaller(x, prev)).alias("smaller"), r(S.at_least(x, 30)).alias("low"),
         r(S.at_most(x, 60, compat=True)).alias("high"), r(S.replace_above(x, 80, 80.5)).alias("above"), r(S.replace_below(x, 5, 4.5)).alias("below"),
@@ -89,7 +89,7 @@ KINDS = ("BiggerThan", "SmallerThan", "BiggerOrEqual", "SmallerOrEqual", "Equal"
 
 def find_values(spark, d):
     rows = events(spark, d).withColumn("x", F.round("x", 0))
-    flags = rows.select("series_id", "k", *[P.found(F.col("x"), kind, 50.0, O.W).alias(kind) for kind in KINDS])
+    flags = rows.select("series_id", "k", *[P.found(F.col("x"), kind, 50.0, O.W()).alias(kind) for kind in KINDS])
     return flags.groupBy("series_id").agg(
         *[F.count_if(kind).alias("n_" + kind.lower()) for kind in KINDS], *[F.coalesce(F.sum(F.when(F.col(kind), F.col("k"))), F.lit(0)).alias("k_" + kind.lower()) for kind in KINDS]
     )
@@ -138,7 +138,7 @@ select what, series_id, count(*) as n, sum(k)::bigint as sum_k from u group by a
 
 def vector_checks(spark, d):
     x = F.col("x")
-    return events(spark, d).withColumn("y", F.lag("x", 0).over(O.W)).groupBy("series_id").agg(
+    return events(spark, d).withColumn("y", F.lag("x", 0).over(O.W())).groupBy("series_id").agg(
         P.contains_bad(x).alias("has_bad"), P.all_missing(x).alias("all_missing"), P.all_value(x, 0).alias("all_zero"),
         P.constant(F.floor(x / 1000)).alias("constant"), P.all_equal(x, F.col("y")).alias("equal"),
     )
@@ -178,7 +178,7 @@ round(1 - avg((c - a) * (c - a)) / (var_pop(a) + (avg(a) - avg(c)) * (avg(a) - a
 
 
 def matrices(spark, d):
-    rows = events(spark, d).withColumn("p", F.coalesce(F.lag("x").over(O.W), F.lit(0.0))).where("x is not null")
+    rows = events(spark, d).withColumn("p", F.coalesce(F.lag("x").over(O.W()), F.lit(0.0))).where("x is not null")
     m = D.matrix(rows, ["x", "p"])
     changed = D.replace_column(D.times_scalar(m, 2.0, 1), 0, F.lit(1.0))
     return D.times_vector(m, [0.5, -1.0]).select("series_id", "k", r(F.col("y")).alias("y")).join(
