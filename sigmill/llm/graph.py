@@ -29,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # A written side has an exchange of its own, so a hub's rows can be split.
         least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc-least")
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         large = written(large, "cc-large")
         least = written(large.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
         small = large.join(least, "a")

@@ -2,10 +2,14 @@
 
 1. In each bucket every item is paired with the bucket's smallest.
 2. Pairs that pass the check are links; connected items are one class.
-3. In buckets that still hold several classes, items outside the largest
-   class meet the items of the other classes.  Pairs of classes are tried
-   with their most promising candidates first, then with all that are
-   left, until each candidate is verified or its items are in one class.
+3. In buckets that still hold several classes, the items outside the
+   largest class are strays.  In each of a few rounds they are paired with
+   one item of the largest class, another in every bucket and round, and
+   with one of the strays.
+4. Strays that are left meet the items of all other classes.  Pairs of
+   classes are tried with their most promising candidates first, then with
+   all that are left, until each candidate is verified or its items are in
+   one class.
 
 So no link between two items of one bucket is lost, and a bucket of one
 large class costs its size, not its square.
@@ -13,8 +17,10 @@ large class costs its size, not its square.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,37 +28,89 @@ from pyspark.sql.window import Window
 from .common import written
 from .graph import components
 
-#: Candidates of a pair of classes that are verified in the first rounds of step 3.
+#: Rounds of step 3.
+ROUNDS = 2
+#: Candidates of a pair of classes that are verified in the first rounds of step 4.
 TRIES = (4, 64)
 
 
-def classes(
-    keyed: DataFrame, ratio: float, promising: Callable[[DataFrame], DataFrame], links: Callable[[DataFrame], DataFrame]
-) -> DataFrame:
-    """(node, weight, band) -> (node, comp) of the nodes that have links.
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, node) in order -> band, node, least of bands with several nodes, and `edge`.
 
-    Items whose weights' ratio is below `ratio` can't match.  `promising`
-    turns (a, b) into (a, b, agree), leaving out pairs that can't match;
-    `links` keeps those of (a, b) that do.
+    Rows of the partition's first band are edges, since the band may begin
+    before; so is one row of its last band, which may go on.  For edges
+    `least` isn't known.
     """
-    shared = keyed.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("band", "least")
-    met = written(keyed.join(shared, "band"), "link-buckets")
-    weights = met.select("node", "weight").distinct()
-    light = F.least("wa", "wb") >= ratio * F.greatest("wa", "wb")
-    star = met.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"), F.col("weight").alias("wb")).distinct()
-    star = star.join(weights.select(F.col("node").alias("a"), F.col("weight").alias("wa")), "a").where(light).select("a", "b")
+    names = ["band", "node", "least", "edge"]
+    first = last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        band, node = (batch.column(i).to_numpy() for i in range(2))
+        if first is None:
+            first = band[0]
+        new = np.append(last is None or band[0] != last[0], band[1:] != band[:-1])
+        starts = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        least = np.where(run >= 0, node[starts][np.maximum(run, 0)] if len(starts) else 0, last[1] if last else 0)
+        fresh = band != first
+        # A first row is told once its band is seen to go on; the second row tells it.
+        second = ~new & np.append(last is not None and last[2] == 1, new[:-1])
+        more = fresh & ~new
+        lead = fresh & second
+        out = [np.concatenate([x[more], y[lead]]) for x, y in ((band, band), (node, least), (least, least))]
+        edges = ~fresh
+        cols = [np.concatenate([out[0], band[edges]]), np.concatenate([out[1], node[edges]]), np.concatenate([out[2], node[edges]])]
+        flags = np.concatenate([np.zeros(len(out[0]), bool), np.ones(edges.sum(), bool)])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(flags)], names)
+        size = len(band) - starts[-1] if len(starts) else len(band) + (last[2] if last else 0)
+        last = (band[-1], least[-1], int(size))
+    if last is not None and last[0] != first:
+        yield pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([last[1]]), pa.array([last[1]]), pa.array([True])], names)
+
+
+def buckets(keyed: DataFrame) -> DataFrame:
+    """(band, node) -> band, node, least of the bands that several nodes have.
+
+    One shuffle by ranges of (band, node), so that even a band with very
+    many nodes is dealt over tasks; only bands at the ends of ranges are
+    grouped once more.
+    """
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keyed.select("band", "node").repartitionByRange(parts, "band", "node").sortWithinPartitions("band", "node")
+    told = written(ranged.mapInArrow(_runs, "band bigint, node bigint, least bigint, edge boolean"), "link-runs")
+    edges = told.where("edge").select("band", "node")
+    whole = written(edges.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("band", "least"), "link-edges")
+    return told.where("not edge").select("band", "node", "least").unionByName(edges.join(whole, "band")).where("node is not null")
+
+
+def classes(keyed: DataFrame, promising: Callable[[DataFrame], DataFrame], links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, band) -> (node, comp) of the nodes that have links.
+
+    `promising` turns (a, b) into (a, b, agree), leaving out pairs that
+    can't match; `links` keeps those of (a, b) that do.
+    """
+    met = written(buckets(keyed), "link-buckets")
+    star = met.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     tried = written(promising(star), "link-star")
     found = links(tried.select("a", "b"))
     comp = written(components(found), "link-classes")
-    placed = written(
-        met.join(comp, "node", "left").select("band", "node", "weight", F.coalesce("comp", "node").alias("comp")), "link-placed"
-    )
-    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
-    mixed = written(placed.join(main.select("band", "main"), "band"), "link-mixed")
-    stray = mixed.where("comp != main").select("band", F.col("node").alias("x"), F.col("weight").alias("wa"), F.col("comp").alias("cx"))
-    others = mixed.select("band", F.col("node").alias("y"), F.col("weight").alias("wb"), F.col("comp").alias("cy"))
-    across = stray.join(others, "band").where(light & (F.col("cx") != F.col("cy")))
+    for k in range(ROUNDS):
+        mixed = _mixed(met, comp)
+        pick = lambda who, salt: F.max_by("node", F.when(who, F.hash("node", "band", F.lit(salt))))  # noqa: E731, B023
+        main = F.col("comp") == F.col("main")
+        pivots = mixed.groupBy("band").agg(pick(main, k).alias("inner"), pick(~main, k).alias("outer"))
+        near = mixed.where("comp != main").select("band", "node").join(pivots, "band")
+        pairs = near.select("node", F.explode(F.array("inner", "outer")).alias("pivot")).where("node != pivot")
+        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        now = written(promising(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")), "link-star")
+        tried = tried.unionByName(now)
+        found = found.unionByName(links(now.select("a", "b")))
+        comp = written(components(found), "link-classes")
+    mixed = _mixed(met, comp)
+    stray = mixed.where("comp != main").select("band", F.col("node").alias("x"), F.col("comp").alias("cx"))
+    others = mixed.select("band", F.col("node").alias("y"), F.col("comp").alias("cy"))
+    across = stray.join(others, "band").where(F.col("cx") != F.col("cy"))
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left = written(promising(across.join(tried.select("a", "b"), ["a", "b"], "left_anti")), "link-across")
     for most in (*TRIES, None):
@@ -69,6 +127,14 @@ def classes(
     return comp
 
 
+def _mixed(met: DataFrame, comp: DataFrame) -> DataFrame:
+    """band, node, comp, main of the buckets with several classes; main is the largest."""
+    placed = written(met.join(comp, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp")), "link-placed")
+    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
+    return written(placed.join(main.select("band", "main"), "band"), "link-mixed")
+
+
 def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """Pairs whose nodes are in different classes, with the classes."""
     for c in "ab":

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import linking
 from . import textkernel as K
-from .common import written
+from .common import arrow_rows, written
 
 THRESHOLD = 0.8
 #: 36 bands of 5: a pair of similarity 0.8 is missed with probability (1 - 0.8**5)**36 = 6e-7.
@@ -45,6 +45,10 @@ COORDS = BANDS * ROWS
 DARTS = COORDS * (np.log(COORDS) + 4)
 #: Pairs whose coordinates agree less often than this are set aside: 0.8 less five standard errors.
 LEAST = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / COORDS) ** 0.5
+#: Texts signed at once; each has about DARTS darts in memory.
+TEXTS = 256
+#: Rows of an Arrow batch that holds two texts a row.
+PAIRS = 256
 #: Rows of a narrow side up to which it is broadcast, at 8 bytes a key.
 SMALL = 1_000_000
 
@@ -55,12 +59,12 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 def _weighted(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of texts: range, sorted (text, shingle) keys, occurrence numbers, first key of each text."""
     data, offsets = K.buffers(column)
-    for a, b in K.blocks(offsets):
+    for a, b in K.blocks(offsets, texts=TEXTS):
         cut = offsets[a : b + 1] - offsets[a]
         hashes, _, _, firsts = K.words(data[offsets[a] : offsets[b]], cut)
         found, at = K.grams(hashes, firsts, K.SHINGLE)
         of = np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(np.searchsorted(at, firsts)))
-        # Texts per block stay below 2**20; 44 bits of the shingle's hash remain.
+        # With fewer than 2**20 texts in a block, 44 bits of the shingle's hash remain.
         keys = np.sort((of << np.uint64(44)) | (found >> np.uint64(20)))
         new = np.ones(len(keys), bool)
         new[1:] = keys[1:] != keys[:-1]
@@ -196,7 +200,8 @@ class _Texts:
         left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
         sims = both.mapInArrow(_verify, "a bigint, b bigint, sim double")
-        return written(sims.where(F.col("sim") >= THRESHOLD).select("a", "b"), "near-links")
+        with arrow_rows(self.docs.sparkSession, PAIRS):
+            return written(sims.where(F.col("sim") >= THRESHOLD).select("a", "b"), "near-links")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -204,18 +209,22 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tag"), "text"
     )
-    signed = written(rows.mapInArrow(_sign, SIGNED), "near-signed")
+    with arrow_rows(docs.sparkSession, 8 * TEXTS):
+        signed = written(rows.mapInArrow(_sign, SIGNED), "near-signed")
     # Rows are numbered in the written table; joining on the number spreads equal texts.
     first = written(signed.where("weight > 0").groupBy("node").agg(F.min("row").alias("row")).select("row"), "near-firsts")
     nodes = written(signed.join(first, "row").select("node", "weight", "bands", "coords"), "near-nodes")
-    keyed = nodes.select("node", "weight", F.posexplode("bands").alias("i", "band")).select("node", "weight", F.xxhash64("i", "band").alias("band"))
+    keyed = nodes.select("node", F.posexplode("bands").alias("i", "band")).select("node", F.xxhash64("i", "band").alias("band"))
     texts = _Texts(docs, signed)
-    return signed, linking.classes(keyed, THRESHOLD, lambda pairs: _promising(pairs, nodes), texts.links)
+    return signed, linking.classes(keyed, lambda pairs: _promising(pairs, nodes), texts.links)
 
 
 def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    left, right = (nodes.select(F.col("node").alias(c), F.col("coords").alias(f"s{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_agree, "a bigint, b bigint, agree double")
+    """Pairs whose weights and coordinates don't rule out the threshold."""
+    for c in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("weight").alias(f"w{c}"), F.col("coords").alias(f"s{c}")), c)
+    pairs = pairs.where(F.least("wa", "wb") >= THRESHOLD * F.greatest("wa", "wb"))
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(_agree, "a bigint, b bigint, agree double")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
