@@ -54,11 +54,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(offsets) else data, offsets - (offsets[0] if len(offsets) else 0)
 
 
-def blocks(offsets: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of up to `most` bytes together, or one longer text."""
+def blocks(offsets: np.ndarray, most: int = BLOCK, texts: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `texts` texts of up to `most` bytes together, or one longer text."""
     a, n = 0, len(offsets) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        b = min(a + texts, max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1))
         yield a, min(b, n)
         a = min(b, n)
 
