@@ -6,8 +6,8 @@
    largest class are strays.  In each of a few rounds they are paired with
    one item of the largest class, another in every bucket and round, and
    with one of the strays.
-4. Strays that are left meet the items of all other classes.  Pairs of
-   classes are tried with their most promising candidates first, then with
+4. Strays that are left meet the items of all other classes, unless a
+   bound on both excludes a match.  Pairs of classes are tried with their most promising candidates first, then with
    all that are left, until each candidate is verified or its items are in
    one class.
 
@@ -84,11 +84,16 @@ def buckets(keyed: DataFrame) -> DataFrame:
     return told.where("not edge").select("band", "node", "least").unionByName(edges.join(whole, "band")).where("node is not null")
 
 
-def classes(keyed: DataFrame, promising: Callable[[DataFrame], DataFrame], links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def classes(
+    keyed: DataFrame, promising: Callable[[DataFrame], DataFrame], links: Callable[[DataFrame], DataFrame],
+    bounds: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(node, band) -> (node, comp) of the nodes that have links.
 
     `promising` turns (a, b) into (a, b, agree), leaving out pairs that
-    can't match; `links` keeps those of (a, b) that do.
+    can't match; `links` keeps those of (a, b) that do.  `bounds` turns
+    (node) into (node, has, needs): in step 4 two items can only match if
+    the smaller `has` of the two reaches the sum of their `needs`.
     """
     met = written(buckets(keyed), "link-buckets")
     star = met.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
@@ -107,10 +112,16 @@ def classes(keyed: DataFrame, promising: Callable[[DataFrame], DataFrame], links
         tried = tried.unionByName(now)
         found = found.unionByName(links(now.select("a", "b")))
         comp = written(components(found), "link-classes")
-    mixed = _mixed(met, comp)
-    stray = mixed.where("comp != main").select("band", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    others = mixed.select("band", F.col("node").alias("y"), F.col("comp").alias("cy"))
-    across = stray.join(others, "band").where(F.col("cx") != F.col("cy"))
+    mixed, can = _mixed(met, comp), F.lit(True)
+    if bounds:
+        mixed = mixed.join(written(bounds(mixed.select("node").distinct()), "link-bounds"), "node")
+        can = F.least("hx", "hy") >= F.col("nx") + F.col("ny")
+    else:
+        mixed = mixed.withColumns({"has": F.lit(0.0), "needs": F.lit(0.0)})
+    side = lambda c: [F.col("node").alias(c), F.col("comp").alias(f"c{c}"), F.col("has").alias(f"h{c}"), F.col("needs").alias(f"n{c}")]
+    stray = mixed.where("comp != main").select("band", *side("x"))
+    others = mixed.select("band", *side("y"))
+    across = stray.join(others, "band").where((F.col("cx") != F.col("cy")) & can)
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left = written(promising(across.join(tried.select("a", "b"), ["a", "b"], "left_anti")), "link-across")
     for most in (*TRIES, None):

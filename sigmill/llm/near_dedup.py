@@ -185,6 +185,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim)], ["a", "b", "sim"])
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) -> node, shingle, times."""
+    schema = pa.schema([("node", pa.int64()), ("gram", pa.int64()), ("n", pa.int32())])
+    for batch in batches:
+        nodes = batch.column(0).to_numpy()
+        data, offsets = K.buffers(batch.column(1))
+        for a, b in K.blocks(offsets):
+            hashes, _, _, firsts = K.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            found, at = K.grams(hashes, firsts, K.SHINGLE)
+            of = np.repeat(nodes[a:b], np.diff(np.searchsorted(at, firsts)))
+            order = np.lexsort((found, of))
+            found, of = found[order], of[order]
+            new = np.flatnonzero(np.append(True, (found[1:] != found[:-1]) | (of[1:] != of[:-1]))) if len(of) else np.zeros(0, np.int64)
+            times = np.diff(np.append(new, len(of))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(of[new]), pa.array(found[new].view(np.int64)), pa.array(times)], schema=schema)
+
+
 class _Texts:
     """Verifies pairs of nodes on the documents' own texts."""
 
@@ -192,11 +209,32 @@ class _Texts:
         self.docs = docs.select(F.xxhash64("text").alias("tag"), "text")
         self.tags = signed.groupBy("node").agg(F.min("tag").alias("tag"))
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    def of(self, need: DataFrame) -> DataFrame:
+        """(node) -> (node, text)."""
         need = written(need.join(self.tags, "node"), "near-needed")
         side = F.broadcast(need) if need.count() <= SMALL else need
-        texts = written(self.docs.join(side, "tag").dropDuplicates(["node"]).select("node", "text"), "near-texts")
+        return self.docs.join(side, "tag").dropDuplicates(["node"]).select("node", "text")
+
+    def bounds(self, nodes: DataFrame) -> DataFrame:
+        """(node) -> (node, has, needs) for ``linking``.
+
+        A match of two texts shares at least t / (1 + t) of their weights'
+        sum.  A text can't share shingles that only it has: `has` is the
+        weight of the others, and `needs` its own part of that sum.
+        """
+        with arrow_rows(self.docs.sparkSession, 8 * TEXTS):
+            each = written(self.of(nodes).mapInArrow(_shingles, "node bigint, gram bigint, n int"), "near-shingles")
+        own = each.groupBy("gram").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.sum("n").alias("n")).where("node = other")
+        own = own.groupBy("node").agg(F.sum("n").alias("own"))
+        all_ = each.groupBy("node").agg(F.sum("n").alias("weight"))
+        return all_.join(own, "node", "left").select(
+            "node", (F.col("weight") - F.coalesce("own", F.lit(0))).cast("double").alias("has"),
+            (F.col("weight") * (THRESHOLD / (1 + THRESHOLD)) - 1e-6).alias("needs"),
+        )
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        texts = written(self.of(need), "near-texts")
         left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
         sims = both.mapInArrow(_verify, "a bigint, b bigint, sim double")
@@ -216,7 +254,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = written(signed.join(first, "row").select("node", "weight", "bands", "coords"), "near-nodes")
     keyed = nodes.select("node", F.posexplode("bands").alias("i", "band")).select("node", F.xxhash64("i", "band").alias("band"))
     texts = _Texts(docs, signed)
-    return signed, linking.classes(keyed, lambda pairs: _promising(pairs, nodes), texts.links)
+    return signed, linking.classes(keyed, lambda pairs: _promising(pairs, nodes), texts.links, texts.bounds)
 
 
 def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
