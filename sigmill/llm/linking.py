@@ -6,10 +6,11 @@
    largest class are strays.  In each of a few rounds they are paired with
    one item of the largest class, another in every bucket and round, and
    with one of the strays.
-4. Strays that are left meet the items of all other classes, unless a
-   bound on both excludes a match.  Pairs of classes are tried with their most promising candidates first, then with
-   all that are left, until each candidate is verified or its items are in
-   one class.
+4. Strays that are left meet the items of all other classes, each once
+   however many buckets they share, unless a bound on both excludes a
+   match.  Pairs of classes are tried with their most promising candidates
+   first, then with all that are left, until each candidate is verified or
+   its items are in one class.
 
 So no link between two items of one bucket is lost, and a bucket of one
 large class costs its size, not its square.
@@ -115,14 +116,19 @@ def classes(
     mixed, can = _mixed(met, comp), F.lit(True)
     if bounds:
         mixed = mixed.join(written(bounds(mixed.select("node").distinct()), "link-bounds"), "node")
-        can = F.least("hx", "hy") >= F.col("nx") + F.col("ny")
+        can = F.least("has_x", "has_y") >= F.col("needs_x") + F.col("needs_y")
     else:
         mixed = mixed.withColumns({"has": F.lit(0.0), "needs": F.lit(0.0)})
-    side = lambda c: [F.col("node").alias(c), F.col("comp").alias(f"c{c}"), F.col("has").alias(f"h{c}"), F.col("needs").alias(f"n{c}")]
-    stray = mixed.where("comp != main").select("band", *side("x"))
-    others = mixed.select("band", *side("y"))
-    across = stray.join(others, "band").where((F.col("cx") != F.col("cy")) & can)
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # At most one band for each of a node's keys.  A pair that shares several is only made in the smallest.
+    keys = mixed.groupBy("node").agg(F.collect_set("band").alias("keys"))
+    mixed = written(mixed.join(keys, "node"), "link-keys")
+    side = lambda c: [F.col(n).alias(f"{n}_{c}") for n in ("node", "comp", "stray", "has", "needs", "keys")]
+    mixed = mixed.withColumn("stray", F.col("comp") != F.col("main"))
+    once = ~F.col("stray_y") | (F.col("node_x") < F.col("node_y"))
+    least = F.array_min(F.array_intersect("keys_x", "keys_y")) == F.col("band")
+    across = mixed.where("stray").select("band", *side("x")).join(mixed.select("band", *side("y")), "band")
+    across = across.where((F.col("comp_x") != F.col("comp_y")) & once & can & least)
+    across = across.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
     left = written(promising(across.join(tried.select("a", "b"), ["a", "b"], "left_anti")), "link-across")
     for most in (*TRIES, None):
         left = _between(left, comp)
