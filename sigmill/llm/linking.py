@@ -93,8 +93,9 @@ def classes(
 
     `promising` turns (a, b) into (a, b, agree), leaving out pairs that
     can't match; `links` keeps those of (a, b) that do.  `bounds` turns
-    (node) into (node, has, needs): in step 4 two items can only match if
-    the smaller `has` of the two reaches the sum of their `needs`.
+    (node) into (node, has, needs), where `has` is an array: in step 4 two
+    items can only match if the sum of the smaller of their values in
+    `has` reaches the sum of their `needs`.
     """
     met = written(buckets(keyed), "link-buckets")
     star = met.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
@@ -116,9 +117,10 @@ def classes(
     mixed, can = _mixed(met, comp), F.lit(True)
     if bounds:
         mixed = mixed.join(written(bounds(mixed.select("node").distinct()), "link-bounds"), "node")
-        can = F.least("has_x", "has_y") >= F.col("needs_x") + F.col("needs_y")
+        shared = F.aggregate(F.zip_with("has_x", "has_y", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+        can = shared >= F.col("needs_x") + F.col("needs_y")
     else:
-        mixed = mixed.withColumns({"has": F.lit(0.0), "needs": F.lit(0.0)})
+        mixed = mixed.withColumns({"has": F.array().cast("array<int>"), "needs": F.lit(0.0)})
     # At most one band for each of a node's keys.  A pair that shares several is only made in the smallest.
     keys = mixed.groupBy("node").agg(F.collect_set("band").alias("keys"))
     mixed = written(mixed.join(keys, "node"), "link-keys")

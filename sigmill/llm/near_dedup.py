@@ -47,6 +47,8 @@ DARTS = COORDS * (np.log(COORDS) + 4)
 LEAST = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / COORDS) ** 0.5
 #: Texts signed at once; each has about DARTS darts in memory.
 TEXTS = 256
+#: Parts of the shingles that bounds are counted for.
+PARTS = 32
 #: Rows of an Arrow batch that holds two texts a row.
 PAIRS = 256
 #: Rows of a narrow side up to which it is broadcast, at 8 bytes a key.
@@ -219,17 +221,18 @@ class _Texts:
         """(node) -> (node, has, needs) for ``linking``.
 
         A match of two texts shares at least t / (1 + t) of their weights'
-        sum.  A text can't share shingles that only it has: `has` is the
-        weight of the others, and `needs` its own part of that sum.
+        sum; `needs` is a text's own part of it.  A text can't share
+        shingles that only it has: `has` is the weight of the others in
+        each of PARTS parts of the shingles.
         """
         with arrow_rows(self.docs.sparkSession, 8 * TEXTS):
             each = written(self.of(nodes).mapInArrow(_shingles, "node bigint, gram bigint, n int"), "near-shingles")
         own = each.groupBy("gram").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.sum("n").alias("n")).where("node = other")
-        own = own.groupBy("node").agg(F.sum("n").alias("own"))
-        all_ = each.groupBy("node").agg(F.sum("n").alias("weight"))
-        return all_.join(own, "node", "left").select(
-            "node", (F.col("weight") - F.coalesce("own", F.lit(0))).cast("double").alias("has"),
-            (F.col("weight") * (THRESHOLD / (1 + THRESHOLD)) - 1e-6).alias("needs"),
+        rest = each.select("node", "gram", "n", F.lit(0).alias("own")).unionByName(own.select("node", "gram", "n", F.lit(1).alias("own")))
+        part, left = F.pmod("gram", F.lit(PARTS)), F.when(F.col("own") == 0, F.col("n")).otherwise(-F.col("n"))
+        return rest.groupBy("node").agg(
+            F.array(*[F.sum(F.when(part == i, left).otherwise(0)).cast("int") for i in range(PARTS)]).alias("has"),
+            (F.sum(F.when(F.col("own") == 0, F.col("n"))) * (THRESHOLD / (1 + THRESHOLD)) - 1e-6).alias("needs"),
         )
 
     def links(self, pairs: DataFrame) -> DataFrame:
