@@ -125,7 +125,7 @@ def identified_pids(spark, d):
 
 def identified_loops(spark, d):
     pid = M.PidParameters(0.5, 20.0)
-    return _found(I.per_series(_loops(spark, d).where("series_id < 6"), lambda p: I.identify_closed_loop(p["y"], p["Yset"], p["u"], 1.0, pid)[0], ["u", "y", "Yset"]))
+    return _found(I.per_series(_loops(spark, d), lambda p: I.identify_closed_loop(p["y"], p["Yset"], p["u"], 1.0, pid)[0], ["u", "y", "Yset"]))
 
 
 def identified_schedules(spark, d):
@@ -159,7 +159,7 @@ DISTURBANCES = """select n_nationkey as series_id, (n_nationkey % 7 - 3)::double
 
 
 def shifted_correlations(spark, d):
-    ev = events(spark, d).where("series_id < 20").withColumn("x", F.coalesce("x", F.lit(50.0)))
+    ev = events(spark, d).withColumn("x", F.coalesce("x", F.lit(50.0)))
     low = C.low_pass(ev, 4.0).withColumn("late", F.lag("y", 2).over(O.W())).withColumn("late", F.coalesce("late", "y"))
     out = I.strongest_shifts(low, "late", ["x", "y"], 1.0)
     return out.select("series_id", "signal", r(F.col("corr"), 4).alias("corr"), r(F.col("time_constant_s"), 3).alias("time_constant_s"), "delay_s")
@@ -192,7 +192,7 @@ STEADY_SWEEP = "select range::double as u, round(5 + (least(range, 30) - 20) * 1
 
 def csv_text(spark, d):
     """Signals written as CSV lines and read back, to five digits."""
-    ev = events(spark, d).where("k < 50")
+    ev = events(spark, d)
     lines = files.csv_lines(ev.withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz")), ["x"]).where("k >= 0")
     cell = F.split("line", ";")
     return lines.select("series_id", "k", F.try_to_timestamp(cell[0]).cast("timestamp_ntz").alias("ts"), r(F.nanvl(cell[1].try_cast("double"), F.lit(-9999.0)), 2).alias("x"))

@@ -108,15 +108,15 @@ def downsampled(spark, d):
     return O.downsample_good(events(spark, d), 4, F.col("x").isNull() | (F.col("x") > 90)).select("series_id", "block", "k", r(F.col("x")).alias("x"), "flagged")
 
 
-def _grid(spark, d):
-    hours = spark.range(720).select((F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("id").cast("int"))).alias("ts"))
-    return hours
+def _grid(ev):
+    """Every hour from the one of the first sample of all series to the last sample."""
+    hour = F.date_trunc("hour", F.min("ts")).cast("timestamp_ntz")
+    return ev.agg(hour.alias("low"), F.max("ts").cast("timestamp_ntz").alias("high")).select(F.explode(F.sequence("low", "high", F.expr("interval 1 hour"))).alias("ts"))
 
 
 def oversampled(spark, d):
-    ev = events(spark, d).where("series_id <= 3")
-    ids = ev.select("series_id").distinct()
-    grid = _grid(spark, d).withColumn("series_id", F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 3)]))).join(ids, "series_id", "left_semi")
+    ev = events(spark, d)
+    grid = ev.select("series_id").distinct().crossJoin(F.broadcast(_grid(ev)))
     before, after = O.oversample(ev, grid), O.next_hold(ev, grid)
     return before.select("series_id", "ts", F.coalesce("k", F.lit(-1)).alias("k_before"), r(F.col("x")).alias("x_before")).join(
         after.select("series_id", "ts", F.col("k").alias("k_after")), ["series_id", "ts"]
@@ -199,8 +199,8 @@ select series_id, n + least(n, 3) as n, n + least(n, 3) - 1 as last, n + least(n
 def wide_long(spark, d):
     rows = table(spark, d, "events").select(F.col("user_id").alias("series_id"), F.col("ts").cast("date").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("signal"), F.col("value").alias("x"))
     daily = rows.groupBy("series_id", "ts", "signal").agg(F.max("x").alias("x"))
-    signals = ["click", "view", "purchase"]
-    w = D.wide(daily.where(F.col("signal").isin(signals)), signals)
+    signals = sorted(s for (s,) in rows.where("signal is not null").select("signal").distinct().collect())
+    w = D.wide(daily, signals)
     return D.long(w, signals).where("x is not null").select("series_id", "ts", "signal", r(F.col("x")).alias("x"))
 
 

@@ -191,7 +191,7 @@ select series_id, k, round(x * 0.5 - p, 6) + 0.0 as y, round(2 * p + 3, 6) as z
 
 
 def transposing(spark, d):
-    m = D.matrix(events(spark, d).where("k < 5 and x is not null").withColumn("y", F.col("x") * 2), ["x", "y"])
+    m = D.matrix(events(spark, d).where("x is not null").withColumn("y", F.col("x") * 2), ["x", "y"])
     return D.transposed(m).select("series_id", F.col("i").cast("long").alias("i"), F.size("column").cast("long").alias("n"), r(F.col("column")[0]).alias("first"), r(F.element_at("column", -1)).alias("last"))
 
 
@@ -228,7 +228,7 @@ def noises(spark, d):
 
 
 def array_texts(spark, d):
-    rows = events(spark, d).where("k < 4").groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("v"))
+    rows = events(spark, d).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("v"))
     return rows.select("series_id", S.array_text(F.col("v"), 4).alias("text"))
 
 
