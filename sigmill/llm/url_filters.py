@@ -5,7 +5,8 @@ pages that a block rule fits are distrusted ones, in proportion to those
 pages.  Trust is a personalised PageRank along the links between hosts,
 distrust one along the reversed links; a host whose distrust exceeds its
 trust is blocked, and all others are allowed.  Besides links in the html,
-a host and the domain above it are linked both ways.
+a host and the domain above it are linked both ways.  The walks go on
+until what is left of them cannot move a score by half of MARGIN.
 
 Defined cases: a null url, or one without `://`, has an empty host and
 path, fits no rule and is allowed; null html has no links; repeated rows
@@ -25,11 +26,16 @@ RULES = (
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),
 )
 DAMPING = 0.85
+#: Rounds of the SQL, which stops there; the query goes on until the scores settle.
 ROUNDS = 8
+#: Rounds between two tables of ranks; their difference bounds what is left.
+STRIDE = 4
 #: Distrust must exceed trust by this, so that sums in another order agree.
 MARGIN = 1e-9
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+#: Links of the SQL, and those of the query: in any case, with either quote or none.
 LINK = r"""href="(?:https?:)?//([^/?#"]+)"""
+HREF = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hosts up to which their scores are broadcast; beyond it they are joined by key.
 SMALL = 200_000
@@ -55,7 +61,7 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def host_edges(judged: DataFrame) -> DataFrame:
     """src, dst, p: distinct links between hosts, each host's shares adding up to 1."""
-    links = judged.select("host", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)))).alias("to"))
+    links = judged.select("host", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF), F.lit(1)))).alias("to"))
     links = links.select(F.col("host").alias("src"), _lower(F.col("to")).alias("dst"))
     labels = F.split("host", r"\.")
     above = judged.select("host").distinct().where(F.size(labels) > 2).select(
@@ -69,8 +75,8 @@ def host_edges(judged: DataFrame) -> DataFrame:
     return edges.where("src != dst and src != '' and dst != ''").distinct()
 
 
-def scores(judged: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust: both walks in the same rounds."""
+def scores(judged: DataFrame, damping: float = DAMPING, error: float = MARGIN / 2) -> DataFrame:
+    """host, trust, distrust: both walks in the same rounds, all scores together within `error` of their limits."""
     edges = written(host_edges(judged), "host-edges")
     walks = edges.select(F.lit("t").alias("kind"), "src", "dst").unionByName(
         edges.select(F.lit("d").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -83,14 +89,20 @@ def scores(judged: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) ->
     share = F.when(F.col("said") == "allow", F.col("n") / total.get("allow", 1)).otherwise(F.col("n") / total.get("block", 1))
     seeds = pages.select(F.when(F.col("said") == "allow", "t").otherwise("d").alias("kind"), "host", share.alias("seed"))
     rank = seeds.withColumnRenamed("seed", "r")
-    for k in range(rounds):
-        moved = rank.withColumnRenamed("host", "src").join(walks, ["kind", "src"]).select(
-            "kind", F.col("dst").alias("host"), (F.col("r") * F.col("p") * damping).alias("r")
-        )
-        back = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("r"))
-        rank = moved.unionByName(back).groupBy("kind", "host").agg(F.sum("r").alias("r"))
-        if k % 2 == 1 or k == rounds - 1:
-            rank = written(rank, "host-ranks")
+    back = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("r"))
+    # A round shrinks the L1 distance to the limit by the damping, so STRIDE rounds that moved
+    # the ranks by d leave at most d * shrunk / (1 - shrunk).
+    shrunk, left = damping**STRIDE, float("inf")
+    while left > error:
+        before = rank
+        for _ in range(STRIDE):
+            moved = rank.withColumnRenamed("host", "src").join(walks, ["kind", "src"]).select(
+                "kind", F.col("dst").alias("host"), (F.col("r") * F.col("p") * damping).alias("r")
+            )
+            rank = moved.unionByName(back).groupBy("kind", "host").agg(F.sum("r").alias("r"))
+        rank = written(rank, "host-ranks")
+        change = rank.unionByName(before.select("kind", "host", (-F.col("r")).alias("r"))).groupBy("kind", "host").agg(F.abs(F.sum("r")).alias("r"))
+        left = (change.agg(F.sum("r")).first()[0] or 0.0) * shrunk / (1 - shrunk)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("r"))), F.lit(0.0))
     return rank.groupBy("host").agg(of("t").alias("trust"), of("d").alias("distrust"))
 
