@@ -1,7 +1,9 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts are compared as words (runs of letters and digits, A-Z as a-z).  An
-item of n words may be changed by k = n / 5 word edits.  It is split into
+Texts are compared as words (runs of letters and digits, A-Z as a-z; in
+scripts without spaces each character is a word).  An item of n words may
+be changed by k = n / 5 word edits, so one of fewer than 5 words only
+matches exactly.  It is split into
 k + 1 pieces; at least one of them survives k edits unchanged, so exact
 hits of pieces find every passage within the budget.  The words around
 each hit are verified with Myers' bit-parallel distance.
@@ -9,9 +11,8 @@ each hit are verified with Myers' bit-parallel distance.
 Items reach the executors in blocks of bounded size; every block meets
 all documents.
 
-Defined cases: null texts are empty; items of fewer than LEAST_WORDS words
-are too common to be evidence and match nothing; repeated items each
-report; an empty benchmark or table gives an empty result; other columns
+Defined cases: null texts are empty; items without a word match nothing;
+repeated items each report; an empty benchmark or table gives an empty result; other columns
 are not looked at.
 """
 
@@ -29,13 +30,31 @@ from . import textkernel as K
 from .common import written
 
 BUDGET = 0.2
-LEAST_WORDS = 8
 #: Items sent to the executors at once.
 ITEMS = 20_000
 
 HITS = "doc_id bigint, tag bigint, item_id bigint, distance int, start int, end int"
 _INSIDE = np.zeros(256, bool)
 _INSIDE[48:58] = _INSIDE[65:91] = _INSIDE[97:123] = _INSIDE[128:] = True
+#: First and last code points of scripts without spaces: Thai and Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = (
+    (0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3041, 0x30FF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
+)
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word, and each text's first word (n + 1 values)."""
+    at = np.flatnonzero(data >= 0xE0)
+    size = np.where(data[at] >= 0xF0, 4, 3)
+    code = data[at].astype(np.int64) & np.where(size == 4, 7, 15)
+    for j in (1, 2, 3):
+        more = data[np.minimum(at + j, len(data) - 1)].astype(np.int64) & 63
+        code = np.where(j < size, code << 6 | more, code)
+    own = np.zeros(len(at), bool)
+    for low, high in UNSPACED:
+        own |= (code >= low) & (code <= high)
+    return K.words(data, offsets, _INSIDE, np.union1d(at[own], (at + size)[own]))
 
 
 class Pieces:
@@ -44,19 +63,19 @@ class Pieces:
     def __init__(self, items: list[tuple[int | None, str]], budget: float = BUDGET) -> None:
         column = pa.array([t for _, t in items], pa.large_string())
         data, offsets = K.buffers(column)
-        hashes, _, _, firsts = K.words(data, offsets, _INSIDE)
+        hashes, _, _, firsts = words(data, offsets)
         self.items, found = [], {}
         for (item, _), a, b in zip(items, firsts[:-1], firsts[1:], strict=True):
             n = int(b - a)
-            if n < LEAST_WORDS:
+            if not n:
                 continue
             k = int(n * budget)
-            words = hashes[a:b]
+            part = hashes[a:b]
             cuts = [i * n // (k + 1) for i in range(k + 2)]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                key = int(K.grams(words[x:y], np.array([0, y - x]), y - x)[0][0])
+                key = int(K.grams(part[x:y], np.array([0, y - x]), y - x)[0][0])
                 found.setdefault(y - x, {}).setdefault(key, []).append((len(self.items), x))
-            symbols = words.tolist()
+            symbols = part.tolist()
             self.items.append((item, symbols, myers.masks(symbols), k))
         self.tables = {}
         for size, keys in sorted(found.items()):
@@ -69,6 +88,8 @@ class Pieces:
         """(text, item, first word of the item if nothing before the piece changed), all pieces."""
         out = []
         for size, (order, bits, owners) in self.tables.items():
+            if size > len(hashes):
+                continue
             found, at = K.grams(hashes, firsts, size)
             may = np.flatnonzero(bits[(found >> np.uint64(48)).astype(np.int64)])
             slot = np.minimum(np.searchsorted(order, found[may]), len(order) - 1)
@@ -119,7 +140,7 @@ def _search(pieces) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
             found = []
             for a, b in K.blocks(offsets):
                 cut, part = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
-                hashes, starts, ends, firsts = K.words(part, cut, _INSIDE)
+                hashes, starts, ends, firsts = words(part, cut)
                 for text, item, distance, x, y in p.search(hashes, firsts):
                     points = (part[cut[text] : ends[y - 1]] & 0xC0) != 0x80
                     s = int(points[: starts[x] - cut[text]].sum())

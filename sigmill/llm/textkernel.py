@@ -77,13 +77,17 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, np.flatnonzero(inside & (~after | first[1:])) + 1
 
 
-def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~_SPACE, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of each word, and each text's first word (n + 1 values).
 
     `inside` tells for each byte whether words hold it; by default they
-    are divided by white space.  A-Z count as a-z.
+    are divided by white space.  A-Z count as a-z.  Words also end and
+    begin at `cuts`, positions in or beside words.
     """
     starts, ends = spans(data, offsets, inside[data])
+    if cuts is not None and len(cuts):
+        cuts = np.setdiff1d(cuts, np.union1d(starts, ends))
+        starts, ends = np.sort(np.append(starts, cuts)), np.sort(np.append(ends, cuts))
     up, down = _power(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUE[_LOWER[data]] * up[: len(data)], out=sums[1:])
