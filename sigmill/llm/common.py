@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -17,35 +18,62 @@ LOCAL_SHARED = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, as ``spark.checkpoint.dir`` names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The cluster's shared folder, as ``spark.checkpoint.dir`` names it; a local master may go without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
+
+
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def _at(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write `df` to the shared folder and read it back.
 
-    The copy outlives lost executors; it is removed when the driver's
-    Hadoop file systems close.
+    The copy outlives lost executors; it is removed by ``forget`` or when
+    the driver's Hadoop file systems close.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    files, place = _at(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for t in tables:
+        if path := _paths.pop(t, None):
+            files, place = _at(t.sparkSession, path)
+            files.delete(place, True)
+
+
+def text_tags(text: str = "text") -> list[Column]:
+    """`tag` and `tag2`, 128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("tag"), F.xxhash64(F.lit(1), text).alias("tag2")]
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of fewer rows, for rows that are long, while a table is written."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+def arrow_rows(spark: SparkSession, rows: int, size: int = 8 << 20) -> Iterator[None]:
+    """Arrow batches of fewer rows and bytes, for rows that are long, while a table is written."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, most in keys.items():
+        spark.conf.set(k, most)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def hash32(*cols: Column | str) -> Column:

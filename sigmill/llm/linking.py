@@ -3,14 +3,11 @@
 1. In each bucket every item is paired with the bucket's smallest.
 2. Pairs that pass the check are links; connected items are one class.
 3. In buckets that still hold several classes, the items outside the
-   largest class are strays.  In each of a few rounds they are paired with
-   one item of the largest class, another in every bucket and round, and
-   with one of the strays.
-4. Strays that are left meet the items of all other classes, each once
-   however many buckets they share, unless a bound on both excludes a
-   match.  Pairs of classes are tried with their most promising candidates
-   first, then with all that are left, until each candidate is verified or
-   its items are in one class.
+   largest are paired with one item of the largest.
+4. Only buckets that hold several classes after that can hide a link.  For their
+   items the caller gives a join that finds every pair of different classes
+   that may match.  First the most promising pair of each two classes is
+   verified, then every pair whose items are still in different classes.
 
 So no link between two items of one bucket is lost, and a bucket of one
 large class costs its size, not its square.
@@ -24,16 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import written
+from .common import forget, written
 from .graph import components
 
-#: Rounds of step 3.
-ROUNDS = 2
-#: Candidates of a pair of classes that are verified in the first rounds of step 4.
-TRIES = (4, 64)
-
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(band, node) in order -> band, node, least of bands with several nodes, and `edge`.
@@ -82,76 +73,71 @@ def buckets(keyed: DataFrame) -> DataFrame:
     told = written(ranged.mapInArrow(_runs, "band bigint, node bigint, least bigint, edge boolean"), "link-runs")
     edges = told.where("edge").select("band", "node")
     whole = written(edges.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("band", "least"), "link-edges")
-    return told.where("not edge").select("band", "node", "least").unionByName(edges.join(whole, "band")).where("node is not null")
+    out = written(told.where("not edge").select("band", "node", "least").unionByName(edges.join(whole, "band")), "link-buckets")
+    forget(told, whole)
+    return out
 
 
 def classes(
     keyed: DataFrame, promising: Callable[[DataFrame], DataFrame], links: Callable[[DataFrame], DataFrame],
-    bounds: Callable[[DataFrame], DataFrame] | None = None,
+    hidden: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """(node, band) -> (node, comp) of the nodes that have links.
 
     `promising` turns (a, b) into (a, b, agree), leaving out pairs that
-    can't match; `links` keeps those of (a, b) that do.  `bounds` turns
-    (node) into (node, has, needs), where `has` is an array: in step 4 two
-    items can only match if the sum of the smaller of their values in
-    `has` reaches the sum of their `needs`.
+    can't match; `links` keeps those of (a, b) that do, in a written table.
+    `hidden` turns (band, node, comp), the buckets of several classes, into
+    pairs (a, b) of different classes, a < b, repeats allowed.
     """
-    met = written(buckets(keyed), "link-buckets")
+    met = buckets(keyed)
     star = met.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     tried = written(promising(star), "link-star")
     found = links(tried.select("a", "b"))
-    comp = written(components(found), "link-classes")
-    for k in range(ROUNDS):
-        mixed = _mixed(met, comp)
-        pick = lambda who, salt: F.max_by("node", F.when(who, F.hash("node", "band", F.lit(salt))))  # noqa: E731, B023
-        main = F.col("comp") == F.col("main")
-        pivots = mixed.groupBy("band").agg(pick(main, k).alias("inner"), pick(~main, k).alias("outer"))
-        near = mixed.where("comp != main").select("band", "node").join(pivots, "band")
-        pairs = near.select("node", F.explode(F.array("inner", "outer")).alias("pivot")).where("node != pivot")
-        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        now = written(promising(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")), "link-star")
-        tried = tried.unionByName(now)
-        found = found.unionByName(links(now.select("a", "b")))
-        comp = written(components(found), "link-classes")
-    mixed, can = _mixed(met, comp), F.lit(True)
-    if bounds:
-        mixed = mixed.join(written(bounds(mixed.select("node").distinct()), "link-bounds"), "node")
-        shared = F.aggregate(F.zip_with("has_x", "has_y", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-        can = shared >= F.col("needs_x") + F.col("needs_y")
-    else:
-        mixed = mixed.withColumns({"has": F.array().cast("array<int>"), "needs": F.lit(0.0)})
-    # At most one band for each of a node's keys.  A pair that shares several is only made in the smallest.
-    keys = mixed.groupBy("node").agg(F.collect_set("band").alias("keys"))
-    mixed = written(mixed.join(keys, "node"), "link-keys")
-    side = lambda c: [F.col(n).alias(f"{n}_{c}") for n in ("node", "comp", "stray", "has", "needs", "keys")]
-    mixed = mixed.withColumn("stray", F.col("comp") != F.col("main"))
-    once = ~F.col("stray_y") | (F.col("node_x") < F.col("node_y"))
-    least = F.array_min(F.array_intersect("keys_x", "keys_y")) == F.col("band")
-    across = mixed.where("stray").select("band", *side("x")).join(mixed.select("band", *side("y")), "band")
-    across = across.where((F.col("comp_x") != F.col("comp_y")) & once & can & least)
-    across = across.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-    left = written(promising(across.join(tried.select("a", "b"), ["a", "b"], "left_anti")), "link-across")
-    for most in (*TRIES, None):
-        left = _between(left, comp)
+    comp = components(found)
+    forget(found)
+    mixed = _mixed(met, comp)
+    pairs = mixed.where("comp != main").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    again = written(promising(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")), "link-star")
+    comp = _joined(comp, links(again.select("a", "b")))
+    forget(mixed)
+    mixed = _mixed(met, comp)
+    forget(met)
+    if mixed.isEmpty():
+        return comp
+    tried = tried.unionByName(again)
+    rest = hidden(mixed.select("band", "node", "comp")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    left = _between(written(promising(rest), "link-hidden"), comp)
+    forget(mixed)
+    best = left.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
+    for last in (False, True):
         if left.isEmpty():
             break
-        now = left if most is None else left.withColumn(
-            "k", F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.desc("agree"), "a", "b"))
-        ).where(F.col("k") <= most).drop("k")
-        now = written(now.select("a", "b"), "link-tries")
-        found = found.unionByName(links(now))
-        comp = written(components(found), "link-classes")
-        left = left.join(now, ["a", "b"], "left_anti")
+        comp = _joined(comp, links(left.select("a", "b") if last else best))
+        if not last:
+            after = _between(left, comp)
+            forget(left)
+            left = after
+    forget(left)
     return comp
 
 
+def _joined(comp: DataFrame, found: DataFrame) -> DataFrame:
+    """The classes after more links."""
+    if found.isEmpty():
+        return comp
+    out = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found))
+    forget(comp, found)
+    return out
+
+
 def _mixed(met: DataFrame, comp: DataFrame) -> DataFrame:
-    """band, node, comp, main of the buckets with several classes; main is the largest."""
+    """band, node, comp, main, pivot of the buckets with several classes; main is the largest, pivot an item of it."""
     placed = written(met.join(comp, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp")), "link-placed")
-    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
-    return written(placed.join(main.select("band", "main"), "band"), "link-mixed")
+    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n"), F.max("node").alias("last"))
+    main = sizes.groupBy("band").agg(F.max_by("comp", "n").alias("main"), F.max_by("last", "n").alias("pivot"), F.count("*").alias("classes"))
+    out = written(placed.join(main.where("classes > 1").drop("classes"), "band"), "link-mixed")
+    forget(placed)
+    return out
 
 
 def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:

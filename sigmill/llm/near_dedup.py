@@ -10,18 +10,23 @@ smaller counts over the sum of the larger ones.
 
 Coordinates are joined in bands.  Candidates are verified exactly on
 their texts; a candidate is only set aside unread when its weights, or
-all coordinates together, rule out the threshold (five standard errors).
+all coordinates together, rule out the threshold (five standard errors,
+a chance below 3e-7).
 
-1. Texts with equal shingle counts are one node.
-2. Nodes that share a band bucket are linked as ``linking`` describes.
+1. Texts with equal shingle counts, by a hash of 128 bits, are one node.
+2. Nodes that share a band bucket are linked as ``linking`` describes: each
+   with the bucket's first, and in buckets that hold several classes after
+   that, by a prefix join on shingles (see ``_hidden``).
 
 Bands miss a pair at the threshold with a probability below 1e-6 (see
 BANDS); nothing else loses a link.
 
 Defined cases: null text counts as empty; a text without words is in a
 class of its own; a text of fewer than five words is one shingle; of
-wholly equal rows one stays; null doc_ids come last; an empty table gives
-an empty result; other columns are not looked at.
+wholly equal rows one stays; null doc_ids come last, doc_ids may be of any
+type that has an order; a very long text is hashed in parts; ties between
+equal doc_ids go to the smaller hash of the text; an empty table gives an
+empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,12 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import linking
 from . import textkernel as K
-from .common import arrow_rows, written
+from .common import arrow_rows, forget, text_tags, written
 
 THRESHOLD = 0.8
 #: 36 bands of 5: a pair of similarity 0.8 is missed with probability (1 - 0.8**5)**36 = 6e-7.
@@ -47,14 +54,12 @@ DARTS = COORDS * (np.log(COORDS) + 4)
 LEAST = THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / COORDS) ** 0.5
 #: Texts signed at once; each has about DARTS darts in memory.
 TEXTS = 256
-#: Parts of the shingles that bounds are counted for.
-PARTS = 32
-#: Rows of an Arrow batch that holds two texts a row.
-PAIRS = 256
+#: Rows of an Arrow batch that holds two texts a row, and bytes compared at once.
+PAIRS, PAIR_BYTES = 256, 1 << 20
 #: Rows of a narrow side up to which it is broadcast, at 8 bytes a key.
 SMALL = 1_000_000
 
-SIGNED = "row bigint, doc_id bigint, tag bigint, node bigint, weight int, bands array<bigint>, coords binary"
+SIGNED = "hi bigint, lo bigint, weight int, bands array<bigint>, coords binary"
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -100,15 +105,15 @@ def _darts(units: np.ndarray, of: np.ndarray, reach: np.ndarray, n: int) -> tupl
 
 
 def signatures(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per block: coordinates (texts x COORDS, 0 where no words), weight, node."""
+    """Per block: coordinates (texts x COORDS, 0 where no words), weight, 128-bit hash of the counts (texts x 2)."""
     for a, b, keys, copy, firsts in _weighted(column):
         n, weight = b - a, np.diff(firsts)
         of = np.repeat(np.arange(n), weight)
         units = K.mix((keys & np.uint64((1 << 44) - 1)) * np.uint64(0x9E3779B97F4A7C15) + copy.astype(np.uint64) * _STEP)
         full = np.flatnonzero(weight)
-        node = np.zeros(n, np.uint64)
-        if len(full):
-            node[full] = K.mix(np.add.reduceat(K.mix(units ^ np.uint64(0x5555)), firsts[full]))
+        node = np.zeros((n, 2), np.uint64)
+        for i, salt in enumerate((0x5555, 0xAAAA) if len(full) else ()):
+            node[full, i] = np.add.reduceat(K.mix(units ^ np.uint64(salt)), firsts[full])
         coords = np.zeros((n, COORDS), np.uint64)
         todo, reach = full, DARTS / np.maximum(weight, 1)
         while len(todo):
@@ -127,21 +132,19 @@ _BAND = K.mix(np.arange(1, COORDS + 1, dtype=np.uint64)).reshape(BANDS, ROWS) |
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([
-        ("row", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("node", pa.int64()), ("weight", pa.int32()),
-        ("bands", pa.list_(pa.int64())), ("coords", pa.binary()),
-    ])
+    """(row, doc_id, tag, tag2, text) -> the first four columns and SIGNED."""
     for batch in batches:
         done = 0
-        for coords, weight, node in signatures(batch.column(3)):
+        for coords, weight, node in signatures(batch.column(4)):
             n = len(weight)
             bands = K.mix((coords.reshape(n, BANDS, ROWS) * _BAND).sum(axis=2))
             short = (coords >> np.uint64(48)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([
-                *(batch.column(i).slice(done, n) for i in range(3)), pa.array(node.view(np.int64)), pa.array(weight.astype(np.int32)),
+                *(batch.column(i).slice(done, n) for i in range(4)), pa.array(node[:, 0].view(np.int64)), pa.array(node[:, 1].view(np.int64)),
+                pa.array(weight.astype(np.int32)),
                 pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), bands.view(np.int64).ravel()),
                 pa.array([r.tobytes() for r in short], pa.binary()),
-            ], schema=schema)
+            ], ["row", "doc_id", "tag", "tag2", "hi", "lo", "weight", "bands", "coords"])
             done += n
 
 
@@ -161,10 +164,13 @@ def similarity(texts: pa.Array, others: pa.Array) -> np.ndarray:
     n, out = len(texts), []
     both = pa.concat_arrays([texts.cast(pa.large_string()), others.cast(pa.large_string())])
     order = np.arange(2 * n).reshape(2, n).T.ravel()
-    step = 256
-    for start in range(0, n, step):
-        part = both.take(pa.array(order[2 * start : 2 * (start + step)]))
-        m = len(part) // 2
+    size = np.add(*(pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (texts, others)))
+    ends = np.append(0, np.cumsum(size))
+    start = 0
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + PAIR_BYTES, "right")) - 1)
+        part = both.take(pa.array(order[2 * start : 2 * stop]))
+        start, m = stop, len(part) // 2
         data, offsets = K.buffers(part)
         hashes, _, _, firsts = K.words(data, offsets)
         found, at = K.grams(hashes, firsts, K.SHINGLE)
@@ -208,88 +214,105 @@ class _Texts:
     """Verifies pairs of nodes on the documents' own texts."""
 
     def __init__(self, docs: DataFrame, signed: DataFrame) -> None:
-        self.docs = docs.select(F.xxhash64("text").alias("tag"), "text")
-        self.tags = signed.groupBy("node").agg(F.min("tag").alias("tag"))
+        self.docs = docs.select(*text_tags(), "text")
+        self.signed = signed
 
     def of(self, need: DataFrame) -> DataFrame:
-        """(node) -> (node, text)."""
-        need = written(need.join(self.tags, "node"), "near-needed")
+        """(node) -> (node, text) in a written table."""
+        need = written(self.signed.select(F.col("row").alias("node"), "tag", "tag2").join(need, "node", "left_semi"), "near-needed")
         side = F.broadcast(need) if need.count() <= SMALL else need
-        return self.docs.join(side, "tag").dropDuplicates(["node"]).select("node", "text")
-
-    def bounds(self, nodes: DataFrame) -> DataFrame:
-        """(node) -> (node, has, needs) for ``linking``.
-
-        A match of two texts shares at least t / (1 + t) of their weights'
-        sum; `needs` is a text's own part of it.  A text can't share
-        shingles that only it has: `has` is the weight of the others in
-        each of PARTS parts of the shingles.
-        """
-        with arrow_rows(self.docs.sparkSession, 8 * TEXTS):
-            each = written(self.of(nodes).mapInArrow(_shingles, "node bigint, gram bigint, n int"), "near-shingles")
-        own = each.groupBy("gram").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.sum("n").alias("n")).where("node = other")
-        rest = each.select("node", "gram", "n", F.lit(0).alias("own")).unionByName(own.select("node", "gram", "n", F.lit(1).alias("own")))
-        part, left = F.pmod("gram", F.lit(PARTS)), F.when(F.col("own") == 0, F.col("n")).otherwise(-F.col("n"))
-        return rest.groupBy("node").agg(
-            F.array(*[F.sum(F.when(part == i, left).otherwise(0)).cast("int") for i in range(PARTS)]).alias("has"),
-            (F.sum(F.when(F.col("own") == 0, F.col("n"))) * (THRESHOLD / (1 + THRESHOLD)) - 1e-6).alias("needs"),
-        )
+        out = written(self.docs.join(side, ["tag", "tag2"]).dropDuplicates(["node"]).select("node", "text"), "near-texts")
+        forget(need)
+        return out
 
     def links(self, pairs: DataFrame) -> DataFrame:
         need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = written(self.of(need), "near-texts")
+        texts = self.of(need)
         left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
         sims = both.mapInArrow(_verify, "a bigint, b bigint, sim double")
         with arrow_rows(self.docs.sparkSession, PAIRS):
-            return written(sims.where(F.col("sim") >= THRESHOLD).select("a", "b"), "near-links")
-
-
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The signed rows (doc_id, tag, node, weight) and (node, class) of nodes with links."""
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tag"), "text"
-    )
+            out = written(sims.where(F.col("sim") >= THRESHOLD).select("a", "b"), "near-links")
+        forget(texts)
+        return out
+
+    def promising(self, pairs: DataFrame) -> DataFrame:
+        """(a, b) -> (a, b, agree) of the pairs whose weights and coordinates don't rule out the threshold."""
+        for c in "ab":
+            pairs = pairs.join(self.signed.select(F.col("row").alias(c), F.col("weight").alias(f"w{c}"), F.col("coords").alias(f"s{c}")), c)
+        pairs = pairs.where(F.least("wa", "wb") >= THRESHOLD * F.greatest("wa", "wb"))
+        return pairs.select("a", "b", "sa", "sb").mapInArrow(_agree, "a bigint, b bigint, agree double")
+
+    def hidden(self, mixed: DataFrame) -> DataFrame:
+        """Pairs of different classes that may match, by their rarest shingles.
+
+        Two texts of similarity t share at least t of the larger weight.
+        With all shingles in one order, by the number of nodes that have
+        them, the first that they share is therefore in both among those
+        with at most 1 - t of the weight before them, and what follows it
+        in either is at least t / (1 + t) of both weights.  Shingles that
+        only one node has come first in the order and are never joined, so
+        texts that differ by many edits of their own meet nothing.
+        """
+        comp = mixed.select("node", "comp").distinct()
+        texts = self.of(comp.select("node"))
+        with arrow_rows(self.docs.sparkSession, 8 * TEXTS):
+            each = written(texts.mapInArrow(_shingles, "node bigint, gram bigint, n int"), "near-shingles")
+        forget(texts)
+        often = each.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+        shared = written(each.join(often, "gram"), "near-shared")
+        forget(each)
+        rows = shared.join(comp, "node").join(self.signed.select(F.col("row").alias("node"), "weight"), "node")
+        mine, order = Window.partitionBy("node"), Window.partitionBy("node").orderBy("df", "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        rows = rows.withColumn("rest", F.sum("n").over(order)).withColumn("all", F.sum("n").over(mine))
+        rows = written(rows.where(F.col("rest") >= THRESHOLD * F.col("weight")).select("node", "comp", "gram", "weight", "rest"), "near-prefixes")
+        forget(shared)
+        x, y = (rows.select("gram", *[F.col(n).alias(f"{n}_{c}") for n in ("node", "comp", "weight", "rest")]) for c in "xy")
+        fits = F.least("rest_x", "rest_y") >= (F.col("weight_x") + F.col("weight_y")) * (THRESHOLD / (1 + THRESHOLD)) - 1e-6
+        met = x.join(y, "gram").where((F.col("node_x") < F.col("node_y")) & (F.col("comp_x") != F.col("comp_y")) & fits)
+        return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+
+
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed rows, the nodes (hi, lo, node, w, n) and (node, comp) of nodes with links.
+
+    A node is the number of its first row in the written table.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *text_tags(), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
     with arrow_rows(docs.sparkSession, 8 * TEXTS):
-        signed = written(rows.mapInArrow(_sign, SIGNED), "near-signed")
-    # Rows are numbered in the written table; joining on the number spreads equal texts.
-    first = written(signed.where("weight > 0").groupBy("node").agg(F.min("row").alias("row")).select("row"), "near-firsts")
-    nodes = written(signed.join(first, "row").select("node", "weight", "bands", "coords"), "near-nodes")
-    keyed = nodes.select("node", F.posexplode("bands").alias("i", "band")).select("node", F.xxhash64("i", "band").alias("band"))
+        signed = written(rows.mapInArrow(_sign, f"row bigint, doc_id {kind}, tag bigint, tag2 bigint, {SIGNED}"), "near-signed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "tag", "tag2")).alias("w")
+    nodes = written(
+        signed.where("weight > 0").select("hi", "lo", "row", "doc_id", "tag", "tag2").groupBy("hi", "lo").agg(F.min("row").alias("node"), first, F.count("*").alias("n")),
+        "near-nodes",
+    )
+    firsts = signed.select(F.col("row").alias("node"), "bands").join(nodes.select("node"), "node", "left_semi")
+    keyed = firsts.select("node", F.posexplode("bands").alias("i", "band")).select("node", F.xxhash64("i", "band").alias("band"))
     texts = _Texts(docs, signed)
-    return signed, linking.classes(keyed, lambda pairs: _promising(pairs, nodes), texts.links, texts.bounds)
-
-
-def _promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose weights and coordinates don't rule out the threshold."""
-    for c in "ab":
-        pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("weight").alias(f"w{c}"), F.col("coords").alias(f"s{c}")), c)
-    pairs = pairs.where(F.least("wa", "wb") >= THRESHOLD * F.greatest("wa", "wb"))
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(_agree, "a bigint, b bigint, agree double")
+    return signed, nodes, linking.classes(keyed, texts.promising, texts.links, texts.hidden)
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, class_id, class_tag, class_size for every row.
+    """doc_id, tag, tag2, class_id, class_tag, class_tag2, class_size for every row.
 
-    class_id is the class's smallest doc_id, class_tag its text's hash.
+    class_id is the class's smallest doc_id, class_tag and class_tag2 the
+    hash of its text.
     """
-    signed, comp = classes(docs)
-    rows = signed.select("doc_id", "tag", "node", "weight")
-    sizes = rows.where("weight > 0").groupBy("node").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "tag")).alias("w"), F.count("*").alias("n")
-    )
-    merged = sizes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    signed, nodes, comp = classes(docs)
+    merged = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     whole = merged.groupBy("comp").agg(F.min("w").alias("w"), F.sum("n").alias("class_size")).where("class_size > 1")
-    many = merged.select("node", "comp").join(whole, "comp").select(
-        "node", F.col("w.doc_id").alias("class_id"), F.col("w.tag").alias("class_tag"), "class_size"
-    )
-    many = written(many, "near-members")
+    many = written(merged.select("hi", "lo", "comp").join(whole, "comp").select(
+        "hi", "lo", F.col("w.doc_id").alias("class_id"), F.col("w.tag").alias("class_tag"), F.col("w.tag2").alias("class_tag2"), "class_size"
+    ), "near-members")
+    forget(nodes, comp)
     side = F.broadcast(many) if many.count() <= SMALL else many
-    out = rows.withColumn("node", F.when(F.col("weight") > 0, F.col("node"))).join(side, "node", "left")
+    rows = signed.select("doc_id", "tag", "tag2", "lo", F.when(F.col("weight") > 0, F.col("hi")).alias("hi"))
+    out = rows.join(side, ["hi", "lo"], "left")
     alone = F.col("class_size").isNull()
+    own = lambda c, other: F.when(alone, F.col(c)).otherwise(F.col(other)).alias(other)
     return out.select(
-        "doc_id", "tag", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, F.col("tag")).otherwise(F.col("class_tag")).alias("class_tag"),
+        "doc_id", "tag", "tag2", own("doc_id", "class_id"), own("tag", "class_tag"), own("tag2", "class_tag2"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
     )
 
@@ -297,20 +320,20 @@ def near_classes(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay: one of each class, all columns kept."""
     found = near_classes(docs)
-    stays = found["doc_id"].eqNullSafe(found["class_id"]) & (found["tag"] == found["class_tag"])
+    stays = found["doc_id"].eqNullSafe(found["class_id"]) & (found["tag"] == found["class_tag"]) & (found["tag2"] == found["class_tag2"])
     gone = written(
-        found.groupBy("doc_id", "tag").agg(F.count("*").alias("n"), F.max("class_size").alias("c"), F.max(stays).alias("stays"))
-        .where("not stays or (n > 1 and c > 1)").select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"), "stays"),
+        found.groupBy("doc_id", "tag", "tag2").agg(F.count("*").alias("n"), F.max("class_size").alias("c"), F.max(stays).alias("stays"))
+        .where("not stays or (n > 1 and c > 1)").select(F.struct("doc_id", "tag", "tag2").alias("key"), "stays"),
         "near-gone",
     )
     side = F.broadcast(gone) if gone.count() <= SMALL else gone
-    tag = F.xxhash64("text")
-    marked = docs.withColumn("_tag", tag).join(
-        side, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (F.col("_tag") == F.col("_t")), "left"
-    )
-    rest = marked.where("stays is null").select(*docs.columns)
+    # All of the documents' columns are one column here, so their names can't clash with these.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.struct("doc_id", *text_tags()).alias("key"))
+    same = [F.col("l.key.doc_id").eqNullSafe(F.col("r.key.doc_id")), F.col("l.key.tag") == F.col("r.key.tag"), F.col("l.key.tag2") == F.col("r.key.tag2")]
+    marked = whole.alias("l").join(side.alias("r"), same, "left").select("l.all", "l.key", "stays")
+    rest = marked.where("stays is null").select("all.*")
     # Wholly equal rows of the document that stays: one of them.
-    twice = marked.where("stays").dropDuplicates(["_d", "_t"]).select(*docs.columns)
+    twice = marked.where("stays").groupBy("key").agg(F.first("all").alias("all")).select("all.*")
     return rest.unionByName(twice)
 
 

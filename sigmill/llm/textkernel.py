@@ -12,8 +12,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes handled at once, unless one text is longer.
-BLOCK = 1 << 20
+#: Bytes of texts handled at once, unless one text is longer.
+BLOCK = 1 << 18
+#: Bytes whose words are hashed at once, unless one word is longer.
+CHUNK = 1 << 16
 SHINGLE = 5
 
 _SPACE = np.zeros(256, bool)
@@ -32,16 +34,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64))
 _COEF = mix(np.arange(1001, 1065, dtype=np.uint64)) | np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            row = np.full(n, base, np.uint64)
-            row[0] = 1
-            _powers[i] = np.cumprod(row)
-    return _powers[0], _powers[1]
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 2**64)):
+        row = np.full(n, base, np.uint64)
+        row[0] = 1
+        out.append(np.cumprod(row))
+    return out[0], out[1]
+
+
+_KNOWN = _powers(2 * CHUNK)
+
+
+def substrings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each part of `data`; A-Z count as a-z.  Starts and ends ascend."""
+    out, a = np.empty(len(starts), np.uint64), 0
+    while a < len(starts):
+        low = starts[a]
+        b = max(a + 1, int(np.searchsorted(ends, low + CHUNK, "right")))
+        size = int(ends[b - 1] - low)
+        up, down = _KNOWN if size < len(_KNOWN[0]) else _powers(size + 1)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_VALUE[_LOWER[data[low : low + size]]] * up[:size], out=sums[1:])
+        s, e = starts[a:b] - low, ends[a:b] - low
+        out[a:b] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        a = b
+    return out
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +74,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(offsets) else data, offsets - (offsets[0] if len(offsets) else 0)
 
 
-def blocks(offsets: np.ndarray, most: int = BLOCK, texts: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, most: int = BLOCK, texts: int = 1 << 12) -> Iterator[tuple[int, int]]:
     """Ranges of at most `texts` texts of up to `most` bytes together, or one longer text."""
     a, n = 0, len(offsets) - 1
     while a < n:
@@ -88,11 +108,7 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = ~_SPACE, c
     if cuts is not None and len(cuts):
         cuts = np.setdiff1d(cuts, np.union1d(starts, ends))
         starts, ends = np.sort(np.append(starts, cuts)), np.sort(np.append(ends, cuts))
-    up, down = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[_LOWER[data]] * up[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, starts, ends, np.searchsorted(starts, offsets)
+    return substrings(data, starts, ends), starts, ends, np.searchsorted(starts, offsets)
 
 
 def grams(hashes: np.ndarray, firsts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +119,7 @@ def grams(hashes: np.ndarray, firsts: np.ndarray, n: int) -> tuple[np.ndarray, n
     at = np.arange(total)
     short = (np.repeat(counts, counts) < n) & (at == np.repeat(firsts[:-1], counts))
     out = hashes * _COEF[0]
-    for j in range(1, n):
+    for j in range(1, min(n, total)):
         more = np.zeros(total, np.uint64)
         more[: total - j] = hashes[j:] * _COEF[j]
         out += np.where(at + j < end, more, np.uint64(0))
