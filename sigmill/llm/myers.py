@@ -47,6 +47,34 @@ def distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
     return score
 
 
+def within(a: Sequence[Hashable], b: Sequence[Hashable], most: int) -> bool:
+    """Whether the edit distance is at most `most`; what both begin and end with costs nothing."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    low = _common(a, b, lambda x, n: x[:n])
+    a, b = a[low:], b[low:]
+    high = _common(a, b, lambda x, n: x[len(x) - n :])
+    a, b = a[: len(a) - high], b[: len(b) - high]
+    if not a or not b:
+        return True
+    left = len(b)
+    for score in _columns(masks(a), len(a), b, False):
+        left -= 1
+        # The last row's distance falls by at most one a symbol.
+        if score - left > most:
+            return False
+    return score <= most
+
+
+def _common(a: Sequence[Hashable], b: Sequence[Hashable], part) -> int:
+    """The length of the longest equal part, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if part(a, mid) == part(b, mid) else (low, mid - 1)
+    return low
+
+
 def ends(peq: dict[Hashable, int], m: int, text: Sequence[Hashable]) -> list[int]:
     """For each end in the text, the least distance of the pattern to a part that ends there."""
     return list(_columns(peq, m, text, True))

@@ -263,8 +263,9 @@ class _Texts:
         shared = written(each.join(often, "gram"), "near-shared")
         forget(each)
         rows = shared.join(comp, "node").join(self.signed.select(F.col("row").alias("node"), "weight"), "node")
-        mine, order = Window.partitionBy("node"), Window.partitionBy("node").orderBy("df", "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        rows = rows.withColumn("rest", F.sum("n").over(order)).withColumn("all", F.sum("n").over(mine))
+        mine = Window.partitionBy("node")
+        upto = F.sum("n").over(mine.orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        rows = rows.withColumn("rest", F.sum("n").over(mine) - upto + F.col("n"))
         rows = written(rows.where(F.col("rest") >= THRESHOLD * F.col("weight")).select("node", "comp", "gram", "weight", "rest"), "near-prefixes")
         forget(shared)
         x, y = (rows.select("gram", *[F.col(n).alias(f"{n}_{c}") for n in ("node", "comp", "weight", "rest")]) for c in "xy")

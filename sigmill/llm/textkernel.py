@@ -48,6 +48,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _KNOWN = _powers(2 * CHUNK)
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return _LOWER[data]
+
+
 def substrings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each part of `data`; A-Z count as a-z.  Starts and ends ascend."""
     out, a = np.empty(len(starts), np.uint64), 0

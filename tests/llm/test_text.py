@@ -197,12 +197,8 @@ def test_line_dedup_equals_all_pairs(docs, rows, empty, spark, words):
                     lines.append((rows[i][0], i, j, n))
                     texts.setdefault(n, len(texts))
         names = list(texts)
-        data, offsets = K.buffers(pa.array(names))
-        _, _, _, sim, count, _ = line_dedup.line_hashes(data, offsets)
-        links = [
-            (a, b) for a, b in itertools.combinations(range(len(names)), 2)
-            if min(count[a], count[b]) >= 5 and int(sim[a] ^ sim[b]).bit_count() <= 3 and myers.distance(names[a], names[b]) <= 0.2 * max(len(names[a]), len(names[b])) + 1e-9
-        ]
+        alike = lambda x, y: min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and myers.distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9
+        links = [(a, b) for a, b in itertools.combinations(range(len(names)), 2) if alike(names[a], names[b])]
         comp = components(range(len(names)), links)
         seen, gone = set(), Counter()
         for doc, _, _, n in lines:
@@ -228,6 +224,39 @@ def test_line_dedup_equals_all_pairs(docs, rows, empty, spark, words):
     assert {tuple(x) for x in out.collect()} == {(1, "one line\ntwo"), (2, "\nthree"), (3, None)}
 
 
+@pytest.mark.parametrize("n", [1, 5, 8, 14, 15, 40, 300])
+def test_line_candidates_at_the_threshold(n, words):
+    """Lines with as many words replaced as an edit similarity of 0.8 allows: 0.9 or more are candidates."""
+    r, ones, others = random.Random(n), [], []
+    while len(ones) < 60:
+        new = [r.choice(words) for _ in range(n)]
+        x = y = " ".join(new)
+        for i in r.sample(range(n), n):
+            more = [*new[:i], r.choice(words) if n > 1 else new[0][:-1] + "q", *new[i + 1 :]]
+            if myers.distance(x, " ".join(more)) > 0.2 * max(len(x), len(" ".join(more))):
+                break
+            new, y = more, " ".join(more)
+        if x != y:
+            ones.append(x)
+            others.append(y)
+    data, offsets = K.buffers(pa.array(["\n".join(ones + others)]))
+    _, _, count, plain, at, hashes, firsts = line_dedup.plain_lines(data, offsets)
+    line, key = line_dedup.line_keys(count, plain, at, hashes, firsts)
+    keys = [set(key[line == i].tolist()) for i in range(len(count))]
+    bits = np.unpackbits(line_dedup.sim_hashes(plain, at).view(np.uint8), axis=1).astype(int)
+    x, y = bits[: len(ones)], bits[len(ones) :]
+    close = (x != y).sum(axis=1) <= np.minimum(line_dedup.BITS, line_dedup.SHARE * (x + y).sum(axis=1) + line_dedup.EVEN)
+    assert np.mean([bool(keys[i] & keys[len(ones) + i]) and close[i] for i in range(len(ones))]) >= 0.9
+
+
+def test_bounded_distance_equals_dynamic_programming():
+    r = random.Random(21)
+    for _ in range(400):
+        a, b = ("".join(r.choice("ab") for _ in range(r.randint(0, 25))) for _ in range(2))
+        for most in (0, 2, 5, 30):
+            assert myers.within(a, b, most) == (plain_distance(a, b) <= most)
+
+
 def test_leaks_equal_dynamic_programming(spark, words):
     r = random.Random(11)
     prose = lambda n: [r.choice(words) for _ in range(n)]
