@@ -13,14 +13,24 @@ The network learns from a bounded sample of labelled rows (see
 ``labelled_windows``), which is the only data that reaches the driver; it
 is applied to whole texts, batch by batch.
 
+The softmax has one more class, none, taught by windows that are no
+language: windows of the sample with their letters shuffled, and random
+strings.  It is left out of predictions and scores.  The filter rejects
+texts without a letter and those that are none with a probability beyond
+what clean texts of the held-out fold reach (see ``most_none``).
+
 Defined cases: a null text, or one without a letter, is `und` with score
-0; without any labelled row every text is `und`; rows with a null label
-teach nothing; repeated rows repeat; an empty table gives an empty result;
-columns besides doc_id, text and lang are not looked at.
+0; without any labelled row every text is `und`, and the filter, which then
+has nothing to judge by, rejects only texts without a letter; rows with a
+null label teach nothing; of labels with equal scores the first by code
+point is predicted; repeated rows repeat; very long texts are read window
+by window; doc_ids may be of any type; an empty table gives an empty
+result; columns besides doc_id, text and lang are not looked at.
 """
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -37,15 +47,15 @@ WIDTHS = (2, 3, 4)
 CLASSES = 128
 #: Bound of the sample: labelled rows of each language, one window of each.
 SAMPLE = 1500
-#: More labels than this are no language labels.
-MOST_LABELS = 500
+#: The filter rejects what is none with at least this probability, or that of all but a share TAIL of the held-out windows.
+NONE, TAIL = 0.98, 0.001
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 UND = "und"
 
 
 def _byte_classes() -> np.ndarray:
     """Class of each byte; 0 is padding.  Letters and bytes of longer characters are told apart."""
-    out = np.full(256, 1, np.int64)
+    out = np.full(256, 1, np.uint8)
     out[48:58] = 2
     out[97:123] = out[65:91] = np.arange(3, 29)
     out[[32, 9, 10, 11, 12, 13]] = 29
@@ -59,7 +69,7 @@ CLASS = _byte_classes()
 
 @dataclass
 class Model:
-    """labels; filter tables (width, position, class, filter); softmax weights and bias."""
+    """labels; filter tables (width, position, class, filter); softmax weights and bias, the last class being none."""
 
     labels: list[str]
     filters: list[np.ndarray]
@@ -73,17 +83,17 @@ class Model:
         return np.concatenate(both, axis=1).astype(np.float32), self.filters[1][2].astype(np.float32)
 
     def predict(self, data: np.ndarray, offsets: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Mean log-probabilities, texts x labels."""
+        """Mean log-probabilities, texts x (labels and none)."""
         sizes = np.diff(offsets)
         counts = np.maximum(1, -(-(sizes + len(WIDTHS)) // WINDOW))
         starts = np.concatenate([[0], np.cumsum(counts * WINDOW)])
-        code = np.zeros(starts[-1] + 4, np.int64)
+        code = np.zeros(starts[-1] + 4, np.uint8)
         code[np.arange(offsets[0], offsets[-1]) - offsets[0] + np.repeat(starts[:-1] - (offsets[:-1] - offsets[0]), sizes)] = CLASS[data]
         best = np.empty((len(code) // WINDOW, len(WIDTHS) * FILTERS), np.float32)
         step = WINDOW * 32
         for a in range(0, int(starts[-1]), step):
             b = min(a + step, int(starts[-1]))
-            part = code[a : b + 4]
+            part = code[a : b + 4].astype(np.int64)
             got = tables[0][part[:-1] * CLASSES + part[1:]]
             n, f = b - a, FILTERS
             here = best[a // WINDOW : b // WINDOW]
@@ -101,17 +111,38 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def _no_language(texts: list[str], rng: np.random.Generator) -> list[str]:
+    """Of every second window its letters in another order, and for every eighth a random string."""
+    out = []
+    for t in texts[::2]:
+        where = [i for i, c in enumerate(t) if c.isalpha()]
+        mixed = list(t)
+        for i, j in zip(where, rng.permutation(len(where)), strict=True):
+            mixed[i] = t[where[j]]
+        if len(where) > 20:
+            out.append("".join(mixed))
+    for i in range(len(texts) // 8):
+        raw = rng.bytes(WINDOW)
+        out.append((raw.hex(), base64.b64encode(raw).decode(), "".join(chr(97 + b % 26) if b % 7 else " " for b in raw))[i % 3][:WINDOW])
+    return out
+
+
 def train(texts: list[str], labels: list[str], seed: int = 0) -> Model:
     """Fit on one window of each text.  Adam; gradients reach a filter where its response is largest."""
     names = sorted(set(labels))
-    y = np.array([names.index(x) for x in labels])
+    rng = np.random.default_rng(seed)
+    odd = _no_language(texts, rng)
+    y = np.array([names.index(x) for x in labels] + [len(names)] * len(odd))
+    texts = texts + odd
     code = np.zeros((len(texts), WINDOW + 4), np.int64)
     for i, t in enumerate(texts):
-        raw = np.frombuffer(t.encode()[:WINDOW], np.uint8)
+        raw = np.frombuffer(t.encode(), np.uint8)
+        # A window of characters may have more bytes: which of them are used depends on the place of the row.
+        at = i * 7919 % max(1, len(raw) - WINDOW + 1)
+        raw = raw[at : at + WINDOW]
         code[i, : len(raw)] = CLASS[raw]
-    rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (w, CLASSES, FILTERS)) for w in WIDTHS]
-    params += [rng.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(names))), np.zeros(len(names))]
+    params += [rng.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(names) + 1)), np.zeros(len(names) + 1)]
     first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(texts))
@@ -149,24 +180,39 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_windows(docs: DataFrame, per_label: int = SAMPLE) -> list[tuple[str, str]]:
-    """(window, lang) of about `per_label` labelled rows of each language outside the held-out fold.
+def labelled_windows(docs: DataFrame, per_label: int = SAMPLE, tested: bool = False) -> list[tuple[str, str]]:
+    """(window, lang) of about `per_label` labelled rows of each language outside the held-out fold, or of it.
 
     Which rows, and where the window begins in the text, depends on a hash
-    of the doc_id.  Rows with a null doc_id teach nothing.
+    of the doc_id and the text.  Rows with a null doc_id teach nothing.
     """
-    taught = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r[0]: r[1] for r in taught.groupBy("lang").count().limit(MOST_LABELS + 1).collect()}
-    if len(counts) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
+    fold = held_out(F.col("doc_id"))
+    taught = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold if tested else ~fold))
+    counts = {r[0]: r[1] for r in taught.groupBy("lang").count().collect()}
     if not counts:
         return []
-    h = F.xxhash64("doc_id")
+    h = F.xxhash64("doc_id", "text")
     most = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_label / n)))]), F.col("lang"))
-    chosen = taught.where(F.pmod(h, F.lit(1 << 24)) < most * (1 << 24))
+    chosen = taught.where(F.pmod(h, F.lit(1 << 40)) < most * (1 << 40))
     at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1).cast("int") + 1
-    rows = chosen.select(F.substring("text", at, F.lit(WINDOW)).alias("w"), "lang", h.alias("h")).limit(4 * per_label * len(counts))
-    return [(r[0], r[1]) for r in sorted(rows.collect(), key=lambda r: (r[2], r[0]))]
+    # Many copies of one row all have one hash, so that a row is taken once.
+    rows = chosen.select(F.substring("text", at, F.lit(WINDOW)).alias("w"), "lang", h.alias("h")).distinct()
+    return [(r[0], r[1]) for r in sorted(rows.collect(), key=lambda r: (r[2], r[0], r[1]))]
+
+
+def _judged(net: Model | None, tables, texts: pa.Array, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prediction and score of each text, and the probability that it is no language."""
+    n = len(texts)
+    best, score, none = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+    if net:
+        data, offsets = K.buffers(texts)
+        for a, b in K.blocks(offsets):
+            logs = net.predict(data[offsets[a] : offsets[b]], offsets[a : b + 1], tables)
+            best[a:b] = logs[:, :-1].argmax(axis=1)
+            score[a:b] = np.exp(_log_softmax(logs[:, :-1]).max(axis=1))
+            none[a:b] = np.exp(_log_softmax(logs)[:, -1])
+    names = np.array(net.labels if net else [UND], object)
+    return np.where(letter, names[best], UND), np.where(letter & (net is not None), score, 0.0), none
 
 
 def _apply(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -174,20 +220,8 @@ def _apply(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
         net: Model | None = model.value
         tables = net.tables() if net else None
         for batch in batches:
-            n = len(batch)
-            letter = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            best, score = np.zeros(n, np.int64), np.zeros(n)
-            names = np.array(net.labels if net else [UND], object)
-            if net:
-                data, offsets = K.buffers(batch.column(1))
-                for a, b in K.blocks(offsets):
-                    logs = net.predict(data[offsets[a] : offsets[b]], offsets[a : b + 1], tables)
-                    best[a:b] = logs.argmax(axis=1)
-                    score[a:b] = np.exp(_log_softmax(logs).max(axis=1))
-            pred = np.where(letter, names[best], UND)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(pred, pa.string()), pa.array(np.where(letter & (net is not None), score, 0.0))], ["doc_id", "lang_pred", "score"]
-            )
+            pred, score, _ = _judged(net, tables, batch.column(1), batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return run
 
@@ -197,38 +231,52 @@ def fit(docs: DataFrame, per_label: int = SAMPLE) -> Model | None:
     return train([w for w, _ in sample], [x for _, x in sample]) if sample else None
 
 
+def most_none(docs: DataFrame, model: Model, per_label: int = SAMPLE) -> float:
+    """A probability of being none that clean windows stay below, by a bounded sample of the held-out fold."""
+    sample = [w for w, _ in labelled_windows(docs, per_label, tested=True)]
+    none = _judged(model, model.tables(), pa.array(sample, pa.large_string()), np.ones(len(sample), bool))[2]
+    return max(NONE, float(np.quantile(none, 1 - TAIL))) if len(none) else NONE
+
+
+def _letter() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score for every row; only the text is an input."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", letter.alias("letter"))
-    return rows.mapInArrow(_apply(shared), "doc_id bigint, lang_pred string, score double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", _letter()).mapInArrow(_apply(shared), f"doc_id {kind}, lang_pred string, score double")
 
 
-def recognised(docs: DataFrame, languages: tuple[str, ...] | None = None, least: float = 0.0, per_label: int = SAMPLE) -> DataFrame:
+def recognised(docs: DataFrame, languages: tuple[str, ...] | None = None, most: float | None = None, per_label: int = SAMPLE) -> DataFrame:
     """The documents in a recognised language, all columns kept.
 
     Rejected are texts that are `und`, those predicted in none of
-    `languages` (default: any learned one), and those scored below `least`.
+    `languages` (default: any learned one), and those that are none with a
+    probability above `most` (default: ``most_none``).
     """
     model = fit(docs, per_label)
-    ok = docs.select(F.struct(*docs.columns).alias("_all"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if model is None:
+        return docs.where(_letter())
+    bound = most_none(docs, model, per_label) if most is None else most
+    shared, at, n = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = _apply(shared)
+        net = shared.value
+        tables = net.tables()
         for batch in batches:
-            for part in judge(iter([pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3)], ["doc_id", "text", "letter"])])):
-                pred, score = np.array(part.column(1).to_pylist(), object), part.column(2).to_numpy()
-                keep = (pred != UND) & (score >= least)
+            # Slices, so that what is kept of a batch is copied in small parts.
+            for start in range(0, len(batch), 1024):
+                part = batch.slice(start, 1024)
+                pred, _, none = _judged(net, tables, part.column(at), part.column(n).to_numpy(zero_copy_only=False).astype(bool))
+                keep = (pred != UND) & (none <= bound)
                 if languages is not None:
                     keep &= np.isin(pred, languages)
-                rows = batch.column(0).filter(pa.array(keep.astype(bool)))
-                yield pa.RecordBatch.from_arrays([rows], ["_all"])
+                rows = pa.array(keep.astype(bool))
+                yield pa.RecordBatch.from_arrays([part.column(i).filter(rows) for i in range(n)], part.schema.names[:n])
 
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")
-    kept = ok.select("_all", "doc_id", "text", letter).mapInArrow(run, ok.select("_all").schema)
-    return kept.select("_all.*")
+    return docs.select(*docs.columns, _letter()).mapInArrow(run, docs.schema)
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -319,6 +319,19 @@ def test_language_of_held_out_documents(languages):
     assert kept.columns == languages.columns and kept.count() == languages.count() - 3
 
 
+def test_filter_rejects_what_is_no_language(languages, spark):
+    """Texts of random letters or with shuffled letters go; clean ones stay."""
+    r = random.Random(3)
+    mixed = ["".join(r.sample(x.text, len(x.text))) for x in languages.where("doc_id < 40 and length(text) > 300").collect()]
+    odd = [*mixed, "".join(r.choice("bcdfghjklmnpqrtvwxz ") for _ in range(900)), bytes(r.randrange(256) for _ in range(600)).hex()]
+    more = languages.unionByName(spark.createDataFrame([(2000 + i, t, None, "s") for i, t in enumerate(odd)], languages.schema))
+    kept = {x.doc_id for x in language_id.recognised(more).collect()}
+    assert sum(i in kept for i in range(600)) >= 598 and sum(2000 + i in kept for i in range(len(odd))) <= 0.1 * len(odd)
+    assert language_id.recognised(languages, languages=("xx",)).where("doc_id % 3 != 0 and doc_id < 600").count() <= 8
+    blank = languages.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.recognised(blank).count() == languages.count() - 3
+
+
 def test_prediction_sees_only_the_text_and_all_of_it(spark, languages):
     model = language_id.fit(languages)
     long = "the and ing " * 50 + "der ung sch ich zu ß ei " * 20_000
