@@ -123,8 +123,8 @@ def oversampled(spark, d):
     )
 
 
-OVERSAMPLED = f"""with {EVENTS}, e as (select * from s where series_id <= 3 and series_id in (1, 2, 3)),
-g as (select series_id, timestamp '2024-01-01' + to_hours(range::int) as ts from (select distinct series_id from e), range(720)),
+OVERSAMPLED = f"""with {EVENTS}, e as (select * from s), h as (select date_trunc('hour', min(ts))::timestamp as low, max(ts)::timestamp as high from s),
+n as (select unnest(generate_series(low, high, interval 1 hour)) as ts from h), g as (select series_id, ts from (select distinct series_id from e), n),
 b as (select g.series_id, g.ts, e.k, e.x from g asof left join e on g.series_id = e.series_id and g.ts >= e.ts),
 a as (select g.series_id, g.ts, e.k from g asof left join e on g.series_id = e.series_id and g.ts <= e.ts),
 l as (select series_id, max(k) as k from e group by 1)
@@ -205,7 +205,7 @@ def wide_long(spark, d):
 
 
 WIDE_LONG = """select user_id as series_id, date_trunc('day', ts)::timestamp as ts, event_type as signal, round(max(value), 6) as x from events
-where event_type in ('click', 'view', 'purchase') and value is not null group by all"""
+where event_type is not null and value is not null group by all"""
 
 
 def summarised(spark, d):

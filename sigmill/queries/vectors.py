@@ -195,7 +195,7 @@ def transposing(spark, d):
     return D.transposed(m).select("series_id", F.col("i").cast("long").alias("i"), F.size("column").cast("long").alias("n"), r(F.col("column")[0]).alias("first"), r(F.element_at("column", -1)).alias("last"))
 
 
-TRANSPOSING = f"""with {EVENTS}, q as (select * from s where k < 5 and x is not null), i as (select series_id, 0::bigint as i, k, x as v from q union all select series_id, 1, k, 2 * x from q)
+TRANSPOSING = f"""with {EVENTS}, q as (select * from s where x is not null), i as (select series_id, 0::bigint as i, k, x as v from q union all select series_id, 1, k, 2 * x from q)
 select series_id, i, count(*) as n, round(arg_min(v, k), 6) as first, round(arg_max(v, k), 6) as last from i group by series_id, i"""
 
 
