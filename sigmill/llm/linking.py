@@ -109,13 +109,14 @@ def classes(
     left = _between(written(promising(rest), "link-hidden"), comp)
     forget(mixed)
     best = left.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
+    best = written(best, "link-best")
     for last in (False, True):
         if left.isEmpty():
             break
         comp = _joined(comp, links(left.select("a", "b") if last else best))
         if not last:
-            after = _between(left, comp)
-            forget(left)
+            after = _between(left.join(best, ["a", "b"], "left_anti"), comp)
+            forget(left, best)
             left = after
     forget(left)
     return comp
