@@ -9,8 +9,8 @@ looked up in its bucket and compared byte for byte with the slot's; on a
 match it repeats the history, otherwise it is no member, and nonmembers
 are grouped by themselves.
 
-Without a history the documents are their own: every digest is a member
-and the winner is the row with the smallest doc_id.
+Without a history the documents up to the median doc_id are taken as the
+history of those after it, so the smallest doc_id of a group stays.
 
 Lookups stream through sorted partitions with one bucket's table in memory
 at a time; a digest with very many copies is dealt over several tasks.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 #: Digests of one bucket; its table takes about 60 bytes a digest.
 BUCKET = 8192
@@ -161,49 +161,72 @@ def grouped(rows: DataFrame) -> DataFrame:
     )
 
 
-def dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, digest for every row of `docs`.
+def _salted(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows with the salt that deals a hot digest's rows over several tasks."""
+    salt = F.coalesce(F.pmod(F.hash("doc_id", "row"), F.col("salts")), F.lit(0)).cast("int")
+    return rows.join(F.broadcast(hot), "digest", "left").withColumn("salt", salt).drop("salts")
 
-    With a `history` (doc_id, text) its members are repeats and none of
-    them stays; group_size then counts the historical rows.
-    """
-    rows = digests(docs)
-    known = written(grouped(rows if history is None else digests(history)), "digest-groups")
-    n, total, distinct = rows.count(), *known.agg(F.sum("n"), F.count("*")).first()
-    buckets = max(1, -(-distinct // BUCKET))
+
+def _hot(rows: DataFrame, n: int) -> DataFrame:
+    """digest, salts of digests with more than max(BUCKET, n / HOT) rows: fewer than HOT."""
+    limit = max(BUCKET, n // HOT)
+    counts = rows.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    return counts.select("digest", F.ceil(F.col("n") / limit).cast("int").alias("salts"))
+
+
+def looked_up(rows: DataFrame, known: DataFrame, hot: DataFrame) -> DataFrame:
+    """FOUND of each row: what the slot of its digest holds, nulls for nonmembers of `known`."""
+    buckets = max(1, -(-known.count() // BUCKET))
     bucket = F.pmod(F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("bigint"), F.lit(buckets)).cast("int")
     tables = known.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_table, TABLE)
-    # Fewer than HOT digests can have more rows than this.
-    limit = max(BUCKET, n // HOT)
-    counts = known if history is None else grouped(rows)
-    hot = counts.where(F.col("n") > limit).select("digest", F.ceil(F.col("n") / limit).cast("int").alias("salts"))
-    salted = rows.join(F.broadcast(hot), "digest", "left").withColumn("bucket", bucket).withColumn(
-        "salt", F.coalesce(F.pmod(F.hash("doc_id", "row"), F.col("salts")), F.lit(0)).cast("int")
-    )
     most = hot.withColumn("bucket", bucket).groupBy("bucket").agg(F.max("salts").alias("most"))
     tables = tables.join(F.broadcast(most), "bucket", "left").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.coalesce("most", F.lit(1)) - 1))
     ).drop("most")
     both = tables.withColumn("kind", F.lit(0)).unionByName(
-        salted.select("doc_id", "row", "digest", "bucket", "salt", F.lit(1).alias("kind")), allowMissingColumns=True
-    )
-    found = (
-        both.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "kind")
-        .mapInArrow(_stream, FOUND)
+        _salted(rows, hot).select("doc_id", "row", "digest", bucket.alias("bucket"), "salt", F.lit(1).alias("kind")), allowMissingColumns=True
     )
+    return both.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "kind").mapInArrow(_stream, FOUND)
+
+
+def _among_themselves(rest: DataFrame, hot: DataFrame) -> DataFrame:
+    """FOUND of nonmembers: the winner and size of their own group."""
+    groups = grouped(rest).join(F.broadcast(hot), "digest", "left")
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return _salted(rest, hot).join(groups, ["digest", "salt"]).select("doc_id", "row", "digest", "win_id", "win_row", "n")
+
+
+def dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, digest for every row of `docs`.
+
+    With a `history` (doc_id, text) its members are repeats and none of
+    them stays; group_size then counts the historical rows.
+
+    Without one, the rows up to the median doc_id are the history.  It
+    holds the winner of each of its digests, being the smaller ids; the
+    later rows are looked up, those found are added to the size in the
+    digest's slot, and a second lookup answers all members.
+    """
+    rows = digests(docs)
     if history is None:
-        hits, kept = found, F.col("row") == F.col("win_row")
+        middle = rows.agg(F.percentile_approx("doc_id", F.lit(0.5))).first()[0]
+        early = F.coalesce(F.col("doc_id") <= F.lit(middle).cast("bigint"), F.lit(False))
+        old, new = rows.where(early), rows.where(~early)
     else:
-        found = written(found, "digest-lookups")
-        hits, kept = found.where("n is not null"), F.lit(False)
-    out = hits.select("doc_id", F.col("win_id").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), "digest")
+        old, new = digests(history), rows
+    hot = written(_hot(rows, rows.count()), "digest-hot")
+    known = written(grouped(old), "digest-groups")
+    found = written(looked_up(new, known, hot), "digest-lookups")
+    hits, rest = found.where("n is not null"), found.where("n is null").select("doc_id", "row", "digest")
     if history is None:
-        return out
-    rest = found.where("n is null").select("doc_id", "row", "digest")
-    alone = rest.join(grouped(rest), "digest").select(
-        "doc_id", F.col("win_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("win_row")).alias("kept"), "digest"
-    )
-    return out.unionByName(alone)
+        more = hits.groupBy("digest").agg(F.count("*").alias("more"))
+        total = known.join(more, "digest", "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0))).drop("more")
+        total = written(total, "digest-totals")
+        forget(known)
+        hits = looked_up(old.unionByName(hits.select("doc_id", "row", "digest")), total, hot)
+    stays = F.col("row") == F.col("win_row")
+    last = lambda df, kept: df.select("doc_id", F.col("win_id").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), "digest")
+    return last(hits, stays if history is None else F.lit(False)).unionByName(last(_among_themselves(rest, hot), stays))
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -159,6 +159,11 @@ def test_hot_digest_is_dealt_over_tasks(spark, monkeypatch):
     rows = [(i, "hot" if i % 2 else f"cold {i}") for i in range(2000)]
     got = exact_dedup.op8(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sum(r.kept for r in got) == 1001 and {r.keep_id for r in got if r.group_size == 1000} == {1}
+    # The hot digest is no member of the history: all its rows come after the median.
+    rows = [(i, f"cold {i}") for i in range(1200)] + [(i, "hot") for i in range(1200, 1900)] + [(None, "hot"), (None, "cold 3")]
+    got = exact_dedup.op8(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sum(r.kept for r in got) == 1201 and Counter(r.keep_id for r in got)[1200] == 701
+    assert [r.keep_id for r in got if r.group_size == 2] == [3, 3]
 
 
 def test_perfect_hash_is_minimal():
