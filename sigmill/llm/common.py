@@ -15,6 +15,9 @@ from pyspark.sql.window import Window
 SPACE = r"\x20\x09-\x0D"
 #: Folder used only where the session names none, as in local tests.
 LOCAL_SHARED = "/tmp/checkpoints"
+#: Rows of one range of a global sort, and the most ranges; larger ranges spill.
+RANGE = 250_000
+MOST_RANGES = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,30 +84,36 @@ def hash32(*cols: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 32)
 
 
-def running_total(
-    df: DataFrame, keys: list[str], value: str, rows: int, out: str, ties: list[Column], h: str = "h"
-) -> DataFrame:
-    """Add `out`: the sum of `value` over the rows before this one of its key.
+def ranges(df: DataFrame, order: list[Column], rows: int, name: str) -> DataFrame:
+    """`df` range-sorted by `order` and written, with `_range`, the ascending number of each row's range.
 
-    Rows of a key are ordered by (`h`, `ties`), with `h` uniform in
-    [0, 2**32).  Instead of one window per key, which a key with a third
-    of all rows would turn into one task, the hash range is cut into
-    buckets: totals per (key, bucket) are pre-aggregated, a small window
-    over them gives each bucket's offset, and the row window runs inside
-    one bucket.  Keys must not be null.
+    `order` should end in a column that tells equal rows apart, or many
+    equal rows make one range.
     """
-    per_bucket = max(250, rows // 1_000_000)
-    n = max(1, -(-rows // per_bucket))
-    cut = df.withColumn("_b", F.floor(F.col(h) * F.lit(n) / F.lit(2.0**32)).cast("int"))
-    by = [*keys, "_b"]
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    n = max(1, min(MOST_RANGES, rows // RANGE + 1))
+    sort = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return written(sort.withColumn("_range", F.spark_partition_id()), name)
+
+
+def running_total(df: DataFrame, keys: list[str], value: str, rows: int, out: str, order: list[Column]) -> DataFrame:
+    """Add `out`: the sum of `value` over the rows before this one of its key, in `order`.
+
+    Instead of one window per key, which a key with a third of all rows
+    would turn into one task, the rows are range-sorted by (`keys`,
+    `order`): totals per (key, range) are pre-aggregated, a small window
+    over them gives each range's offset, and the row window runs inside
+    one key's rows of one range.  Keys must not be null.
+    """
+    cut = ranges(df, [*map(F.col, keys), *order], rows, "ranges")
+    by = [*keys, "_range"]
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cut.groupBy(*by).agg(F.sum(value).alias("_s"))
         .select(*by, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
     )
-    inside = Window.partitionBy(*by).orderBy(h, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         cut.join(offsets, by)
         .withColumn(out, F.col("_o") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .drop("_b", "_o")
+        .drop("_range", "_o")
     )

@@ -3,9 +3,9 @@
 Each source is a queue of its documents in a shuffled order that only
 the doc_id decides.  A document that its source serves after `c` words
 finishes at virtual time c / target; a source whose target exceeds its
-size serves its queue again.  All sources' entries are merged in order of
-virtual finish time and the merge is cut at the total budget, so every
-source has received its target when virtual time reaches 1.
+size serves its queue again.  All sources' entries are range-sorted by
+virtual finish time and the sorted table is cut at the total budget, so
+every source has received its target when virtual time reaches 1.
 
 Defined cases: null text has size 0; null source is one source, ranked
 last; null doc_id is hashed as the text 'null'; repeated rows are served
@@ -19,13 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, running_total, written
+from .common import SPACE, forget, ranges, running_total, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_PASSES = 2
-#: Cells of one level of the merge's histogram; what the driver gets.
-CELLS = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -80,87 +78,60 @@ def mix(docs: DataFrame, share: float = SHARE, passes: int = MAX_PASSES) -> Data
     base = written(
         docs.select(
             "doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id")).alias("h"),
-            row_tag().alias("tag"),
+            row_tag().alias("tag"), F.monotonically_increasing_id().alias("row"),
         ),
         "mix-sizes",
     )
     targets = written(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), share, passes), "mix-targets")
     known = targets.agg(F.count("*"), F.sum("target")).first()
-    budget = int(known[1] or 0)
     rows = base.count()
     same = base["source"].eqNullSafe(targets["source"])
     # A bounded number of sources is broadcast; beyond it Spark joins on the key.
     side = F.broadcast(targets) if known[0] <= 100_000 else targets
-    keyed = base.join(side, same).select("doc_id", "tag", base["source"], "size", "h", "srank", "source_size", "target")
-    queued = running_total(
-        keyed, ["srank"], "size", rows, "cum", [F.col("doc_id").asc_nulls_first(), F.col("size")]
-    )
+    keyed = base.join(side, same).select("doc_id", "tag", "row", base["source"], "size", "h", "srank", "source_size", "target")
+    order = [F.col("h"), F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("row")]
+    queued = running_total(keyed, ["srank"], "size", rows, "cum", order)
     times = [(F.col("cum") + F.col("size") + F.col("source_size") * p) / F.col("target") for p in range(passes)]
     queued = written(
         queued.select(
-            "doc_id", "tag", "source", "size", "source_size", "target", "srank",
+            "doc_id", "tag", "row", "source", "size", "source_size", "target", "srank",
             F.array(*[F.when(F.col("target") > 0, t) for t in times]).alias("finish"),
         ),
         "mix-times",
     )
-    cut = _cut(queued, budget)
-    taken, served = F.lit(0).cast("long"), F.lit(0)
-    for p in range(passes):
-        at = F.struct(F.col("finish")[p].alias("f"), F.col("srank").alias("s"))
-        if cut is None:
-            got = F.lit(0).cast("long")
-        else:
-            end = F.struct(F.lit(cut[0]).alias("f"), F.lit(cut[1]).alias("s"))
-            got = F.when(at < end, F.col("size")).when(at == end, F.lit(cut[2]).cast("long")).otherwise(F.lit(0).cast("long"))
-        got = F.when(F.col("finish")[p].isNull(), F.lit(0).cast("long")).otherwise(got)
-        taken = taken + got
-        served = served + F.when(got > 0, 1).otherwise(0)
-    served = F.when(F.col("size") == 0, 1).otherwise(served)
-    return queued.select(
+    forget(base)
+    merged = merge(queued, int(known[1] or 0), rows * passes)
+    taken = merged.groupBy("row").agg(F.sum("got").alias("taken"), F.count("*").alias("served"))
+    served = F.when(F.col("size") == 0, 1).otherwise(F.coalesce("served", F.lit(0)))
+    return queued.join(taken, "row", "left").select(
         "doc_id", "tag", "source", "size", "source_size", "target",
-        taken.alias("taken"), served.cast("int").alias("served"), F.col("finish")[0].alias("finish"),
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), served.cast("int").alias("served"), F.col("finish")[0].alias("finish"),
     )
 
 
-def _cut(queued: DataFrame, budget: int) -> tuple[float, int, int] | None:
-    """(finish time, source rank, words) of the entry at which the budget ends.
+def merge(queued: DataFrame, budget: int, entries: int) -> DataFrame:
+    """The mix in order: row, pass, finish, srank, size, got of each entry before the cut.
 
-    The merge is range-partitioned by virtual time into cells; only the
-    cells' totals reach the driver, level by level, until the cell of the
-    cut is small enough to be sorted.  Entries of no words are left out:
-    they don't move the cut.
+    Entries of all sources are range-sorted by virtual finish time.  The
+    prefix sums of the ranges' totals tell which ranges are served whole
+    and in which one the budget ends; running sums inside that range give
+    the last entry's part.  Entries of no words take nothing and are left
+    out.
     """
-    if budget <= 0:
-        return None
-    entries = queued.where("size > 0").select("srank", "size", F.explode("finish").alias("f")).where("f is not null")
-    low, high, left = 0.0, 2.0, budget
-    while True:
-        top = entries.where((F.col("f") > low) & (F.col("f") <= high)) if high < 2.0 else entries.where(F.col("f") > low)
-        step = (high - low) / CELLS
-        cell = F.least(F.greatest(F.ceil((F.col("f") - low) / step) - 1, F.lit(0)), F.lit(CELLS - 1))
-        sums = sorted(tuple(r) for r in top.groupBy(cell.alias("c")).agg(F.sum("size"), F.count("*"), F.min("f"), F.max("f")).collect())
-        for _, words, count, first, last in sums:
-            if left <= words:
-                break
-            left -= words
-        else:
-            return float("inf"), 0, 0
-        if count <= 100_000 or first == last:
-            break
-        low, high = max(low, _below(first)), last
-    order = Window.orderBy("f", "srank").rowsBetween(Window.unboundedPreceding, 0)
-    row = (
-        entries.where(F.col("f").between(first, last))
-        .withColumn("upto", F.sum("size").over(order)).where(F.col("upto") >= left)
-        .orderBy("f", "srank").first()
-    )
-    return row["f"], row["srank"], left - (row["upto"] - row["size"])
-
-
-def _below(x: float) -> float:
-    import math
-
-    return math.nextafter(x, -math.inf)
+    each = queued.where("size > 0").select("row", "srank", "size", F.posexplode("finish").alias("pass", "finish")).where("finish is not null")
+    order = ["finish", "srank", "pass", "row"]
+    sort = ranges(each, [F.col(c) for c in order], entries, "mix-merged")
+    totals = written(sort.groupBy("_range").agg(F.sum("size").alias("words")), "mix-ranges")
+    # One row per range, of which there are at most MOST_RANGES.
+    upto = F.sum("words").over(Window.orderBy("_range")) - F.col("words")
+    begins = totals.withColumn("begin", upto).where(F.col("begin") < budget)
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = begins.where(F.col("begin") + F.col("words") > budget)
+    whole = sort.join(F.broadcast(begins.where(F.col("begin") + F.col("words") <= budget).select("_range")), "_range")
+    last = sort.join(F.broadcast(ends.select("_range", (F.lit(budget) - F.col("begin")).alias("left"))), "_range")
+    last = last.withColumn("got", F.least(F.col("size"), F.col("left") - F.sum("size").over(inside) + F.col("size"))).where("got > 0")
+    columns = ["row", "pass", "finish", "srank", "size"]
+    return whole.select(*columns, F.col("size").alias("got")).unionByName(last.select(*columns, "got"))
 
 
 def mixed_stream(docs: DataFrame, share: float = SHARE, passes: int = MAX_PASSES) -> DataFrame:

@@ -51,6 +51,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
             F.unhex(F.md5(text)).alias("g"),
             F.xxhash64("doc_id", "text").alias("tag"),
             hash32("doc_id", F.md5(text)).alias("h"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shard-rows",
     )
@@ -79,7 +80,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         if not moved:
             break
     placed = nodes.join(state.select("g", "part", "start", "label"), ["g", "part", "start"], "left").select(
-        "doc_id", "size", "text_crc32", "tag", "h",
+        "doc_id", "size", "text_crc32", "tag", "h", "row",
         F.coalesce("label", "start").alias("label"), F.col("label").isNull().cast("int").alias("single"),
         F.lit(1).cast("long").alias("one"),
     )
@@ -99,7 +100,7 @@ def _round(state: DataFrame, load: list[int], capacity: int, shards: int) -> tup
     total = moves.count()
     if not total:
         return state, load, False
-    ranked = running_total(moves, ["want"], "n", total, "before", [F.col("g"), F.col("part"), F.col("start")])
+    ranked = running_total(moves, ["want"], "n", total, "before", [F.col("h"), F.col("g"), F.col("part"), F.col("start")])
     goes = ranked.where(F.col("before") + F.col("n") <= _at(quota, F.col("want"))).select("g", "part", "start", F.lit(True).alias("go"))
     after = written(
         wish.join(goes, ["g", "part", "start"], "left")
@@ -123,7 +124,7 @@ def _even(placed: DataFrame, n: int, shards: int) -> DataFrame:
     extra = [max(0, h - g) for h, g in zip(have, goal, strict=True)]
     holes = [max(0, g - h) for h, g in zip(have, goal, strict=True)]
     first = [sum(extra[:s]) for s in range(shards)]
-    ranked = running_total(placed, ["label", "single"], "one", n, "rank", [F.col("tag")])
+    ranked = running_total(placed, ["label", "single"], "one", n, "rank", [F.col("h"), F.col("tag"), F.col("row")])
     rank = F.col("rank") + F.when(F.col("single") == 1, _at(grouped, F.col("label"))).otherwise(0)
     stays = rank < _at(goal, F.col("label"))
     index = rank - _at(goal, F.col("label")) + _at(first, F.col("label"))
