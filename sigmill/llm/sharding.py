@@ -5,7 +5,8 @@ that its hash gives.  In each round a join brings each node the label
 that most of its neighbours carry, of labels whose shards have room for
 all of them; nodes that want to move are admitted in hash order,
 neighbours together, up to the target shard's quota, which linked
-documents never exceed.  A last pass moves single documents from shards
+documents never exceed.  Rounds go on for as long as they leave fewer
+pairs of a group and a label; that number falls each time, so they end.  A last pass moves single documents from shards
 with too many rows to those with too few, so that counts differ by one at
 most.
 
@@ -28,10 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import hash32, running_total, written
+from .common import forget, hash32, running_total, written
 
 SHARDS = 24
-ROUNDS = 4
 #: Share of a shard's rows above which a group is cut into parts.
 LARGE = 0.9
 
@@ -40,7 +40,7 @@ def _at(values: list[int], index: Column) -> Column:
     return F.get(F.array(*[F.lit(int(v)) for v in values]), index).cast("long")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, tag, shard, slot: counts differ by one at most."""
     text = F.col("text").cast("binary")
     rows = written(
@@ -75,9 +75,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     load = [0] * shards
     for s, k in state.groupBy("label").agg(F.sum("n")).collect():
         load[s] = k
-    for _ in range(rounds):
-        state, load, moved = _round(state, load, n // shards, shards)
-        if not moved:
+    parts = _labels(state)
+    while parts:
+        after, load, moved = _round(state, load, n // shards, shards)
+        before, parts = parts, _labels(after) if moved else 0
+        if moved:
+            forget(state)
+        state = after
+        if parts >= before:
             break
     placed = nodes.join(state.select("g", "part", "start", "label"), ["g", "part", "start"], "left").select(
         "doc_id", "size", "text_crc32", "tag", "h", "row",
@@ -87,6 +92,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     return _even(written(placed, "shard-labels"), n, shards)
 
 
+def _labels(state: DataFrame) -> int:
+    """Different labels in all groups together: what cut edges come from."""
+    return state.select("g", "part", "label").distinct().count()
+
+
 def _round(state: DataFrame, load: list[int], capacity: int, shards: int) -> tuple[DataFrame, list[int], bool]:
     """Move nodes; `load` counts linked documents, since single ones make room for them."""
     quota = [max(0, capacity - x) for x in load]
@@ -95,7 +105,7 @@ def _round(state: DataFrame, load: list[int], capacity: int, shards: int) -> tup
     best = votes.groupBy("g", "part").agg(
         F.max_by("label", F.struct(fits.alias("fits"), "votes", F.hash("g", "label").alias("tie"))).alias("want")
     )
-    wish = written(state.join(best, ["g", "part"]).withColumn("h", hash32("g", "part")), "shard-wishes")
+    wish = written(state.drop("was").join(best, ["g", "part"]).withColumn("h", hash32("g", "part")), "shard-wishes")
     moves = wish.where("want != label").drop("all")
     total = moves.count()
     if not total:
@@ -111,7 +121,8 @@ def _round(state: DataFrame, load: list[int], capacity: int, shards: int) -> tup
     for was, now, k in after.where("was is not null").groupBy("was", "label").agg(F.sum("n")).collect():
         load[was] -= k
         load[now] += k
-    return after.drop("was"), load, True
+    forget(wish)
+    return after, load, True
 
 
 def _even(placed: DataFrame, n: int, shards: int) -> DataFrame:

@@ -51,6 +51,16 @@ def test_mixed_stream_repeats_rows(docs, empty):
     assert mixing.mixed_stream(empty).count() == 0 and mixing.op4(empty).count() == 0
 
 
+def test_groups_that_fit_a_shard_are_whole(spark):
+    rows = [(i, f"group {i % 90}" if i < 450 else f"single {i}") for i in range(1000)]
+    got = sharding.op6(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    places = defaultdict(set)
+    for r in got:
+        if r.doc_id < 450:
+            places[r.text_crc32].add(r.shard)
+    assert len(places) == 90 and all(len(p) == 1 for p in places.values())
+
+
 @pytest.fixture(scope="module")
 def llr(docs):
     return secrets.train(secrets.labelled_samples(docs))
