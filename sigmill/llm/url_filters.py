@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 # The rules of the contract, (host, path, verdict).
 RULES = (
@@ -75,8 +75,13 @@ def host_edges(judged: DataFrame) -> DataFrame:
     return edges.where("src != dst and src != '' and dst != ''").distinct()
 
 
-def scores(judged: DataFrame, damping: float = DAMPING, error: float = MARGIN / 2) -> DataFrame:
-    """host, trust, distrust: both walks in the same rounds, all scores together within `error` of their limits."""
+def scores(judged: DataFrame, damping: float = DAMPING, error: float = MARGIN / 2, margin: float | None = None) -> DataFrame:
+    """host, trust, distrust: both walks in the same rounds, all scores together within `error` of their limits.
+
+    With a `margin`, the walks also end when no host is reached anew and
+    what is left can't change on which side of it any host's distrust
+    less trust is.
+    """
     edges = written(host_edges(judged), "host-edges")
     walks = edges.select(F.lit("t").alias("kind"), "src", "dst").unionByName(
         edges.select(F.lit("d").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -93,7 +98,8 @@ def scores(judged: DataFrame, damping: float = DAMPING, error: float = MARGIN /
     # A round shrinks the L1 distance to the limit by the damping, so STRIDE rounds that moved
     # the ranks by d leave at most d * shrunk / (1 - shrunk).
     shrunk, left = damping**STRIDE, float("inf")
-    while left > error:
+    settled = False
+    while left > error and not settled:
         before = rank
         for _ in range(STRIDE):
             moved = rank.withColumnRenamed("host", "src").join(walks, ["kind", "src"]).select(
@@ -101,8 +107,19 @@ def scores(judged: DataFrame, damping: float = DAMPING, error: float = MARGIN /
             )
             rank = moved.unionByName(back).groupBy("kind", "host").agg(F.sum("r").alias("r"))
         rank = written(rank, "host-ranks")
-        change = rank.unionByName(before.select("kind", "host", (-F.col("r")).alias("r"))).groupBy("kind", "host").agg(F.abs(F.sum("r")).alias("r"))
-        left = (change.agg(F.sum("r")).first()[0] or 0.0) * shrunk / (1 - shrunk)
+        both = rank.withColumn("now", F.lit(1)).unionByName(before.withColumn("now", F.lit(-1)))
+        total_of = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0.0))
+        step, here = F.col("r") * F.col("now"), F.when(F.col("now") == 1, F.col("r"))
+        hosts = both.groupBy("host").agg(
+            (F.abs(total_of("t", step)) + F.abs(total_of("d", step))).alias("moved"), F.sum("now").alias("more"),
+            total_of("t", here).alias("t"), total_of("d", here).alias("d"),
+        )
+        # Hosts without distrust can't be blocked once no host is reached anew.
+        near = F.when(F.col("d") > 0, F.abs(F.col("d") - F.col("t") - F.lit(margin or 0.0)))
+        change, more, nearest = hosts.agg(F.sum("moved"), F.sum("more"), F.min(near)).first()
+        left = (change or 0.0) * shrunk / (1 - shrunk)
+        settled = margin is not None and not more and (nearest is None or nearest > left)
+        forget(before)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("r"))), F.lit(0.0))
     return rank.groupBy("host").agg(of("t").alias("trust"), of("d").alias("distrust"))
 
@@ -111,7 +128,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, for every page."""
     judged = with_rules(pages, rules)
     blocked = written(
-        scores(judged).where(F.col("distrust") > F.col("trust") + MARGIN).select("host", F.lit("block").alias("how")), "host-blocked"
+        scores(judged, margin=MARGIN).where(F.col("distrust") > F.col("trust") + MARGIN).select("host", F.lit("block").alias("how")), "host-blocked"
     )
     side = F.broadcast(blocked) if blocked.count() <= SMALL else blocked
     return judged.drop("html").join(side, "host", "left").select(
