@@ -26,15 +26,17 @@ RULES = (
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),
 )
 DAMPING = 0.85
-#: Rounds of the SQL, which stops there; the query goes on until the scores settle.
-ROUNDS = 8
+#: Rounds of the SQL, which leave 3e-9 of the mass; the query goes on until the scores settle.
+ROUNDS = 120
 #: Rounds between two tables of ranks; their difference bounds what is left.
-STRIDE = 4
+STRIDE = 8
+#: Share of a round's new ranks; the rest stays.  The limit is the same, but ranks that swing
+#: between a host and the domain above it settle sooner.
+STEP = 0.75
 #: Distrust must exceed trust by this, so that sums in another order agree.
 MARGIN = 1e-9
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Links of the SQL, and those of the query: in any case, with either quote or none.
-LINK = r"""href="(?:https?:)?//([^/?#"]+)"""
+#: Links, in any case, with either quote or none.
 HREF = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hosts up to which their scores are broadcast; beyond it they are joined by key.
@@ -87,23 +89,26 @@ def scores(judged: DataFrame, damping: float = DAMPING, error: float = MARGIN /
         edges.select(F.lit("d").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"))
     )
     out = walks.groupBy("kind", "src").agg(F.count("*").alias("n"))
-    walks = written(walks.join(out, ["kind", "src"]).select("kind", "src", "dst", (1 / F.col("n")).alias("p")), "host-walks")
+    moves = walks.join(out, ["kind", "src"]).select("kind", "src", "dst", (STEP * damping / F.col("n")).alias("p"))
     pages = judged.where("said is not null and host != ''").groupBy("host", "said").agg(F.count("*").alias("n"))
     pages = written(pages, "host-seeds")
     total = {r[0]: r[1] for r in pages.groupBy("said").agg(F.sum("n")).collect()}
     share = F.when(F.col("said") == "allow", F.col("n") / total.get("allow", 1)).otherwise(F.col("n") / total.get("block", 1))
     seeds = pages.select(F.when(F.col("said") == "allow", "t").otherwise("d").alias("kind"), "host", share.alias("seed"))
+    # What stays at a host is an edge to itself.
+    hosts = walks.select("kind", F.explode(F.array("src", "dst")).alias("src")).unionByName(seeds.select("kind", F.col("host").alias("src"))).distinct()
+    walks = written(moves.unionByName(hosts.select("kind", "src", F.col("src").alias("dst"), F.lit(1 - STEP).alias("p"))), "host-walks")
     rank = seeds.withColumnRenamed("seed", "r")
-    back = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("r"))
-    # A round shrinks the L1 distance to the limit by the damping, so STRIDE rounds that moved
-    # the ranks by d leave at most d * shrunk / (1 - shrunk).
-    shrunk, left = damping**STRIDE, float("inf")
+    back = seeds.select("kind", "host", (F.col("seed") * (STEP * (1 - damping))).alias("r"))
+    # A round shrinks the L1 distance to the limit to 1 - STEP (1 - damping) of it, so STRIDE
+    # rounds that moved the ranks by d leave at most d * shrunk / (1 - shrunk).
+    shrunk, left = (1 - STEP * (1 - damping)) ** STRIDE, float("inf")
     settled = False
     while left > error and not settled:
         before = rank
         for _ in range(STRIDE):
             moved = rank.withColumnRenamed("host", "src").join(walks, ["kind", "src"]).select(
-                "kind", F.col("dst").alias("host"), (F.col("r") * F.col("p") * damping).alias("r")
+                "kind", F.col("dst").alias("host"), (F.col("r") * F.col("p")).alias("r")
             )
             rank = moved.unionByName(back).groupBy("kind", "host").agg(F.sum("r").alias("r"))
         rank = written(rank, "host-ranks")
@@ -141,6 +146,7 @@ def op10(pages: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
+    href = HREF.replace("'", "''")
     fit = "case " + " ".join(
         f"when (host = '{h}' or host like '%.{h}') and starts_with(path, '{p}') then '{h}{p}|{v}'"
         for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1]))
@@ -153,7 +159,7 @@ def _oracle() -> str:
         "hl as (select distinct host, string_split(host, '.') as l from j)",
         "ab as (select array_to_string(l[i:], '.') as a, array_to_string(l[i + 1:], '.') as b from (select l, unnest(range(1, len(l) - 1)) as i from hl))",
         f"""e as materialized (select distinct src, dst from (
-  select host as src, {lower(f"unnest(regexp_extract_all(coalesce(html, ''), '{LINK}', 1))")} as dst from j
+  select host as src, {lower(f"unnest(regexp_extract_all(coalesce(html, ''), '{href}', 1))")} as dst from j
   union all select a, b from ab union all select b, a from ab) where src <> dst and src <> '' and dst <> '')""",
         "w0 as (select 't' as kind, src, dst from e union all select 'd', dst, src from e)",
         "w as materialized (select kind, src, dst, 1.0::double / count(*) over (partition by kind, src) as p from w0)",
