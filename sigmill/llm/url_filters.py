@@ -39,7 +39,7 @@ URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Links, in any case, with either quote or none.
 HREF = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Hosts up to which their scores are broadcast; beyond it they are joined by key.
+#: Edges or hosts up to which they are broadcast; beyond it they are joined by key.
 SMALL = 200_000
 
 
@@ -98,6 +98,7 @@ def scores(judged: DataFrame, damping: float = DAMPING, error: float = MARGIN /
     # What stays at a host is an edge to itself.
     hosts = walks.select("kind", F.explode(F.array("src", "dst")).alias("src")).unionByName(seeds.select("kind", F.col("host").alias("src"))).distinct()
     walks = written(moves.unionByName(hosts.select("kind", "src", F.col("src").alias("dst"), F.lit(1 - STEP).alias("p"))), "host-walks")
+    side = F.broadcast(walks) if walks.count() <= SMALL else walks
     rank = seeds.withColumnRenamed("seed", "r")
     back = seeds.select("kind", "host", (F.col("seed") * (STEP * (1 - damping))).alias("r"))
     # A round shrinks the L1 distance to the limit to 1 - STEP (1 - damping) of it, so STRIDE
@@ -107,7 +108,7 @@ def scores(judged: DataFrame, damping: float = DAMPING, error: float = MARGIN /
     while left > error and not settled:
         before = rank
         for _ in range(STRIDE):
-            moved = rank.withColumnRenamed("host", "src").join(walks, ["kind", "src"]).select(
+            moved = rank.withColumnRenamed("host", "src").join(side, ["kind", "src"]).select(
                 "kind", F.col("dst").alias("host"), (F.col("r") * F.col("p")).alias("r")
             )
             rank = moved.unionByName(back).groupBy("kind", "host").agg(F.sum("r").alias("r"))
