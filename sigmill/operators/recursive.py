@@ -1,20 +1,24 @@
-"""Recursive filters and delays: state machines for one series, run for many series in parallel.
+"""Recursive filters and delays.
 
-The classes work sample by sample and serve batch, simulation and
-streaming alike.  ``filtered`` runs one over each series; ``low_pass``
-also handles a series longer than a task should see, since the recursion
-is affine and blocks of it compose.
+The classes work sample by sample and serve simulation and streaming.
+Tables of series are filtered by ``linear``, in blocks: the recursions
+are linear in their state, so blocks of them compose.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+#: Samples of a block; one row holds them.
+BLOCK = 4096
 
 
 def missing(v: float | None, bad: float = -9999.0) -> bool:
@@ -78,16 +82,24 @@ class SecondOrder:
     def __init__(self, time_base_s: float) -> None:
         self.h, self.seen, self.y1, self.y2 = time_base_s, 0, math.nan, math.nan
 
-    def step(self, x: float, tc_s: float, damping: float, reset: bool = False) -> float:
-        if self.seen < 2:
-            self.seen, self.y1, self.y2 = self.seen + 1, x, x
+    @staticmethod
+    def weights(step_s: float, tc_s: float, damping: float) -> tuple[float, float] | None:
+        """Shares of the last two outputs; None turns the filter off."""
         # Fixed rule: 0 without damping, 2 up to damping 1, then twice the damping.
         factor = 0.0 if damping <= 0 else 2.0 if damping < 1 else 2 * damping
         omega = factor / tc_s if tc_s else math.inf
-        divisor = 1 / self.h + 2 * damping * omega / self.h + omega * omega
-        if divisor <= 0 or math.isinf(divisor):
+        divisor = 1 / step_s + 2 * damping * omega / step_s + omega * omega
+        if divisor <= 0 or not math.isfinite(divisor):
+            return None
+        return (2 + 2 * damping * omega) / step_s / divisor, -1 / step_s / divisor
+
+    def step(self, x: float, tc_s: float, damping: float, reset: bool = False) -> float:
+        if self.seen < 2:
+            self.seen, self.y1, self.y2 = self.seen + 1, x, x
+        weights = self.weights(self.h, tc_s, damping)
+        if weights is None:
             return x
-        a1, a2 = (2 + 2 * damping * omega) / self.h / divisor, -1 / self.h / divisor
+        a1, a2 = weights
         y = x if missing(self.y1) or missing(self.y2) else a1 * self.y1 + a2 * self.y2 + (1 - a1 - a2) * x
         self.y1, self.y2 = y, self.y1
         if reset:
@@ -130,7 +142,10 @@ def good_values(x: np.ndarray, ignore: np.ndarray) -> np.ndarray:
 
 
 def filtered(df: DataFrame, make: Callable[[], Callable[[float], float]], out: str = "y", ignore_missing: bool = True) -> DataFrame:
-    """(series_id, k, x) with `out`: a state machine over each series' samples in order."""
+    """(series_id, k, x) with `out`: a state machine over each series' samples in order.
+
+    For machines that are not linear, as a limited controller; a series is one task.
+    """
     schema = df.select("series_id", "k", "x").schema.add(out, "double")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -144,48 +159,125 @@ def filtered(df: DataFrame, make: Callable[[], Callable[[float], float]], out: s
     return df.select("series_id", "k", "x").groupBy("series_id").applyInPandas(one, schema)
 
 
-def low_pass(df: DataFrame, tc_s: float, time_base_s: float = 1.0, order: int = 1, block: int | None = None) -> DataFrame:
-    """(series_id, k, x, y), filtered; with `block` a series is filtered in blocks of so many samples.
-
-    y = a y' + (1 - a) x over a block is y = A y0 + B with y0 the output
-    before it.  A first pass gives B for each block, these are composed along the
-    series, and a second pass filters each block from its start.
-    Missing samples must be filled before (``series.held``).
-    """
-    if block is None or order != 1:
-        return filtered(df, lambda: lambda v, f=LowPass(time_base_s): f.step(v, tc_s, order))
+@dataclass(frozen=True)
+class Linear:
+    """s' = m s + c x, y = out s + through x; the first `begins` samples set s = start x."""
+
+    m: np.ndarray
+    c: np.ndarray
+    start: np.ndarray
+    out: np.ndarray
+    through: float = 0.0
+    begins: int = 1
+
+    def states(self, x: np.ndarray, first: bool, s0: np.ndarray) -> np.ndarray:
+        """States after each sample of a block; an exact scan by doubled steps."""
+        if first:
+            n = min(self.begins, len(x))
+            head = np.outer(x[:n], self.start)
+            rest = self.states(x[n:], False, head[-1]) if len(x) > n else head[:0]
+            return np.concatenate([head, rest])
+        s, power, step = np.outer(x, self.c), self.m, 1
+        s[0] += self.m @ s0
+        while step < len(x):
+            s[step:] = s[step:] + s[:-step] @ power.T
+            power, step = power @ power, 2 * step
+        return s
+
+    def values(self, x: np.ndarray, states: np.ndarray) -> np.ndarray:
+        return states @ self.out + self.through * x
+
+
+def low_pass_of(tc_s: float, time_base_s: float = 1.0, order: int = 1) -> Linear:
     a = LowPass.weight(tc_s, time_base_s)
-    kind = df.schema["series_id"].dataType.simpleString()
-    cut = df.select("series_id", "k", "x").withColumn("_b", F.floor(F.col("k") / block))
+    b = 1 - a
+    if order == 1:
+        return Linear(np.array([[a]]), np.array([b]), np.ones(1), np.ones(1))
+    return Linear(np.array([[a, a * b], [0, a]]), np.array([b * b, b]), np.array([1.0, 0]), np.array([1.0, 0]))
 
-    def end(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("k")["x"].to_numpy(float)
-        y = x[0] if pdf["k"].min() == 0 else 0.0
-        n = len(x)
-        if pdf["k"].min() == 0:
-            x, n = x[1:], n - 1
-        for v in x.tolist():
-            y = a * y + (1 - a) * v
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "_b": [pdf["_b"].iloc[0]], "n": [n], "y": [y]})
 
-    ends = cut.groupBy("series_id", "_b").applyInPandas(end, f"series_id {kind}, _b bigint, n bigint, y double")
-    # Output at a block's end: its own part plus what is left of the one before.  One row a block.
+def high_pass_of(tc_s: float, time_base_s: float = 1.0, order: int = 1) -> Linear:
+    low = low_pass_of(tc_s, time_base_s, order)
+    return replace(low, out=-low.out, through=1.0)
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, y, out = pdf.sort_values("_b"), 0.0, []
-        for n, own in zip(pdf["n"].tolist(), pdf["y"].tolist(), strict=True):
-            out.append(y)
-            y = y * a**n + own
-        return pd.DataFrame({"series_id": pdf["series_id"], "_b": pdf["_b"], "_y0": out})
 
-    starts = ends.groupBy("series_id").applyInPandas(chain, f"series_id {kind}, _b bigint, _y0 double")
+def band_pass_of(low_tc_s: float, high_tc_s: float, time_base_s: float = 1.0) -> Linear:
+    a = np.array([LowPass.weight(low_tc_s, time_base_s), LowPass.weight(high_tc_s, time_base_s)])
+    return Linear(np.diag(a), 1 - a, np.ones(2), np.array([-1.0, 1.0]))
+
+
+def second_order_of(tc_s: float, damping: float, time_base_s: float = 1.0) -> Linear:
+    w = SecondOrder.weights(time_base_s, tc_s, damping)
+    a1, a2 = w or (0.0, 0.0)
+    return Linear(np.array([[a1, a2], [1, 0]]), np.array([1 - a1 - a2, 0]), np.ones(2), np.array([1.0, 0]), begins=2)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        y, out = float(pdf["_y0"].iloc[0]), []
-        for k, v in zip(pdf["k"].tolist(), pdf["x"].tolist(), strict=True):
-            y = v if k == 0 else a * y + (1 - a) * v
-            out.append(y)
-        return pd.DataFrame({"series_id": pdf["series_id"], "k": pdf["k"], "x": pdf["x"], "y": out})
 
-    return cut.join(starts, ["series_id", "_b"]).groupBy("series_id", "_b").applyInPandas(run, f"series_id {kind}, k bigint, x double, y double")
+def linear(df: DataFrame, f: Linear, out: str = "y", block: int = BLOCK) -> DataFrame:
+    """(series_id, k, x) with `out`: `f` over each series, in blocks of `block` samples.
+
+    A block's last state is linear in the state before it, so a first pass
+    takes each block's own part, these are composed along the series (one
+    row a block, and only for series of several blocks), and a second pass
+    filters every block from its state.  No task holds a whole series.
+
+    `k` counts each series' samples from 0.  A missing sample takes the
+    last good one, leading ones the first good one; a series without a
+    good sample gives nulls, and an empty table an empty result.
+    """
+    kind = df.schema["series_id"].dataType.simpleString()
+    rows = df.select("series_id", "k", F.when(~F.isnan("x"), F.col("x")).alias("x")).withColumn("_b", F.floor(F.col("k") / block))
+    keys = ["series_id", "_b"]
+    good = F.when(F.col("x").isNotNull(), F.col("k"))
+    ends = rows.groupBy(*keys).agg(F.max_by("x", good).alias("_high"), F.min_by("x", good).alias("_low"))
+    whole = Window.partitionBy("series_id").orderBy("_b")
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
+    after = whole.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    fill = ends.select(*keys, F.coalesce(F.last("_high", True).over(before), F.first("_low", True).over(after)).alias("_fill"))
+    packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("_s"))
+    cut = packed.join(fill, keys).select(*keys, F.col("_s.k").alias("k"), F.col("_s.x").alias("x"), "_fill")
+    m = len(f.c)
+
+    def used(x: np.ndarray, fill: float | None) -> np.ndarray:
+        x = np.array(x, dtype=float)
+        at = np.maximum.accumulate(np.where(np.isnan(x), -1, np.arange(len(x))))
+        return np.where(at < 0, np.nan if fill is None else fill, x[at])
+
+    def own(batches):
+        for pdf in batches:
+            got = [f.states(used(x, v), b == 0, np.zeros(m))[-1] for x, v, b in zip(pdf["x"], pdf["_fill"], pdf["_b"], strict=True)]
+            yield pd.DataFrame({"series_id": pdf["series_id"], "_b": pdf["_b"], "_n": pdf["x"].map(len), "_own": got})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, s, got = pdf.sort_values("_b"), np.zeros(m), []
+        for n, own in zip(pdf["_n"].tolist(), pdf["_own"], strict=True):
+            got.append(s)
+            s = np.linalg.matrix_power(f.m, n) @ s + own
+        return pd.DataFrame({"series_id": pdf["series_id"], "_b": pdf["_b"], "_s0": got})
+
+    several = fill.groupBy("series_id").agg(F.max("_b").alias("_last")).where("_last > 0").select("series_id")
+    owns = cut.join(several, "series_id", "left_semi").mapInPandas(own, f"series_id {kind}, _b bigint, _n bigint, _own array<double>")
+    starts = owns.groupBy("series_id").applyInPandas(chain, f"series_id {kind}, _b bigint, _s0 array<double>")
+
+    def run(batches):
+        for pdf in batches:
+            got = []
+            for x, v, b, s0 in zip(pdf["x"], pdf["_fill"], pdf["_b"], pdf["_s0"], strict=True):
+                use = used(x, v)
+                got.append(f.values(use, f.states(use, b == 0, np.zeros(m) if s0 is None else np.asarray(s0, float))))
+            yield pd.DataFrame({"series_id": pdf["series_id"], "k": pdf["k"], "x": pdf["x"], "_y": got})
+
+    done = cut.join(starts, keys, "left").mapInPandas(run, f"series_id {kind}, k array<bigint>, x array<double>, _y array<double>")
+    flat = done.select("series_id", F.inline(F.arrays_zip("k", "x", "_y")))
+    value = lambda c: F.when(~F.isnan(c), F.col(c))
+    return flat.select("series_id", "k", value("x").alias("x"), value("_y").alias(out))
+
+
+def low_pass(df: DataFrame, tc_s: float, time_base_s: float = 1.0, order: int = 1, block: int = BLOCK) -> DataFrame:
+    """(series_id, k, x, y), filtered as ``linear`` does."""
+    return linear(df, low_pass_of(tc_s, time_base_s, order), block=block)
+
+
+def recursive_average(df: DataFrame, out: str = "y") -> DataFrame:
+    """Add the mean of the samples so far; missing ones are left out, and before the first it is 0."""
+    so_far = Window.partitionBy("series_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(out, F.coalesce(F.avg("x").over(so_far), F.lit(0.0)))

@@ -53,8 +53,18 @@ LOW_PASS_BLOCKS = f"""with recursive {EVENTS}, f as (select series_id, k, coales
 select series_id, k, round(y, 6) as y from g"""
 
 
+def low_pass_twice(spark, d):
+    return C.low_pass(events(spark, d), 5.0, order=2, block=16).select("series_id", "k", r(F.col("y")).alias("y"))
+
+
+LOW_PASS_TWICE = f"""with recursive {EVENTS}, {_FILLED}, g as (select 0::bigint as k, series_id, x as y, 0::double as i from f where k = 0
+ union all select f.k, f.series_id, g.y / 1.2::double + (g.i / 1.2::double + f.x * (1 - 1 / 1.2::double)) * (1 - 1 / 1.2::double), g.i / 1.2::double + f.x * (1 - 1 / 1.2::double)
+ from g join f on f.series_id = g.series_id and f.k = g.k + 1)
+select series_id, k, round(y, 6) as y from g"""
+
+
 def band_pass(spark, d):
-    out = C.filtered(events(spark, d), lambda: lambda v, f=C.BandPass(1.0): f.step(v, 2.0, 8.0))
+    out = C.linear(events(spark, d), C.band_pass_of(2.0, 8.0))
     return out.select("series_id", "k", r(F.col("y")).alias("y"))
 
 
@@ -65,7 +75,7 @@ select g.series_id, g.k, round(f.x - g.a - (f.x - g.b), 6) + 0.0 as y from g joi
 
 
 def second_order(spark, d):
-    out = C.filtered(events(spark, d), lambda: lambda v, f=C.SecondOrder(1.0): f.step(v, 6.0, 0.4))
+    out = C.linear(events(spark, d), C.second_order_of(6.0, 0.4))
     return out.select("series_id", "k", r(F.col("y")).alias("y"))
 
 
@@ -78,7 +88,7 @@ select series_id, k, round(y, 6) as y from g"""
 
 
 def running_mean(spark, d):
-    out = C.filtered(events(spark, d), lambda: C.RunningMean().step, ignore_missing=False)
+    out = C.recursive_average(events(spark, d))
     return out.select("series_id", "k", r(F.col("y"), 9).alias("y"))
 
 
@@ -280,6 +290,7 @@ GRADIENTS = f"with {EVENTS} select series_id, round(regr_slope(x, epoch_us(ts) /
 
 QUERIES = {
     "win_moving_smooth_diff": (windows, WINDOWS), "filter_low_high_pass": (low_pass, LOW_PASS), "filter_low_pass_blocks": (low_pass_blocks, LOW_PASS_BLOCKS),
+    "filter_low_pass_order_2": (low_pass_twice, LOW_PASS_TWICE),
     "filter_band_pass": (band_pass, BAND_PASS), "filter_second_order": (second_order, SECOND_ORDER), "recursive_average": (running_mean, RUNNING_MEAN),
     "fit_score": (fit_score, FIT_SCORE), "downsample_skipping_bad": (downsampled, None), "asof_oversample": (oversampled, OVERSAMPLED),
     "index_at_date": (index_at, INDEX_AT), "signal_period": (period, PERIOD), "join_on_time": (time_join, TIME_JOIN), "dataset_combine": (combined, COMBINED),
