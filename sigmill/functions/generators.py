@@ -44,8 +44,9 @@ def sinus(k: Column, amplitude: float, period_s: float, step_s: float = 1.0) ->
 
 
 def noise(k: Column, amplitude: float, seed: int = 0) -> Column:
-    """Uniform in [-amplitude, amplitude), the same for a position and seed on any partitioning."""
-    return (F.shiftrightunsigned(F.xxhash64(k, F.lit(seed)), 11) * 2.0**-52 - 1.0) * amplitude
+    """Uniform in [-amplitude, amplitude), the same for a position and seed on any partitioning: 52 bits of an MD5."""
+    digits = F.substring(F.md5(F.concat_ws(":", k.cast("bigint"), F.lit(seed))), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") * 2.0**-51 - 1.0) * amplitude
 
 
 def random_walk(k: Column, amplitude: float, start: float = 0.0, seed: int = 0) -> Column:

@@ -58,6 +58,15 @@ def square_error(a: Column, b: Column | float, divide: bool = True) -> Column:
     return F.avg(d * d) if divide else F.sum(d * d)
 
 
+def self_square_error(x: Column, last: Column, divide: bool = True) -> Column:
+    """Squared steps from one sample to the next; `last` is the lag of x, and steps from or to a missing sample are left out."""
+    return square_error(last, x, divide)
+
+
+def self_abs_error(x: Column, last: Column) -> Column:
+    return mean_abs_error(last, x)
+
+
 def r_squared(model: Column, measured: Column) -> Column:
     """1 - SSE / SStot, where SStot is that of the model around the mean of the measurements.
 

@@ -19,6 +19,17 @@ def combine(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select(*keys, *more), keys, "left")
 
 
+def replaced(df: DataFrame, signal: str, new: DataFrame) -> DataFrame:
+    """`signal` with the values of `new` (series_id, k, value), where it has one; `new` holds a position once."""
+    values = new.select("series_id", "k", F.col("value").alias("_new"), F.lit(True).alias("_has"))
+    out = df.join(values, ["series_id", "k"], "left")
+    return out.withColumn(signal, F.when(F.col("_has"), F.col("_new")).otherwise(F.col(signal))).select(*df.columns)
+
+
+def removed(df: DataFrame, *signals: str) -> DataFrame:
+    return df.drop(*signals)
+
+
 def with_constant(df: DataFrame, **values: float) -> DataFrame:
     return df.withColumns({k: F.lit(float(v)) for k, v in values.items()})
 
@@ -38,6 +49,17 @@ def shift(flagged: DataFrame, by: int) -> DataFrame:
     return flagged.select("series_id", (F.col("k") + by).alias("k")).where("k >= 0")
 
 
+def positions(df: DataFrame, first: Column | int, last: Column | int) -> DataFrame:
+    """Positions `first` to `last`, both of them, for each series; none where last is less."""
+    low, high = (v if isinstance(v, Column) else F.lit(v) for v in (first, last))
+    some = df.select("series_id", low.cast("long").alias("_a"), high.cast("long").alias("_b")).distinct().where("_a <= _b")
+    return some.select("series_id", F.explode(F.sequence("_a", "_b")).alias("k"))
+
+
+def last_position(flagged: DataFrame) -> DataFrame:
+    return flagged.groupBy("series_id").agg(F.max("k").alias("k"))
+
+
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("series_id", "k").union(b.select("series_id", "k")).distinct()
 
@@ -113,6 +135,17 @@ def times_scalar(rows: DataFrame, factor: float, index: int | None = None) -> Da
     return rows.withColumn("row", F.transform("row", cell))
 
 
+def times_components(rows: DataFrame, vector: list[float], k: int | None = None) -> DataFrame:
+    """Each row, or the one at `k`, times a vector, cell by cell."""
+    by = F.zip_with("row", F.array(*[F.lit(float(x)) for x in vector]), lambda a, b: a * b)
+    return rows.withColumn("row", by if k is None else F.when(F.col("k") == k, by).otherwise(F.col("row")))
+
+
+def replace_row(rows: DataFrame, k: int, vector: list[float]) -> DataFrame:
+    new = F.array(*[F.lit(float(x)) for x in vector])
+    return rows.withColumn("row", F.when(F.col("k") == k, new).otherwise(F.col("row")))
+
+
 def replace_column(rows: DataFrame, index: int, value: Column) -> DataFrame:
     return rows.withColumn("row", F.transform("row", lambda v, i: F.when(i == index, value).otherwise(v)))
 

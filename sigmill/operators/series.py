@@ -127,6 +127,12 @@ def subset_days(df: DataFrame, now: Column, span: int, back: int) -> DataFrame:
     return df.where((F.col("ts") >= end - F.make_dt_interval(F.lit(span))) & (F.col("ts") <= end))
 
 
+def reversed_order(df: DataFrame) -> DataFrame:
+    """Samples with their times from last to first; k counts them anew."""
+    n = df.groupBy("series_id").agg(F.max("k").alias("_n"))
+    return df.join(n, "series_id").withColumn("k", F.col("_n") - F.col("k")).drop("_n")
+
+
 def concat(a: DataFrame, b: DataFrame) -> DataFrame:
     """b's samples after a's, series by series; b's positions are shifted."""
     n = a.groupBy("series_id").agg((F.max("k") + 1).alias("_n"))

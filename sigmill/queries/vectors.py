@@ -223,8 +223,12 @@ round(1 + least(greatest((range - 20) / 100.0::double, 0), 1) * 4, 6) as ramp, r
 def noises(spark, d):
     k = F.col("k")
     g = G.grid(spark, 2000).withColumn("noise", G.noise(k, 2.0, 7))
-    walk = g.withColumn("walk", G.random_walk(k, 0.5, 10, 3))
-    return walk.agg(F.count("*").alias("n"), (F.abs(F.avg("noise")) < 0.2).alias("centred"), (F.max(F.abs("noise")) <= 2).alias("bounded"), F.min_by("walk", "k").alias("start"))
+    return g.select("k", r(F.col("noise"), 9).alias("noise"), r(G.random_walk(k, 0.5, 10, 3), 9).alias("walk"))
+
+
+_UNIFORM = "(('0x' || substr(md5(k || ':{seed}'), 1, 13))::bigint::double / 2251799813685248 - 1)"
+NOISES = f"""with g as (select unnest(range(2000)) as k), u as (select k, {_UNIFORM.format(seed=7)} as a, {_UNIFORM.format(seed=3)} as b from g)
+select k, round(2 * a, 9) + 0.0 as noise, round(sum(case when k > 0 then b / 2 else 10 end) over (order by k), 9) + 0.0 as walk from u"""
 
 
 def array_texts(spark, d):
@@ -237,5 +241,5 @@ QUERIES = {
     "pid_scaling_schedule": (pid_scaling, PID_SCALING), "signal_names_unix_time": (names, NAMES), "vec_find_values": (find_values, FIND_VALUES),
     "index_algebra": (index_algebra, INDEX_ALGEBRA), "vec_checks": (vector_checks, VECTOR_CHECKS), "vec_reductions": (reductions, REDUCTIONS),
     "vec_pair_errors": (pair_errors, PAIR_ERRORS), "matrix_products": (matrices, MATRICES), "matrix_transpose": (transposing, TRANSPOSING),
-    "vec_sort": (sorting, SORTING), "generators": (generated, GENERATED), "noise_generators": (noises, None), "vec_to_string": (array_texts, None),
+    "vec_sort": (sorting, SORTING), "generators": (generated, GENERATED), "noise_generators": (noises, NOISES), "vec_to_string": (array_texts, None),
 }
