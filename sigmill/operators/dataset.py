@@ -8,8 +8,16 @@ from pyspark.sql.window import Window
 
 
 def join_on_time(a: DataFrame, b: DataFrame, keys: list[str] = ["ts"]) -> DataFrame:  # noqa: B006
-    """Samples at times both have, one for each time."""
-    return a.dropDuplicates(keys).join(b.dropDuplicates(keys), keys)
+    """Samples at times both have, one for each time: of several, that of the least position `k`, then the least row."""
+
+    def one(df: DataFrame) -> DataFrame:
+        rest = sorted((c for c in df.columns if c not in keys), key=lambda c: c != "k")
+        if not rest:
+            return df.distinct()
+        least = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_one"))
+        return least.select(*[c if c in keys else F.col("_one")[c].alias(c) for c in df.columns])
+
+    return one(a).join(one(b), keys)
 
 
 def combine(a: DataFrame, b: DataFrame) -> DataFrame:

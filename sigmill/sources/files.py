@@ -16,8 +16,11 @@ TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names, or a local one where it names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The shared folder that the session names; only a local master may go without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or "/tmp/checkpoints").rstrip("/")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
