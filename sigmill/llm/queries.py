@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    decontaminate, exact_dedup, language_id, line_dedup, mixing, near_dedup, secrets, sharding, token_counts, url_filters,
+    decontaminate, divergence, exact_dedup, language_id, line_dedup, mixing, near_dedup, secrets, sharding, token_counts, url_filters,
 )
 
 
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": lambda s, d: exact_dedup.op8(table(s, d, "documents")),
         "op9_token_counts": lambda s, d: token_counts.op9(table(s, d, "documents")),
         "op10_url_filters": lambda s, d: url_filters.op10(table(s, d, "pages")),
+        "op13_source_divergence": lambda s, d: divergence.op13(table(s, d, "documents")),
     }
 
 
@@ -35,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_mix_sources": mixing.ORACLE,
         "op8_exact_dedup": exact_dedup.ORACLE,
         "op10_url_filters": url_filters.ORACLE,
+        "op13_source_divergence": divergence.ORACLE,
     }
