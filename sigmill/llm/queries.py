@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    decontaminate, divergence, exact_dedup, language_id, line_dedup, mixing, near_dedup, secrets, sharding, token_counts, url_filters,
+    decontaminate, divergence, exact_dedup, language_id, line_dedup, mixing, near_dedup, quality, secrets, sharding, token_counts, url_filters, whitening,
 )
 
 
@@ -27,6 +27,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": lambda s, d: exact_dedup.op8(table(s, d, "documents")),
         "op9_token_counts": lambda s, d: token_counts.op9(table(s, d, "documents")),
         "op10_url_filters": lambda s, d: url_filters.op10(table(s, d, "pages")),
+        "op11_whitening": lambda s, d: whitening.op11(table(s, d, "embeddings")),
+        "op12_quality": lambda s, d: quality.op12(table(s, d, "documents"), table(s, d, "labels")),
         "op13_source_divergence": lambda s, d: divergence.op13(table(s, d, "documents")),
     }
 
