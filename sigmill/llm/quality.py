@@ -8,8 +8,8 @@ intercept and one optimum (Newton steps, in numpy).
 
 Features come from whole texts and are shares, so they don't depend on
 length: kinds of bytes, kinds of neighbouring bytes, words that repeat one
-of the words just before, distinct words, repeated lines, lengths of words
-and lines.  They are taken in bounded blocks of bytes; a long text is read
+of the words just before, distinct words among RUN words, repeated lines,
+length of words.  They are taken in bounded blocks of bytes; a long text is read
 in pieces whose tallies add up.
 
 A ranking has no scale of its own, so the cut is a quantile of scores: of
@@ -52,6 +52,8 @@ RIDGE, STEPS = 1e-3, 30
 CUT = 0.3
 #: Words before a word that it may repeat; standard deviations at which features are cut off.
 BACK, FAR = 4, 4.0
+#: Words among which distinct ones are counted.
+RUN = 64
 #: Bytes of a text that are read at once.
 PIECE = 1 << 20
 
@@ -73,9 +75,9 @@ KIND = _kinds()
 GROUP = np.array([0, 1, 2, 3, 4, 5, 0, 0, *[5] * len(_MARKS)], np.uint8)[KIND]
 _PAIRS = 36
 _MARK = (GROUP == 5) & (np.arange(256) > 32)
-#: Tallies of a text: kinds, pairs, then words, repeats, capital words, words that end in a mark, bytes of words, lines, repeated lines, bytes of lines, distinct words.
-TALLIES = _KINDS + _PAIRS + 9
-FEATURES = TALLIES - 1
+#: Tallies of a text: kinds, pairs, then words, repeats, capital words, words that end in a mark, bytes of words, lines, repeated lines, distinct words of runs.
+TALLIES = _KINDS + _PAIRS + 8
+FEATURES = TALLIES - 2
 
 
 def _tallies(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -102,10 +104,11 @@ def _tallies(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         add(2, (KIND[data[starts]] == 1) & (KIND[data[np.minimum(starts + 1, ends - 1)]] == 1))
         add(3, _MARK[data[ends - 1]])
         add(4, ends - starts)
-        order = np.lexsort((words, mine))
+        run = mine * (len(words) // RUN + 1) + (np.arange(len(words)) - first[mine]) // RUN
+        order = np.lexsort((words, run))
         fresh = np.ones(len(words), bool)
-        fresh[1:] = (words[order][1:] != words[order][:-1]) | (mine[order][1:] != mine[order][:-1])
-        at[:, 8] = np.bincount(mine[order][fresh], minlength=n)
+        fresh[1:] = (words[order][1:] != words[order][:-1]) | (run[order][1:] != run[order][:-1])
+        at[:, 7] = np.bincount(mine[order][fresh], minlength=n)
     low, high = K.spans(data, offsets, data != 10)
     if len(low):
         whose = np.searchsorted(offsets, low, "right") - 1
@@ -115,19 +118,16 @@ def _tallies(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         same[1:] = (lines[order][1:] == lines[order][:-1]) & (whose[order][1:] == whose[order][:-1])
         at[:, 5] = np.bincount(whose, minlength=n)
         at[:, 6] = np.bincount(whose[order][same], minlength=n)
-        at[:, 7] = np.bincount(whose, weights=high - low, minlength=n)
     return out
 
 
 def _features(t: np.ndarray) -> np.ndarray:
-    """Shares of tallies: square roots where they are small, logs of mean lengths."""
+    """Square roots of shares, which spreads small ones, and the log of the mean length of words."""
     size = np.maximum(t[:, :_KINDS].sum(axis=1, keepdims=True), 1)
-    words, repeats, capital, marked, letters, lines, again, line_bytes, distinct = t[:, _KINDS + _PAIRS :].T
+    words, repeats, capital, marked, letters, lines, again, distinct = t[:, _KINDS + _PAIRS :].T
     w, rows = np.maximum(words, 1), np.maximum(lines, 1)
-    more = np.stack([repeats / w, capital / w, marked / w, again / rows], axis=1)
-    # Distinct words fall with the length of a text: the exponent of their growth doesn't, by much.
-    lengths = np.stack([np.log1p(letters / w), np.log1p(line_bytes / rows), np.log1p(w / rows), np.log1p(distinct) / np.log1p(w)], axis=1)
-    return np.concatenate([np.sqrt(t[:, : _KINDS + _PAIRS] / size), np.sqrt(more), lengths], axis=1)
+    more = np.stack([repeats / w, capital / w, marked / w, again / rows, 1 - distinct / w], axis=1)
+    return np.concatenate([np.sqrt(t[:, : _KINDS + _PAIRS] / size), np.sqrt(more), np.log1p(letters / w)[:, None]], axis=1)
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +197,8 @@ class Model:
     slope: float
 
     def latent(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.spread, -FAR, FAR) @ self.weights
+        # Summed row by row, so that a text's score doesn't depend on its batch.
+        return (np.clip((x - self.mean) / self.spread, -FAR, FAR) * self.weights).sum(axis=1)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return _sigmoid(self.slope * (self.latent(x) - self.cut) + np.log(CUT / (1 - CUT)))
