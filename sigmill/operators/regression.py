@@ -1,85 +1,61 @@
-"""Regression and correlation of series: sums in one grouped pass, then a small solve for each series."""
+"""Regression of series by a tall QR in blocks, and correlations as aggregates."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tallqr import each, tall_qr
+
 #: Regressors with a smaller range are reported as near constant.
 NEAR_CONSTANT = 0.001
 
 
-def normal_sums(df: DataFrame, y: Column, xs: list[Column], ignore: Column | None = None) -> DataFrame:
-    """series_id, n, and all sums and products of (xs..., 1, y), for rows that have every value."""
-    columns = [*xs, F.lit(1.0), y]
-    complete = F.lit(True)
-    for c in [*xs, y]:
-        complete = complete & c.isNotNull()
-    rows = df.where(complete if ignore is None else complete & ~ignore)
-    m = len(columns)
-    aggs = [F.sum(columns[i] * columns[j]).alias(f"s{i}_{j}") for i in range(m) for j in range(i, m)]
-    ranges = [F.min(x).alias(f"lo{i}") for i, x in enumerate(xs)] + [F.max(x).alias(f"hi{i}") for i, x in enumerate(xs)]
-    return rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), *aggs, *ranges)
-
+#: Singular values below this part of the largest, columns at equal scale, count as 0.
+RANK = 1e-9
 
 FIT = "able boolean, n bigint, params array<double>, bias double, rsq double, ci95 array<double>, rank_deficient boolean, near_constant array<int>"
 
 
-def solve(n: int, gram: np.ndarray, right: np.ndarray, yy: float, ridge: np.ndarray | None = None) -> dict:
-    """Least squares from sums of products; the last regressor is the constant.
+def solve(n: int, origin: np.ndarray, mean: np.ndarray, r: np.ndarray, low: np.ndarray, high: np.ndarray, ridge: np.ndarray) -> dict:
+    """Least squares from the factor R of the centred columns (xs..., y), by singular values.
 
-    Scaled to unit diagonal before the pseudo-inverse, which handles
-    regressors that depend on each other.
+    `ridge` are the weights of the squared params.  Regressors that depend
+    on each other get the smallest params (at equal scale) of all that fit.
     """
-    if ridge is not None:
-        gram = gram + np.diag(ridge)
-    scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
-    inverse = np.linalg.pinv(gram / np.outer(scale, scale), rcond=1e-10, hermitian=True) / np.outer(scale, scale)
-    b = inverse @ right
-    # One step of refinement wins back digits that forming the products lost.
-    b = b + inverse @ (right - gram @ b)
-    sse = max(0.0, yy - 2 * b @ right + b @ gram @ b)
-    mean = right[-1] / n if n else 0.0
-    sst = yy - n * mean * mean
-    rank = np.linalg.matrix_rank(gram / np.outer(scale, scale), tol=1e-10) if n else 0
-    freedom = max(1, n - len(b))
+    p = len(ridge)
+    a, t = np.concatenate([r[:, :p], np.diag(np.sqrt(ridge))]), np.concatenate([r[:, p], np.zeros(p)])
+    size = np.linalg.norm(a, axis=0)
+    size[size == 0] = 1.0
+    u, s, v = np.linalg.svd(a / size, full_matrices=False)
+    real = s > RANK * max(s.max(initial=0.0), 1e-300)
+    back = (v.T * np.where(real, 1 / np.where(real, s, 1.0), 0.0)) / size[:, None]
+    b = back @ (u.T @ t)
+    inverse = back @ back.T
+    where = origin[:p] + mean[:p]
+    bias = (origin[p] - b @ origin[:p]) + (mean[p] - b @ mean[:p])
+    sse, sst = float(((r[:, p] - r[:, :p] @ b) ** 2).sum()), float((r[:, p] ** 2).sum())
+    spread = np.append(np.diag(inverse), 1 / n + where @ inverse @ where)
+    every = np.append(b, bias)
     return {
-        "able": bool(n > 0 and np.isfinite(b).all() and np.abs(b).max() > 0), "n": n, "params": b[:-1].tolist(), "bias": float(b[-1]),
-        "rsq": 100 * (1 - sse / sst) if sst > 0 else 0.0, "ci95": (1.96 * np.sqrt(np.maximum(0, np.diag(inverse)) * sse / freedom)).tolist(),
-        "rank_deficient": bool(rank < len(b)),
+        "able": bool(np.isfinite(every).all() and np.abs(every).max() > 0), "n": n, "params": b.tolist(), "bias": float(bias),
+        "rsq": 100 * (1 - sse / sst) if sst > 0 else 0.0, "ci95": (1.96 * np.sqrt(np.maximum(0, spread) * sse / max(1, n - p - 1))).tolist(),
+        "rank_deficient": bool(not real.all()), "near_constant": np.flatnonzero(high[:p] - low[:p] < NEAR_CONSTANT).tolist(),
     }
 
 
 def regress(df: DataFrame, y: Column, xs: list[Column], ignore: Column | None = None, regularise: list[int] = [], weight: float | None = None) -> DataFrame:  # noqa: B006
-    """Fit y to xs and a bias in each series.
+    """Fit y to xs and a bias in each series, over the rows that have every value.
 
     `regularise` lists the regressors that are drawn towards 0; the weight
-    is n / 1000 unless given.  Only sums reach Python, one row a series.
+    is n / 1000 unless given.  A series is read in blocks by any number of
+    tasks (see ``tallqr``), and the fit reads one small factor of it.
     """
-    sums = normal_sums(df, y, xs, ignore)
-    m = len(xs) + 1
-
-    def fit(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                s = np.zeros((m + 1, m + 1))
-                for i in range(m + 1):
-                    for j in range(i, m + 1):
-                        s[i, j] = s[j, i] = row[f"s{i}_{j}"]
-                ridge = np.zeros(m)
-                ridge[regularise] = row["n"] / 1000 if weight is None else weight
-                got = solve(int(row["n"]), s[:m, :m], s[:m, m], s[m, m], ridge)
-                got["near_constant"] = [i for i in range(m - 1) if row[f"hi{i}"] - row[f"lo{i}"] < NEAR_CONSTANT]
-                out.append({"series_id": row["series_id"], **got})
-            yield pd.DataFrame(out, columns=["series_id", *(c.split()[0] for c in FIT.split(", "))])
-
-    kind = df.schema["series_id"].dataType.simpleString()
-    return sums.mapInPandas(fit, f"series_id {kind}, {FIT}")
+    rows = df if ignore is None else df.where(~ignore)
+    flags = np.array([i in regularise for i in range(len(xs))], float)
+    fit = lambda n, *state: solve(n, *state, flags * (n / 1000 if weight is None else weight))
+    return each(tall_qr(rows, [*xs, y]), fit, FIT)
 
 
 def simple_regression(y: Column, x: Column) -> dict[str, Column]:
@@ -105,6 +81,3 @@ def modelled(df: DataFrame, fits: DataFrame, xs: list[Column]) -> DataFrame:
     x = F.array(*xs)
     value = F.aggregate(F.zip_with(x, "params", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + F.col("bias")
     return df.join(fits.select("series_id", "params", "bias"), "series_id").withColumn("y_mod", value).drop("params", "bias")
-
-
-Estimator = Callable[[pd.DataFrame], dict]

@@ -264,8 +264,33 @@ select series_id, n, true as able, round(p0, 4) as p0, round(p1, 4) as p1, round
 
 
 def ridge(spark, d):
-    fit = G.regress(pairs(spark, d), F.col("c"), [F.col("a"), F.col("b")], regularise=[1])
-    return fit.select("series_id", "n", "able", "rank_deficient", r(F.col("params")[1], 3).alias("p1"))
+    """The second of two inputs, which is scaled up so that its weight tells, is drawn towards 0."""
+    fit = G.regress(pairs(spark, d), F.col("c"), [F.col("a"), F.col("b") * 10], regularise=[1])
+    return fit.select(
+        "series_id", "n", "able", "rank_deficient", r(F.col("params")[0], 4).alias("p0"), r(F.col("params")[1], 4).alias("p1"), r(F.col("bias"), 4).alias("bias"),
+        r(F.col("rsq"), 4).alias("rsq"), r(F.col("ci95")[0], 4).alias("ci0"), r(F.col("ci95")[1], 4).alias("ci1"), r(F.col("ci95")[2], 4).alias("ci_bias"),
+    )
+
+
+RIDGE = f"""with {PAIRS}, m as (select series_id, count(*) as n, regr_sxx(a, a) as aa, regr_sxx(10 * b, 10 * b) + count(*) / 1000.0::double as bw, regr_sxx(10 * b, 10 * b) as bb,
+ regr_sxy(a, 10 * b) as ab, regr_sxy(a, c) as ac, regr_sxy(10 * b, c) as bc, regr_sxx(c, c) as cc, avg(a) as ma, avg(10 * b) as mb, avg(c) as mc from p group by 1),
+t as (select *, aa * bw - ab * ab as det, (ac * bw - bc * ab) / (aa * bw - ab * ab) as p0, (bc * aa - ac * ab) / (aa * bw - ab * ab) as p1 from m),
+e as (select *, cc - 2 * (p0 * ac + p1 * bc) + p0 * p0 * aa + 2 * p0 * p1 * ab + p1 * p1 * bb as sse from t)
+select series_id, n, true as able, false as rank_deficient, round(p0, 4) + 0.0 as p0, round(p1, 4) + 0.0 as p1, round(mc - p0 * ma - p1 * mb, 4) + 0.0 as bias, round(100 * (1 - sse / cc), 4) + 0.0 as rsq,
+round(1.96 * sqrt(bw / det * sse / greatest(1, n - 3)), 4) as ci0, round(1.96 * sqrt(aa / det * sse / greatest(1, n - 3)), 4) as ci1,
+round(1.96 * sqrt((1 / n::double + (ma * ma * bw - 2 * ma * mb * ab + mb * mb * aa) / det) * sse / greatest(1, n - 3)), 4) as ci_bias from e"""
+
+
+def offset_regression(spark, d):
+    """The fit of `c` to `a` and `b` where both stand at an offset of 1e8, which only the bias may show."""
+    p = pairs(spark, d)
+    fit = G.regress(p, F.col("c"), [F.col("a") + 1e8, F.col("b") * 64 + 1e8])
+    return fit.select("series_id", "n", r(F.col("params")[0], 6).alias("p0"), r(F.col("params")[1], 6).alias("p1"), "rank_deficient")
+
+
+OFFSET_REGRESSION = f"""with {PAIRS}, m as (select series_id, count(*) as n, regr_sxx(a, a) as aa, regr_sxx(x, x) as bb, regr_sxy(a, x) as ab, regr_sxy(a, c) as ac, regr_sxy(x, c) as bc
+ from (select *, (b * 64 + 1e8::double) - 1e8::double as x from p) group by 1)
+select series_id, n, round((ac * bb - bc * ab) / (aa * bb - ab * ab), 6) + 0.0 as p0, round((bc * aa - ac * ab) / (aa * bb - ab * ab), 6) + 0.0 as p1, false as rank_deficient from m"""
 
 
 def correlated(spark, d):
@@ -296,5 +321,5 @@ QUERIES = {
     "index_at_date": (index_at, INDEX_AT), "signal_period": (period, PERIOD), "join_on_time": (time_join, TIME_JOIN), "dataset_combine": (combined, COMBINED),
     "dataset_concat_append": (concatenated, CONCATENATED), "dataset_wide_long": (wide_long, WIDE_LONG), "dataset_summary": (summarised, SUMMARISED),
     "quality_ignore_flags": (bad_data, BAD_DATA), "quality_frozen_oversampled": (frozen_runs, FROZEN_RUNS), "regress_two_inputs": (regression, REGRESSION),
-    "regress_regularised": (ridge, None), "correlate_signals": (correlated, CORRELATED), "series_gradient": (gradients, GRADIENTS),
+    "regress_regularised": (ridge, RIDGE), "regress_at_an_offset": (offset_regression, OFFSET_REGRESSION), "correlate_signals": (correlated, CORRELATED), "series_gradient": (gradients, GRADIENTS),
 }
