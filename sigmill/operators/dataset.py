@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordered import numbered
+
 
 def join_on_time(a: DataFrame, b: DataFrame, keys: list[str] = ["ts"]) -> DataFrame:  # noqa: B006
     """Samples at times both have, one for each time: of several, that of the least position `k`, then the least row."""
@@ -171,5 +173,4 @@ def append_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 def sorted_values(df: DataFrame, ascending: bool = True) -> DataFrame:
     """series_id, place, k, x: ties by position."""
     order = F.col("x").asc_nulls_last() if ascending else F.col("x").desc_nulls_last()
-    w = Window.partitionBy("series_id").orderBy(order, "k")
-    return df.select("series_id", (F.row_number().over(w) - 1).cast("long").alias("place"), "k", "x")
+    return numbered(df.select("series_id", "k", "x"), [order, F.col("k")], "place").select("series_id", "place", "k", "x")

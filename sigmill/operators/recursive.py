@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordered import running_mean
+
 #: Samples of a block; one row holds them.
 BLOCK = 4096
 
@@ -277,7 +279,6 @@ def low_pass(df: DataFrame, tc_s: float, time_base_s: float = 1.0, order: int =
     return linear(df, low_pass_of(tc_s, time_base_s, order), block=block)
 
 
-def recursive_average(df: DataFrame, out: str = "y") -> DataFrame:
+def recursive_average(df: DataFrame, out: str = "y", block: int = BLOCK) -> DataFrame:
     """Add the mean of the samples so far; missing ones are left out, and before the first it is 0."""
-    so_far = Window.partitionBy("series_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(out, F.coalesce(F.avg("x").over(so_far), F.lit(0.0)))
+    return running_mean(df, F.col("x"), out, block)

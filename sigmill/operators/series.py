@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.scalar import BAD, clean
+from .ordered import numbered
 
 
 def W() -> WindowSpec:
@@ -19,40 +20,43 @@ def W() -> WindowSpec:
 
 def from_rows(rows: DataFrame, key: Column, order: list[Column], value: Column, ts: Column, bad: float = BAD) -> DataFrame:
     """Number the samples of each key in order, and turn bad values into NULL."""
-    w = Window.partitionBy("series_id").orderBy(*order)
-    named = rows.withColumn("series_id", key)
-    return named.select("series_id", (F.row_number().over(w) - 1).cast("long").alias("k"), ts.alias("ts"), clean(value, bad).alias("x"))
+    places = [f"_o{i}" for i in range(len(order))]
+    named = rows.select(key.alias("series_id"), ts.alias("ts"), clean(value, bad).alias("x"), *[c.alias(p) for c, p in zip(order, places, strict=True)])
+    return numbered(named, [F.col(p) for p in places]).select("series_id", "k", "ts", "x")
 
 
-def moving_average(x: Column, n: int) -> Column:
-    """Mean of the last n samples with this one; fewer at the start.  A missing sample makes it missing."""
-    w = W().rowsBetween(-(n - 1), 0)
+def moving_average(x: Column, n: int, w: WindowSpec | None = None) -> Column:
+    """Mean of the last n samples with this one; fewer at the start.  A missing sample makes it missing.
+
+    This and the next ones run over the series, or over blocks of it that
+    have a halo (``ordered.haloed``) as wide as they look.
+    """
+    w = (w or W()).rowsBetween(-(n - 1), 0)
     return F.when(F.count(x).over(w) == F.count(F.lit(1)).over(w), F.avg(x).over(w))
 
 
-def smooth(x: Column, kernel: int) -> Column:
+def smooth(x: Column, kernel: int, w: WindowSpec | None = None) -> Column:
     """Mean of the samples at most `kernel` away that are there; the ends are copied."""
     if kernel <= 0:
         return x
-    k = F.row_number().over(W())
-    n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
-    return F.when((k <= kernel) | (k > n - kernel), x).otherwise(F.avg(x).over(W().rowsBetween(-kernel, kernel)))
+    w = w or W()
+    follow = F.count(F.lit(1)).over(w.rowsBetween(1, kernel))
+    return F.when((F.col("k") < kernel) | (follow < kernel), x).otherwise(F.avg(x).over(w.rowsBetween(-kernel, kernel)))
 
 
-def difference(x: Column) -> Column:
+def difference(x: Column, w: WindowSpec | None = None) -> Column:
     """x[k] - x[k - 1]; 0 for the first sample."""
-    return F.when(F.row_number().over(W()) == 1, F.lit(0.0)).otherwise(x - F.lag(x).over(W()))
+    return F.when(F.col("k") == 0, F.lit(0.0)).otherwise(x - F.lag(x).over(w or W()))
 
 
-def delayed(x: Column, samples: int) -> Column:
+def delayed(x: Column, samples: int, w: WindowSpec | None = None) -> Column:
     """The sample so many before; the first ones pass through."""
-    return F.when(F.row_number().over(W()) <= samples, x).otherwise(F.lag(x, samples).over(W())) if samples > 0 else x
+    return F.when(F.col("k") < samples, x).otherwise(F.lag(x, samples).over(w or W())) if samples > 0 else x
 
 
 def held(x: Column, flag: Column) -> Column:
-    """Flagged samples take the last unflagged value; the first sample stays."""
-    first = F.row_number().over(W()) == 1
-    return F.last(F.when(~flag | first, x), ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, 0))
+    """Flagged samples take the last unflagged value; the first sample stays.  ``ordered.held`` does so in blocks."""
+    return F.last(F.when(~flag | (F.col("k") == 0), x), ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def downsample(df: DataFrame, factor: int, key: int = 0) -> DataFrame:
@@ -147,23 +151,3 @@ def appended(df: DataFrame, more: DataFrame) -> DataFrame:
     w = Window.partitionBy("series_id").orderBy("ts")
     ok = ok.withColumn("k", F.row_number().over(w) - 1 + F.coalesce("_n", F.lit(0)))
     return df.unionByName(ok.select(*df.columns))
-
-
-def periods(df: DataFrame, time_base_s: float = 1.0) -> DataFrame:
-    """series_id, period_s: the dominant period by FFT, NULL where there is none."""
-    import numpy as np
-    import pandas as pd
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("k")["x"].fillna(0.0).to_numpy()
-        n = 1 << max(0, len(x).bit_length() - 1) if len(x) else 0
-        period = None
-        if n >= 2:
-            sizes = np.abs(np.fft.fft(x[:n]))[1 : n // 2 + 1]
-            order = np.argsort(-sizes, kind="stable")
-            if sizes[order[0]] > 1e-9 * max(1.0, np.abs(x[:n]).sum()):
-                top = int(order[0]) + 1
-                period = time_base_s * n / top
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "period_s": [period]})
-
-    return df.select("series_id", "k", "x").groupBy("series_id").applyInPandas(one, df.select("series_id").schema.add("period_s", "double"))

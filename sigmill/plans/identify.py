@@ -449,29 +449,4 @@ def per_series(df: DataFrame, estimate: Callable[[pd.DataFrame], object], column
     return df.select("series_id", "k", *columns).groupBy("series_id").applyInPandas(one, f"series_id {kind}, kind string, able boolean, fit_score double, params string")
 
 
-def strongest_shifts(df: DataFrame, main: str, others: list[str], dt: float, least_corr: float = 0.4, least_fit: float = 10.0) -> DataFrame:
-    """series_id, signal, corr, time_constant_s, delay_s: strongly correlated signals and how they lag `main`."""
-    kind = df.schema["series_id"].dataType.simpleString()
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out = pdf.sort_values("k"), []
-        y = pdf[main].to_numpy(float, na_value=np.nan)
-        for s in others:
-            x = pdf[s].to_numpy(float, na_value=np.nan)
-            ok = np.isfinite(x) & np.isfinite(y)
-            if ok.sum() < 3 or np.ptp(x[ok]) == 0 or np.ptp(y[ok]) == 0:
-                continue
-            c = float(np.corrcoef(x[ok], y[ok])[0, 1])
-            tc = delay = None
-            if abs(c) >= least_corr:
-                p, _ = identify_unit(y, x, dt, curvature=False)
-                if p.fitting.get("able") and p.fitting["fit_score_prc"] >= least_fit:
-                    tc, delay = p.time_constant_s, p.delay_s
-            out.append({"series_id": key[0], "signal": s, "corr": round(c, 6), "time_constant_s": tc, "delay_s": delay})
-        out.sort(key=lambda r: (-abs(r["corr"]), r["signal"]))
-        return pd.DataFrame(out, columns=["series_id", "signal", "corr", "time_constant_s", "delay_s"])
-
-    return df.select("series_id", "k", main, *others).groupBy("series_id").applyInPandas(one, f"series_id {kind}, signal string, corr double, time_constant_s double, delay_s double")
-
-
 __all__ = ["FittingSpecs", "identify_unit", "identify_pid", "identify_gain_sched", "identify_gain_sched_given", "identify_closed_loop", "disturbance", "per_series", "PidModel"]

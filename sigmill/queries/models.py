@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import lagged as L
+from ..operators import ordered as N
 from ..operators import recursive as C
 from ..operators import series as O
 from ..plans import identify as I
@@ -160,11 +162,45 @@ DISTURBANCES = """select n_nationkey as series_id, (n_nationkey % 7 - 3)::double
 
 def shifted_correlations(spark, d):
     ev = events(spark, d).withColumn("x", F.coalesce("x", F.lit(50.0)))
-    low = C.low_pass(ev, 4.0).withColumn("late", F.lag("y", 2).over(O.W())).withColumn("late", F.coalesce("late", "y"))
-    out = I.strongest_shifts(low, "late", ["x", "y"], 1.0)
+    low = N.haloed(C.low_pass(ev, 4.0), 2)
+    late = N.own(low.withColumn("late", F.when(F.col("k") < 2, F.col("y")).otherwise(F.lag("y", 2).over(N.B()))))
+    out = L.strongest_shifts(late, "late", ["x", "y"], 8, block=32)
     return out.select("series_id", "signal", r(F.col("corr"), 4).alias("corr"), r(F.col("time_constant_s"), 3).alias("time_constant_s"), "delay_s")
 
 
+def _lag_fits(signals: list[str], y: str, lags: int) -> str:
+    """CTEs `fit` (series_id, signal, lag, n, a, b, rsq) and `best`, by joins of samples with those so many before; from `z` (series_id, k, signals)."""
+    pair = " union all ".join(f"select '{x}' as signal, g.lag, c.series_id, c.{y} as y, p.{y} as y1, o.{x} as x from z c join z p on p.series_id = c.series_id and p.k = c.k - 1, range({lags + 1}) as g(lag), z o where o.series_id = c.series_id and o.k = c.k - g.lag" for x in signals)
+    return f"""j as ({pair}), m as (select series_id, signal, lag, count(*) as n, var_pop(y) as yy, covar_pop(y, y1) as yp, covar_pop(y, x) as yx, var_pop(y1) as pp, covar_pop(y1, x) as px, var_pop(x) as xx
+  from j where y is not null and y1 is not null and x is not null group by all),
+e as (select *, pp * xx - px * px as det from m), f as (select *, (yp * xx - yx * px) / det as a, (yx * pp - yp * px) / det as b from e where det > 1e-9 * pp * xx),
+fit as (select *, round((a * yp + b * yx) / yy, 9) as rsq, b / nullif(1 - a, 0) as gain, case when a >= 0 and a < 1 then a / (1 - a) else 0 end as tc from f where yy > 0),
+best as (select * from fit qualify row_number() over (partition by series_id, signal order by rsq desc, lag) = 1)"""
+
+
+SHIFTED = f"""with recursive {EVENTS}, f0 as (select series_id, k, coalesce(x, 50) as x from s), g0 as (select 0::bigint as k, series_id, x as y from f0 where k = 0
+ union all select f0.k, f0.series_id, g0.y * (1 / (1 + 1 / 4.0::double)) + f0.x * (1 - 1 / (1 + 1 / 4.0::double)) from g0 join f0 on f0.series_id = g0.series_id and f0.k = g0.k + 1),
+z as (select g0.series_id, g0.k, f0.x, g0.y, case when g0.k < 2 then g0.y else lag(g0.y, 2) over (partition by g0.series_id order by g0.k) end as late from g0 join f0 using (series_id, k)), {_lag_fits(["x", "y"], "late", 8)},
+c as (select series_id, 'x' as signal, corr(late, x) as corr from z group by 1 union all select series_id, 'y', corr(late, y) from z group by 1)
+select series_id, signal, round(corr, 4) + 0.0 as corr, round(case when abs(corr) >= 0.4 and rsq >= 0.1 then tc end, 3) as time_constant_s, case when abs(corr) >= 0.4 and rsq >= 0.1 then lag end::double as delay_s
+from c left join best using (series_id, signal) where corr is not null and not isnan(corr)"""
+
+
+def delay_search(spark, d):
+    """Each series, low-passed and late by a number of samples that follows from its id, against itself."""
+    ev = events(spark, d).withColumn("x", F.coalesce("x", F.lit(50.0)))
+    low = N.haloed(C.low_pass(ev, 1.5), 5)
+    late = F.coalesce(*[F.when(F.col("series_id") % 6 == i, F.lag("y", i).over(N.B()) if i else F.col("y")) for i in range(6)])
+    out = L.delays(N.own(low.withColumn("late", late)), "late", ["x"], 7, block=32)
+    return out.select("series_id", "n", "delay_s", r(F.col("time_constant_s"), 4).alias("time_constant_s"), r(F.col("gain"), 4).alias("gain"), r(F.col("rsq"), 4).alias("rsq"))
+
+
+DELAY_SEARCH = f"""with recursive {EVENTS}, f0 as (select series_id, k, coalesce(x, 50) as x from s), g0 as (select 0::bigint as k, series_id, x as y from f0 where k = 0
+ union all select f0.k, f0.series_id, g0.y * 0.6::double + f0.x * (1 - 0.6::double) from g0 join f0 on f0.series_id = g0.series_id and f0.k = g0.k + 1),
+z as (select g0.series_id, g0.k, f0.x, lag(g0.y, (g0.series_id % 6)::int) over (partition by g0.series_id order by g0.k) as late from g0 join f0 using (series_id, k)), {_lag_fits(["x"], "late", 7)}
+select series_id, n, lag::double as delay_s, round(tc, 4) + 0.0 as time_constant_s, round(gain, 4) + 0.0 as gain, round(rsq, 4) + 0.0 as rsq from best"""
+
+
 def graph_closure(spark, d):
     """All models downstream of each model of a plant, by joins on its edges."""
     plant = serial_plant()
@@ -237,7 +273,7 @@ QUERIES = {
     "model_static": (static_models, STATIC_MODELS), "model_unit_dynamic": (unit_step, UNIT_STEP), "pid_controller": (pid_step, PID_STEP),
     "plant_simulate": (simulated, None), "ident_unit": (identified_units, None), "ident_pid": (identified_pids, None),
     "ident_closed_loop": (identified_loops, None), "ident_gain_sched": (identified_schedules, None), "disturbance_estimate": (disturbances, DISTURBANCES),
-    "correlate_and_shift": (shifted_correlations, None), "plant_graph_closure": (graph_closure, GRAPH), "gain_sweep": (steady_sweep, STEADY_SWEEP),
+    "correlate_and_shift": (shifted_correlations, SHIFTED), "delay_search": (delay_search, DELAY_SEARCH), "plant_graph_closure": (graph_closure, GRAPH), "gain_sweep": (steady_sweep, STEADY_SWEEP),
     "csv_roundtrip": (csv_text, CSV_TEXT), "stream_running_mean": (stream_mean, STREAM_MEAN), "stream_low_pass": (stream_low_pass, STREAM_LOW_PASS),
     "stream_pid": (stream_pid, None),
 }

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import reductions as R
 from ..operators import dataset as D
+from ..operators import ordered as N
 from ..operators import quality as Q
 from ..operators import recursive as C
 from ..operators import regression as G
 from ..operators import series as O
+from ..operators import spectrum as S
 from .base import EVENTS, PAIRS, events, pairs, r, table
 
 
 def windows(spark, d):
-    x = F.col("x")
-    return events(spark, d).select(
-        "series_id", "k", r(O.moving_average(x, 5)).alias("moving"), r(O.smooth(x, 3)).alias("smooth"), r(O.difference(x)).alias("diff"),
-        r(O.delayed(x, 3)).alias("delayed"), r(O.held(x, x > 80)).alias("held"),
+    x, w, block = F.col("x"), N.B(), 24
+    rows = N.haloed(N.held(events(spark, d), x, x > 80, "held", block), 4, 3, block)
+    out = rows.select(
+        "series_id", "k", "_b", r(O.moving_average(x, 5, w)).alias("moving"), r(O.smooth(x, 3, w)).alias("smooth"), r(O.difference(x, w)).alias("diff"),
+        r(O.delayed(x, 3, w)).alias("delayed"), r(F.col("held")).alias("held"),
     )
+    return N.own(out, block)
 
 
 WINDOWS = f"""with {EVENTS}, q as (select *, count(*) over (partition by series_id) as n from s)
@@ -88,7 +94,7 @@ select series_id, k, round(y, 6) as y from g"""
 
 
 def running_mean(spark, d):
-    out = C.recursive_average(events(spark, d))
+    out = C.recursive_average(events(spark, d), block=32)
     return out.select("series_id", "k", r(F.col("y"), 9).alias("y"))
 
 
@@ -153,18 +159,30 @@ count(*) filter (where ts between timestamp '2024-01-15' and timestamp '2024-01-
 select series_id, greatest(coalesce(m, 0), 0) as k, greatest(coalesce(m - 1, 0), 0) as k_compat, n_days from m"""
 
 
+def _waves(spark, d):
+    """Each user's samples on top of a wave whose period follows from the user."""
+    swing = F.sin(F.col("k") * (2 * math.pi) / (4 + F.col("series_id") % 7)) * (F.col("series_id") % 3 * 60)
+    return events(spark, d).withColumn("x", F.coalesce("x", F.lit(0.0)) + swing)
+
+
 def period(spark, d):
-    from ..functions import generators as N
+    return S.periods(_waves(spark, d), 2.0, block=16).select("series_id", r(F.col("period_s")).alias("period_s"))
+
+
+_WAVES = f"z as (select series_id, k, coalesce(x, 0) + sin(k * (2 * pi()) / (4 + series_id % 7)) * (series_id % 3 * 60) as x from s), l as (select series_id, (1::bigint << floor(log2(max(k) + 1) + 1e-9)::int) as n from z group by 1)"
+_DFT = """t as (select series_id, n, bin, sum(x * cos(2 * pi() * ((bin * k) % n) / n)) as re, -sum(x * sin(2 * pi() * ((bin * k) % n) / n)) as im from z join l using (series_id), lateral (select unnest(range(n)) as bin) where k < n group by all)"""
+PERIOD = f"""with {EVENTS}, {_WAVES}, {_DFT}, a as (select series_id, sum(abs(x)) as total from z group by 1),
+m as (select series_id, n, bin, case when sqrt(re * re + im * im) > 1e-9 * greatest(total, 1) then sqrt(re * re + im * im) else 0 end as m from t join a using (series_id) where bin > 0 and bin < n / 2),
+o as (select *, row_number() over w - 1 as place, lead(m) over w as next from m window w as (partition by series_id order by m desc, bin)),
+e as (select * from o where next < 0.7::double * m qualify row_number() over (partition by series_id order by place) = 1)
+select series_id, round(case when place <= floor((n / 2 - 1) * 0.3::double) and bin > 1 then 2 * n / bin end, 6) as period_s from (select distinct series_id from z) left join e using (series_id)"""
+
 
-    k = F.col("k")
-    rows = None
-    for i, (amplitude, length) in enumerate(((5, 4), (2, 8), (1, 16), (0, 4))):
-        one = N.grid(spark, 64, series=f"s{i}").withColumn("x", N.sinus(k, amplitude, length) + 3.0)
-        rows = one if rows is None else rows.unionByName(one)
-    return O.periods(rows).select("series_id", r(F.col("period_s")).alias("period_s"))
+def spectrum(spark, d):
+    return S.fourier(_waves(spark, d)).select("series_id", "n", "bin", r(F.col("re"), 4).alias("re"), r(F.col("im"), 4).alias("im"))
 
 
-PERIOD = "select * from (values ('s0', 4.0::double), ('s1', 8.0), ('s2', 16.0), ('s3', null)) as t(series_id, period_s)"
+SPECTRUM = f"with {EVENTS}, {_WAVES}, {_DFT} select series_id, n, bin, round(re, 4) + 0.0 as re, round(im, 4) + 0.0 as im from t"
 
 
 def _daily(spark, d):
@@ -318,7 +336,7 @@ QUERIES = {
     "filter_low_pass_order_2": (low_pass_twice, LOW_PASS_TWICE),
     "filter_band_pass": (band_pass, BAND_PASS), "filter_second_order": (second_order, SECOND_ORDER), "recursive_average": (running_mean, RUNNING_MEAN),
     "fit_score": (fit_score, FIT_SCORE), "downsample_skipping_bad": (downsampled, None), "asof_oversample": (oversampled, OVERSAMPLED),
-    "index_at_date": (index_at, INDEX_AT), "signal_period": (period, PERIOD), "join_on_time": (time_join, TIME_JOIN), "dataset_combine": (combined, COMBINED),
+    "index_at_date": (index_at, INDEX_AT), "signal_period": (period, PERIOD), "series_spectrum": (spectrum, SPECTRUM), "join_on_time": (time_join, TIME_JOIN), "dataset_combine": (combined, COMBINED),
     "dataset_concat_append": (concatenated, CONCATENATED), "dataset_wide_long": (wide_long, WIDE_LONG), "dataset_summary": (summarised, SUMMARISED),
     "quality_ignore_flags": (bad_data, BAD_DATA), "quality_frozen_oversampled": (frozen_runs, FROZEN_RUNS), "regress_two_inputs": (regression, REGRESSION),
     "regress_regularised": (ridge, RIDGE), "regress_at_an_offset": (offset_regression, OFFSET_REGRESSION), "correlate_signals": (correlated, CORRELATED), "series_gradient": (gradients, GRADIENTS),

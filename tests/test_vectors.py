@@ -13,6 +13,7 @@ from sigmill.operators import quality as Q
 from sigmill.operators import recursive as C
 from sigmill.operators import regression as L
 from sigmill.operators import series as O
+from sigmill.operators import spectrum as P
 from sigmill.sources import files
 from sigmill.streaming import stateful as T
 
@@ -133,7 +134,7 @@ def test_regression_with_a_dead_input(make):
 
 def test_period(make):
     s = make([0.0] * 32).withColumn("x", G.sinus(F.col("k"), 5, 4))
-    assert O.periods(s).first()["period_s"] == 4 and O.periods(make([2.0] * 32)).first()["period_s"] is None
+    assert P.periods(s).first()["period_s"] == 4 and P.periods(make([2.0] * 32)).first()["period_s"] is None
 
 
 def test_generators(spark):
