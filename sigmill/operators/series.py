@@ -5,12 +5,15 @@ Windows are partitioned by series, so many series run in parallel.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.scalar import BAD, clean
-from .ordered import numbered
+from . import ordered
+from .ordered import BLOCK, B, haloed, numbered, own
 
 
 def W() -> WindowSpec:
@@ -106,6 +109,34 @@ def next_hold(df: DataFrame, grid: DataFrame) -> DataFrame:
     return both.withColumn("_v", F.coalesce(after, before)).where("_g = 0").select("series_id", "ts", F.col("_v.k").alias("k"), F.col("_v.x").alias("x"))
 
 
+def on_grid(df: DataFrame, start: datetime, end: datetime, step: timedelta, block: int = BLOCK) -> DataFrame:
+    """series_id, ts, k_before, x_before, k_after at the times start, start + step and so on up to `end`.
+
+    Before is the last sample at or before a time, NULL before the first;
+    after is the first at or after it, the last sample beyond the end.
+    Each sample makes the times from its own up to its successor's, so a
+    grid is never joined with the series.  `k` is to follow `ts`.
+    """
+    w, us = B(), step // timedelta(microseconds=1)
+    near = haloed(df.select("series_id", "k", F.col("ts").cast("timestamp_ntz").alias("ts"), "x"), 1, 1, block)
+    seen = own(near.withColumns({
+        "_next": F.lead("ts").over(w), "_new": F.when((F.col("k") == 0) | (F.lag("ts").over(w) < F.col("ts")), F.col("k")),
+    }), block)
+    # Of samples at one time the first is `after` it and the last is `before`.
+    rows = ordered.held(seen, F.col("_new"), F.col("_new").isNull(), "_first", block)
+    after = lambda c: F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'{start}', {c})") / F.lit(us)
+    low = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.greatest(F.ceil(after("ts")), F.lit(0)))
+    most = F.lit((end - start) // step)
+    high = F.least(F.when(F.col("_next").isNull(), most).otherwise(F.ceil(after("_next")) - 1), most)
+    times = F.when(low <= high, F.sequence(low, high))
+    grid = rows.withColumn("_j", F.explode(times)).withColumn("_t", F.expr(f"timestampadd(MICROSECOND, _j * {us}, timestamp_ntz'{start}')"))
+    early, level = F.col("_t") < F.col("ts"), F.col("_t") == F.col("ts")
+    return grid.select(
+        "series_id", F.col("_t").alias("ts"), F.when(~early, F.col("k")).alias("k_before"), F.when(~early, F.col("x")).alias("x_before"),
+        F.when(early | level, F.col("_first")).when(F.col("_next").isNull(), F.col("k")).otherwise(F.col("k") + 1).alias("k_after"),
+    )
+
+
 def subset(df: DataFrame, start: int, end: int | None) -> DataFrame:
     """Samples from start to end, both included; a missing or too large end is the last."""
     df = df.where(F.col("k") >= max(0, start))

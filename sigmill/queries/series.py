@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -124,19 +125,12 @@ def downsampled(spark, d):
     return O.downsample_good(events(spark, d), 4, F.col("x").isNull() | (F.col("x") > 90)).select("series_id", "block", "k", r(F.col("x")).alias("x"), "flagged")
 
 
-def _grid(ev):
-    """Every hour from the one of the first sample of all series to the last sample."""
-    hour = F.date_trunc("hour", F.min("ts")).cast("timestamp_ntz")
-    return ev.agg(hour.alias("low"), F.max("ts").cast("timestamp_ntz").alias("high")).select(F.explode(F.sequence("low", "high", F.expr("interval 1 hour"))).alias("ts"))
-
-
 def oversampled(spark, d):
+    """At every hour from that of the first sample of all series to the last sample."""
     ev = events(spark, d)
-    grid = ev.select("series_id").distinct().crossJoin(F.broadcast(_grid(ev)))
-    before, after = O.oversample(ev, grid), O.next_hold(ev, grid)
-    return before.select("series_id", "ts", F.coalesce("k", F.lit(-1)).alias("k_before"), r(F.col("x")).alias("x_before")).join(
-        after.select("series_id", "ts", F.col("k").alias("k_after")), ["series_id", "ts"]
-    )
+    low, high = (v.replace(tzinfo=None) for v in ev.agg(F.date_trunc("hour", F.min("ts")).cast("timestamp_ntz"), F.max("ts").cast("timestamp_ntz")).first())
+    out = O.on_grid(ev, low, high, timedelta(hours=1), block=64)
+    return out.select("series_id", "ts", F.coalesce("k_before", F.lit(-1)).alias("k_before"), r(F.col("x_before")).alias("x_before"), "k_after")
 
 
 OVERSAMPLED = f"""with {EVENTS}, e as (select * from s), h as (select date_trunc('hour', min(ts))::timestamp as low, max(ts)::timestamp as high from s),
