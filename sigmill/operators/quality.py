@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordered import BLOCK, B, carried, haloed, own, so_far
 from .series import W
 
 
@@ -89,6 +90,56 @@ def oversampled_factor(df: DataFrame, signals: list[str]) -> DataFrame:
     return out.select("series_id", F.when(ok, factor).otherwise(F.lit(1.0)).alias("factor"), F.when(ok, F.col("key")).otherwise(F.lit(0)).alias("key"))
 
 
+def repeat_runs(df: DataFrame, signals: list[str], block: int = BLOCK) -> DataFrame:
+    """series_id, first, last, length of each stretch of samples at which no signal differs from the sample before.
+
+    Both ends are found with the neighbours of a block; an end takes the
+    last start so far, so a stretch may be longer than blocks are.
+    """
+    same = [F.coalesce(F.col(s) == F.lag(s).over(B()), F.lit(False)) for s in signals]
+    flat = reduce(lambda a, b: a & b, same) & (F.col("k") > 0)
+    near = haloed(df.select("series_id", "k", *signals), 2, 1, block).withColumn("_f", flat)
+    edges = own(near.withColumns({"_open": ~F.coalesce(F.lag("_f").over(B()), F.lit(False)), "_shut": ~F.coalesce(F.lead("_f").over(B()), F.lit(False))}), block).where("_f")
+    first = carried(edges.select("series_id", "k", "_open", "_shut"), {"_start": F.max(F.when(F.col("_open"), F.col("k")))}, {"_before": F.max("_start")}, block)
+    start = F.coalesce(F.max(F.when(F.col("_open"), F.col("k"))).over(so_far()), F.col("_before"))
+    runs = first.select("series_id", "_shut", start.alias("first"), F.col("k").alias("last")).where("_shut")
+    return runs.select("series_id", "first", "last", (F.col("last") - F.col("first") + 1).alias("length"))
+
+
+def unit_oversampled_factor(df: DataFrame, output: str, inputs: list[str], block: int = BLOCK) -> DataFrame:
+    """series_id, factor, key, n_flat: the oversampling of a unit's output and inputs together, with flat stretches set aside.
+
+    A stretch of repeats is flat if it is longer by more than 2 than the
+    median stretch of its series; the others come from oversampling.
+    Without flat stretches the factor is n / (n - repeats).  With them
+    their samples don't count, but for the share of a group that each of
+    them covers at its ends: (n - (flat - n_flat f)) / (n - repeats) with f
+    the factor without that share.  It holds if it exceeds 1 and the
+    longest remaining stretch fits it: one less than the factor rounded
+    up; with flat stretches, which cut off parts of groups, from two less
+    to one more.  Else the factor is 1 and the key 0.  The key is the
+    first sample of the first group.
+    """
+    runs = repeat_runs(df, [output, *inputs], block)
+    middle = runs.groupBy("series_id").agg(F.expr("percentile_disc(0.5) within group (order by length)").alias("_m"))
+    told = runs.join(middle.withColumnRenamed("series_id", "_s"), F.col("series_id").eqNullSafe(F.col("_s"))).withColumn("_flat", F.col("length") > F.col("_m") + 2)
+    one = told.groupBy(F.col("series_id").alias("_s")).agg(
+        F.sum("length").alias("_all"), F.sum(F.when(F.col("_flat"), F.col("length")).otherwise(0)).alias("_gone"), F.count_if("_flat").alias("n_flat"),
+        F.max(F.when(~F.col("_flat"), F.col("length"))).alias("_longest"), F.min(F.when(~F.col("_flat"), F.col("first"))).alias("_begin"),
+    )
+    sizes = df.groupBy("series_id").agg(F.count("*").alias("_n"))
+    both = sizes.join(one, F.col("series_id").eqNullSafe(F.col("_s")), "left")
+    left = F.col("_n") - F.col("_all")
+    plain = (F.col("_n") - F.col("_gone")) / left
+    factor = F.when(F.col("n_flat") == 0, plain).otherwise((F.col("_n") - (F.col("_gone") - F.col("n_flat") * plain)) / left)
+    sized = both.withColumn("_f", factor)
+    fits = F.when(F.col("n_flat") == 0, F.col("_longest") + 1 == F.ceil("_f")).otherwise(F.col("_longest").between(F.floor("_f") - 1, F.ceil("_f") + 1))
+    fine = F.coalesce((F.col("_all") >= 2) & (F.col("_f") > 1) & fits, F.lit(False))
+    return sized.select(
+        "series_id", F.when(fine, F.col("_f")).otherwise(1.0).alias("factor"), F.when(fine, F.col("_begin") - 1).otherwise(0).alias("key"), F.coalesce("n_flat", F.lit(0)).alias("n_flat")
+    )
+
+
 def outside(column: str, low: float | None, high: float | None) -> Column:
     """Values beyond limits; a limit that is None is off."""
     flags = []

@@ -263,6 +263,27 @@ select series_id, repeats::bigint as n_frozen, 2::bigint as mean_run, 2::bigint
 round(case when ceil(n / (n - repeats)::double) = 3 then n / (n - repeats)::double else 1 end, 6) as factor, case when ceil(n / (n - repeats)::double) = 3 then 3 else 0 end::bigint as key from c"""
 
 
+def unit_factor(spark, d):
+    """Output and input held for 1 to 4 samples each, with two flat stretches that both share and one of the output alone."""
+    hold = F.col("k") - F.col("k") % (F.col("series_id") % 4 + 1)
+    flat = F.when(F.col("k").between(20, 33), 20).when(F.col("k").between(45, 55), 45)
+    ev = events(spark, d).withColumns({"y": F.coalesce(flat, F.when(F.col("k").between(10, 14), 10), hold).cast("double"), "u": -F.coalesce(flat, hold).cast("double")})
+    out = Q.unit_oversampled_factor(ev, "y", ["u"], block=16)
+    return out.select("series_id", r(F.col("factor")).alias("factor"), F.col("key").cast("long").alias("key"), "n_flat")
+
+
+UNIT_FACTOR = f"""with {EVENTS}, h as (select series_id, k, k - k % (series_id % 4 + 1) as hold, case when k between 20 and 33 then 20 when k between 45 and 55 then 45 end as flat from s),
+z as (select series_id, k, coalesce(flat, case when k between 10 and 14 then 10 end, hold) as y, coalesce(flat, hold) as u from h),
+f as (select *, k > 0 and y = lag(y) over w and u = lag(u) over w as same from z window w as (partition by series_id order by k)),
+g as (select series_id, k, k - row_number() over (partition by series_id order by k) as island from f where same), q as (select series_id, island, min(k) as first, count(*) as length from g group by all),
+m as (select series_id, quantile_disc(length, 0.5) as m from q group by 1), t as (select *, length > m + 2 as is_flat from q join m using (series_id)),
+o as (select series_id, sum(length)::bigint as total, coalesce(sum(length) filter (where is_flat), 0)::bigint as gone, count(*) filter (where is_flat) as n_flat, max(length) filter (where not is_flat) as longest, min(first) filter (where not is_flat) as begin from t group by 1),
+n as (select series_id, count(*) as n from s group by 1), p as (select *, (n - gone) / (n - total)::double as plain from n left join o using (series_id)),
+v as (select *, case when n_flat = 0 then plain else (n - (gone - n_flat * plain)) / (n - total) end as f from p),
+w as (select *, coalesce(total >= 2 and f > 1 and case when n_flat = 0 then longest + 1 = ceil(f) else longest between floor(f) - 1 and ceil(f) + 1 end, false) as fine from v)
+select series_id, round(case when fine then f else 1 end, 6) as factor, case when fine then begin - 1 else 0 end::bigint as key, coalesce(n_flat, 0)::bigint as n_flat from w"""
+
+
 def regression(spark, d):
     p = pairs(spark, d)
     fit = G.regress(p, F.col("c"), [F.col("a"), F.col("b")])
@@ -332,6 +353,6 @@ QUERIES = {
     "fit_score": (fit_score, FIT_SCORE), "downsample_skipping_bad": (downsampled, None), "asof_oversample": (oversampled, OVERSAMPLED),
     "index_at_date": (index_at, INDEX_AT), "signal_period": (period, PERIOD), "series_spectrum": (spectrum, SPECTRUM), "join_on_time": (time_join, TIME_JOIN), "dataset_combine": (combined, COMBINED),
     "dataset_concat_append": (concatenated, CONCATENATED), "dataset_wide_long": (wide_long, WIDE_LONG), "dataset_summary": (summarised, SUMMARISED),
-    "quality_ignore_flags": (bad_data, BAD_DATA), "quality_frozen_oversampled": (frozen_runs, FROZEN_RUNS), "regress_two_inputs": (regression, REGRESSION),
+    "quality_ignore_flags": (bad_data, BAD_DATA), "quality_frozen_oversampled": (frozen_runs, FROZEN_RUNS), "unit_oversampled_factor": (unit_factor, UNIT_FACTOR), "regress_two_inputs": (regression, REGRESSION),
     "regress_regularised": (ridge, RIDGE), "regress_at_an_offset": (offset_regression, OFFSET_REGRESSION), "correlate_signals": (correlated, CORRELATED), "series_gradient": (gradients, GRADIENTS),
 }
