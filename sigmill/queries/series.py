@@ -15,6 +15,7 @@ from ..operators import recursive as C
 from ..operators import regression as G
 from ..operators import series as O
 from ..operators import spectrum as S
+from ..operators import thresholds as H
 from .base import EVENTS, PAIRS, events, pairs, r, table
 
 
@@ -326,6 +327,24 @@ OFFSET_REGRESSION = f"""with {PAIRS}, m as (select series_id, count(*) as n, reg
 select series_id, n, round((ac * bb - bc * ab) / (aa * bb - ab * ab), 6) + 0.0 as p0, round((bc * aa - ac * ab) / (aa * bb - ab * ab), 6) + 0.0 as p1, false as rank_deficient from m"""
 
 
+def gain_threshold(spark, d):
+    """Where the gain of c over a changes; it is raised above a level that follows from the supplier."""
+    p = pairs(spark, d)
+    bend = F.greatest(F.col("a") - (15 + F.col("series_id") % 20), F.lit(0.0)) * (F.col("series_id") % 3 * 4 + 2)
+    out = H.best_split(p, F.col("a"), F.col("c") + bend, block=8)
+    return out.select("series_id", "threshold", "n_low", "n_high", r(F.col("gain_low"), 5).alias("gain_low"), r(F.col("gain_high"), 5).alias("gain_high"), r(F.col("sse"), 3).alias("sse"))
+
+
+GAIN_THRESHOLD = f"""with {PAIRS}, z as (select series_id, a as u, c + greatest(a - (15 + series_id % 20), 0) * (series_id % 3 * 4 + 2) as y from p),
+m as (select series_id, avg(u) as mu, avg(y) as my from z group by 1), g as (select series_id, u, count(*)::double as n, count(*) * (u - mu) as su, sum(y - my) as sy, count(*) * (u - mu) * (u - mu) as suu, (u - mu) * sum(y - my) as suy, sum((y - my) * (y - my)) as syy
+  from z join m using (series_id) group by series_id, u, mu),
+w as (select series_id, u, {", ".join(f"sum({c}) over w as l_{c}, sum({c}) over (partition by series_id) - sum({c}) over w as h_{c}" for c in ("n", "su", "sy", "suu", "suy", "syy"))} from g window w as (partition by series_id order by u rows unbounded preceding)),
+v as (select *, {", ".join(f"{s}_suu - {s}_su * {s}_su / {s}_n as {s}_uu, {s}_suy - {s}_su * {s}_sy / {s}_n as {s}_uy, {s}_syy - {s}_sy * {s}_sy / {s}_n as {s}_yy" for s in "lh")} from w where l_n >= 3 and h_n >= 3),
+e as (select *, l_uy / l_uu as gain_low, h_uy / h_uu as gain_high, l_yy - l_uy * l_uy / l_uu + h_yy - h_uy * h_uy / h_uu as sse from v where l_uu > 1e-9 * l_n and h_uu > 1e-9 * h_n)
+select series_id, u::double as threshold, l_n::bigint as n_low, h_n::bigint as n_high, round(gain_low, 5) + 0.0 as gain_low, round(gain_high, 5) + 0.0 as gain_high, round(sse, 3) + 0.0 as sse from e
+qualify row_number() over (partition by series_id order by round(sse, 6), u) = 1"""
+
+
 def correlated(spark, d):
     p = pairs(spark, d)
     one = p.groupBy("series_id").agg(*[r(v, 5).alias(k) for k, v in G.simple_regression(F.col("c"), F.col("a")).items()])
@@ -354,5 +373,5 @@ QUERIES = {
     "index_at_date": (index_at, INDEX_AT), "signal_period": (period, PERIOD), "series_spectrum": (spectrum, SPECTRUM), "join_on_time": (time_join, TIME_JOIN), "dataset_combine": (combined, COMBINED),
     "dataset_concat_append": (concatenated, CONCATENATED), "dataset_wide_long": (wide_long, WIDE_LONG), "dataset_summary": (summarised, SUMMARISED),
     "quality_ignore_flags": (bad_data, BAD_DATA), "quality_frozen_oversampled": (frozen_runs, FROZEN_RUNS), "unit_oversampled_factor": (unit_factor, UNIT_FACTOR), "regress_two_inputs": (regression, REGRESSION),
-    "regress_regularised": (ridge, RIDGE), "regress_at_an_offset": (offset_regression, OFFSET_REGRESSION), "correlate_signals": (correlated, CORRELATED), "series_gradient": (gradients, GRADIENTS),
+    "regress_regularised": (ridge, RIDGE), "regress_at_an_offset": (offset_regression, OFFSET_REGRESSION), "correlate_signals": (correlated, CORRELATED), "gain_threshold": (gain_threshold, GAIN_THRESHOLD), "series_gradient": (gradients, GRADIENTS),
 }
