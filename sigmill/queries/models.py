@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import control as K
 from ..operators import lagged as L
 from ..operators import ordered as N
 from ..operators import recursive as C
@@ -56,9 +57,8 @@ select series_id, k, round(case when k < 2 then y else lag(y, 2) over (partition
 
 def pid_step(spark, d):
     """A PI controller on each series with a fixed set point."""
-    p = M.PidParameters(0.3, 25.0)
-    out = C.filtered(events(spark, d), lambda: lambda v, c=M.PidController(p, 1.0): c.step(v, 50.0), ignore_missing=False)
-    return out.select("series_id", "k", r(F.col("y")).alias("u"))
+    out = K.pid(events(spark, d), F.col("x"), F.lit(50.0), 0.3, 25.0, block=16)
+    return out.select("series_id", "k", r(F.col("u")).alias("u"))
 
 
 PID_STEP = f"""with recursive {EVENTS}, g as (select -1::bigint as k, series_id, 0.0::double as u, 0.0::double as e from s where k = 0
