@@ -1,8 +1,8 @@
 """Recursive filters and delays.
 
-The classes work sample by sample and serve simulation and streaming.
-Tables of series are filtered by ``linear``, in blocks: the recursions
-are linear in their state, so blocks of them compose.
+A filter is a ``Linear``: its recursion is linear in its state.  Tables of
+series are filtered by ``linear`` in blocks, which compose; a ``Machine``
+runs the same filter sample by sample for streams and simulation.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,88 +28,6 @@ def missing(v: float | None, bad: float = -9999.0) -> bool:
     return v is None or math.isnan(v) or v == bad
 
 
-class LowPass:
-    """First or second order low pass; the first sample passes through.
-
-    The second order's inner state starts at 0, so it has a start-up
-    transient, as in the original.
-    """
-
-    def __init__(self, time_base_s: float, bad: float = -9999.0) -> None:
-        self.time_base_s, self.bad = time_base_s, bad
-        self.last, self.inner, self.seen = math.nan, 0.0, 0
-
-    @staticmethod
-    def weight(tc_s: float, step_s: float) -> float:
-        """Share of the last output; 0 turns the filter off."""
-        return 0.0 if tc_s < 0.4 * step_s or tc_s <= 0 else 1 / (1 + step_s / tc_s)
-
-    def step(self, x: float, tc_s: float, order: int = 1, reset: bool = False, step_s: float | None = None) -> float:
-        a = self.weight(tc_s, self.time_base_s if step_s is None else step_s)
-        y = x
-        if not (missing(self.last, self.bad) or math.isinf(self.last)):
-            if order == 1:
-                y = a * self.last + (1 - a) * x
-            elif order == 2:
-                self.inner = a * self.inner + (1 - a) * x
-                y = a * self.last + (1 - a) * self.inner
-        if reset or not self.seen:
-            y = x
-        self.seen, self.last = 1, y
-        return y
-
-
-class HighPass:
-    """What a low pass takes away."""
-
-    def __init__(self, time_base_s: float) -> None:
-        self.low = LowPass(time_base_s)
-
-    def step(self, x: float, tc_s: float, order: int = 1, reset: bool = False) -> float:
-        return x - self.low.step(x, tc_s, order, reset)
-
-
-class BandPass:
-    """x less its low pass and less its high pass."""
-
-    def __init__(self, time_base_s: float) -> None:
-        self.low, self.high = LowPass(time_base_s), HighPass(time_base_s)
-
-    def step(self, x: float, low_tc_s: float, high_tc_s: float, order: int = 1) -> float:
-        return x - self.low.step(x, low_tc_s, order) - self.high.step(x, high_tc_s, order)
-
-
-class SecondOrder:
-    """Second order response with damping; the first two samples force a steady state."""
-
-    def __init__(self, time_base_s: float) -> None:
-        self.h, self.seen, self.y1, self.y2 = time_base_s, 0, math.nan, math.nan
-
-    @staticmethod
-    def weights(step_s: float, tc_s: float, damping: float) -> tuple[float, float] | None:
-        """Shares of the last two outputs; None turns the filter off."""
-        # Fixed rule: 0 without damping, 2 up to damping 1, then twice the damping.
-        factor = 0.0 if damping <= 0 else 2.0 if damping < 1 else 2 * damping
-        omega = factor / tc_s if tc_s else math.inf
-        divisor = 1 / step_s + 2 * damping * omega / step_s + omega * omega
-        if divisor <= 0 or not math.isfinite(divisor):
-            return None
-        return (2 + 2 * damping * omega) / step_s / divisor, -1 / step_s / divisor
-
-    def step(self, x: float, tc_s: float, damping: float, reset: bool = False) -> float:
-        if self.seen < 2:
-            self.seen, self.y1, self.y2 = self.seen + 1, x, x
-        weights = self.weights(self.h, tc_s, damping)
-        if weights is None:
-            return x
-        a1, a2 = weights
-        y = x if missing(self.y1) or missing(self.y2) else a1 * self.y1 + a2 * self.y2 + (1 - a1 - a2) * x
-        self.y1, self.y2 = y, self.y1
-        if reset:
-            self.y1 = self.y2 = y = x
-        return y
-
-
 class Delay:
     """A sample so long before; until there is one, samples pass through."""
 
@@ -172,6 +91,10 @@ class Linear:
     through: float = 0.0
     begins: int = 1
 
+    @cached_property
+    def plain(self) -> tuple[list, list, list, list]:
+        return self.m.tolist(), self.c.tolist(), self.start.tolist(), self.out.tolist()
+
     def states(self, x: np.ndarray, first: bool, s0: np.ndarray) -> np.ndarray:
         """States after each sample of a block; an exact scan by doubled steps."""
         if first:
@@ -190,8 +113,15 @@ class Linear:
         return states @ self.out + self.through * x
 
 
+def lag_share(tc_s: float, step_s: float) -> float:
+    """Share of the last output in a first order lag; 0, which turns it off, for time constants under 0.4 steps (fixed rule)."""
+    return 1 / (1 + step_s / tc_s) if tc_s > 0 and tc_s >= 0.4 * step_s else 0.0
+
+
+@lru_cache(1024)
 def low_pass_of(tc_s: float, time_base_s: float = 1.0, order: int = 1) -> Linear:
-    a = LowPass.weight(tc_s, time_base_s)
+    """The second order's inner state starts at 0, so it has a start-up transient."""
+    a = lag_share(tc_s, time_base_s)
     b = 1 - a
     if order == 1:
         return Linear(np.array([[a]]), np.array([b]), np.ones(1), np.ones(1))
@@ -204,16 +134,45 @@ def high_pass_of(tc_s: float, time_base_s: float = 1.0, order: int = 1) -> Linea
 
 
 def band_pass_of(low_tc_s: float, high_tc_s: float, time_base_s: float = 1.0) -> Linear:
-    a = np.array([LowPass.weight(low_tc_s, time_base_s), LowPass.weight(high_tc_s, time_base_s)])
+    """x less its low pass and less its high pass."""
+    a = np.array([lag_share(low_tc_s, time_base_s), lag_share(high_tc_s, time_base_s)])
     return Linear(np.diag(a), 1 - a, np.ones(2), np.array([-1.0, 1.0]))
 
 
+@lru_cache(1024)
 def second_order_of(tc_s: float, damping: float, time_base_s: float = 1.0) -> Linear:
-    w = SecondOrder.weights(time_base_s, tc_s, damping)
-    a1, a2 = w or (0.0, 0.0)
+    """y'' / w^2 + 2 d y' / w + y = x by backward differences; off without damping or time constant.
+
+    The frequency w is 2 / tc up to damping 1, beyond that 2 d / tc (fixed
+    rule).  The first two samples force a steady state.
+    """
+    a1 = a2 = 0.0
+    if damping > 0 and tc_s > 0:
+        w = 2 * max(1.0, damping) / tc_s
+        weight = 1 + 2 * damping * w + w * w * time_base_s
+        a1, a2 = (2 + 2 * damping * w) / weight, -1 / weight
     return Linear(np.array([[a1, a2], [1, 0]]), np.array([1 - a1 - a2, 0]), np.ones(2), np.array([1.0, 0]), begins=2)
 
 
+class Machine:
+    """A ``Linear`` sample by sample, for streams and simulation; it starts anew after an output that is no number."""
+
+    def __init__(self, f: Linear | None = None) -> None:
+        self.f, self.seen, self.state = f, 0, []
+
+    def step(self, x: float, f: Linear | None = None) -> float:
+        """`f`, where given, replaces the filter from now on and keeps its state."""
+        self.f = f or self.f
+        m, c, start, out = self.f.plain
+        if self.seen < self.f.begins or len(self.state) != len(c):
+            self.state = [v * x for v in start]
+        else:
+            self.state = [sum(a * b for a, b in zip(row, self.state, strict=True)) + v * x for row, v in zip(m, c, strict=True)]
+        y = sum(a * b for a, b in zip(out, self.state, strict=True)) + self.f.through * x
+        self.seen = self.seen + 1 if math.isfinite(y) else 0
+        return y
+
+
 def linear(df: DataFrame, f: Linear, out: str = "y", block: int = BLOCK) -> DataFrame:
     """(series_id, k, x) with `out`: `f` over each series, in blocks of `block` samples.
 

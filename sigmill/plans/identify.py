@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..operators.recursive import LowPass
+from ..operators.recursive import Machine, low_pass_of
 from .metrics import common, fit_score, rounded
 from .models import GainSchedModel, GainSchedParameters, PidController, PidModel, PidParameters, UnitModel, UnitParameters
 from .plant import simulate_single
@@ -216,8 +216,8 @@ def identify_pid(y, yset, u, dt, ignore=None, bad=-9999.0, filters=(0.0, 1.0, 2.
     best: tuple[float, PidParameters, np.ndarray] | None = None
     for late in (0, 1):
         for tc in filters:
-            f = LowPass(dt)
-            e = sf - (np.array([f.step(float(v), tc * dt) for v in yf]) if tc else yf)
+            f = Machine(low_pass_of(tc * dt, dt))
+            e = sf - (np.array([f.step(float(v)) for v in yf]) if tc else yf)
             k = np.arange(1 + late, len(u))
             de, ie, du = e[k - late] - e[k - late - 1], e[k - late] * dt, uf[k] - uf[k - 1]
             ok = ~(gone[k] | gone[k - 1] | gone[k - late] | gone[k - late - 1] | saturated[k] | saturated[k - 1])
@@ -392,8 +392,8 @@ def choose(found: list[Candidate], weak: float = 0.2, none: float = 0.001) -> Ca
 def identify_closed_loop(y, yset, u, dt, pid: PidParameters, pid_index: int = 0, ignore=None) -> tuple[UnitParameters, np.ndarray]:
     """Process model and disturbance from closed-loop data with a known PID.
 
-    A model-free gain starts the search; four passes of a gain grid that
-    narrows, each followed by a scan of time constants that makes the
+    A model-free gain starts the search; passes of a gain grid that
+    narrows follow, each followed by a scan of time constants that makes the
     disturbance smoothest.
     """
     y, yset = _filled(clean(y)), _filled(clean(yset))
@@ -409,9 +409,10 @@ def identify_closed_loop(y, yset, u, dt, pid: PidParameters, pid_index: int = 0,
     final = abs(u[-1, pid_index] - u[0, pid_index])
     if np.ptp(yset) > 0 and final > 1e-6:
         gain = sign * min(top, max(abs(gain), abs(yset[-1] - yset[0]) / final) or abs(gain))
-    tc, best = 0.0, None
-    for points, low, high in ((20, 0.9, 1.5), (20, 0.4, 0.4), (10, 0.1, 0.2), (10, 0.1, 0.1)):
-        grid = np.linspace(abs(gain) * (1 - low), min(abs(gain) * (1 + high), top), points)
+    # A bracket around the gain, at first up to 2.5 times of it and down to 0.4 of it, is narrowed to its cube root each time.
+    tc, best, bracket = 0.0, None, 2.5
+    while bracket > 1.03:
+        grid = np.geomspace(abs(gain) / bracket, min(abs(gain) * bracket, top), 15)
         found = [closed_loop_candidate(y, yset, u, dt, pid, sign * float(g), tc, 0.0, pid_index, ignore) for g in grid if g > 0]
         chosen = choose(found) if len(found) > 2 else None
         if chosen is None:
@@ -420,9 +421,9 @@ def identify_closed_loop(y, yset, u, dt, pid: PidParameters, pid_index: int = 0,
             best = chosen
             break
         best, gain = chosen, chosen.gain
-        scan = [(float(np.abs(np.diff(disturbance(y, u, _with_tc(best.model, t * dt), dt, ignore))).mean()), t * dt) for t in range(0, 61, 1 if points == 10 else 4)]
+        scan = [(float(np.abs(np.diff(disturbance(y, u, _with_tc(best.model, t * dt), dt, ignore))).mean()), t * dt) for t in range(0, 61, 4 if bracket > 1.2 else 1)]
         tc = min(scan)[1]
-        best.model = _with_tc(best.model, tc)
+        best.model, bracket = _with_tc(best.model, tc), bracket ** (1 / 3)
     model = best.model
     model.gains, model.time_constant_s = rounded(model.gains), rounded(tc)
     d = disturbance(y, u, model, dt, ignore)

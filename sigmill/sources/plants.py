@@ -62,15 +62,12 @@ def _foreign(name: str, x: dict[str, Any]) -> M.Model:
         p = x["pidParameters"]
         s = p.get("Scaling") or {}
         f = p.get("Filtering") or {}
-        g = p.get("GainScheduling") or {}
-        schedule = None
-        if g.get("GSActive_b"):
-            at = lambda what: [float(g[f"GS_{what}_{i}"]) for i in ("Min", "1", "2", "Max")]
-            schedule = {"x": at("x"), "kp": at("Kp"), "ti": at("Ti") if g.get("GSActiveTi_b") else None}
+        if (p.get("GainScheduling") or {}).get("GSActive_b"):
+            raise ValueError(f"{name}: scheduled controllers aren't supported")
         return M.PidModel(name, M.PidParameters(
             _number(p["Kp"]), _number(p.get("Ti_s")) or 0.0, _number(p.get("Td_s")) or 0.0, _number(p.get("u0", 50)),
             (s.get("y_min", 0.0), s.get("y_max", 100.0)), (s.get("u_min", 0.0), s.get("u_max", 100.0)), bool(s.get("doesSasPidScaleKp")),
-            _number(f.get("TimeConstant_s")) or 0.0, int(f.get("FilterOrder") or 0), bool(p.get("DelayOutputOneSample")), schedule,
+            _number(f.get("TimeConstant_s")) or 0.0, int(f.get("FilterOrder") or 0), bool(p.get("DelayOutputOneSample")),
         ), inputs, output)
     if kind == "UnitModel":
         p = x["modelParameters"]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.recursive import LowPass, RunningMean, missing
+from ..operators.recursive import Machine, RunningMean, low_pass_of, missing
 from ..plans.models import PidController, PidParameters
 from ..sources.files import shared_dir
 
@@ -38,13 +38,13 @@ class Frozen:
 
 class LowPassStep:
     def __init__(self, tc_s: float, time_base_s: float = 1.0, order: int = 1) -> None:
-        self.filter, self.tc_s, self.order, self.last = LowPass(time_base_s), tc_s, order, None
+        self.filter, self.last = Machine(low_pass_of(tc_s, time_base_s, order)), None
 
     def step(self, x: float) -> float:
         if missing(x):
             x = self.last
         self.last = x
-        return float("nan") if x is None else self.filter.step(x, self.tc_s, self.order)
+        return float("nan") if x is None else self.filter.step(x)
 
 
 class PidStep:

@@ -7,14 +7,44 @@ import pytest
 
 from sigmill.operators import recursive as C
 
-MACHINES = {
-    "low": (C.low_pass_of(5.0), lambda: lambda v, f=C.LowPass(1.0): f.step(v, 5.0)),
-    "low, order 2": (C.low_pass_of(5.0, order=2), lambda: lambda v, f=C.LowPass(1.0): f.step(v, 5.0, 2)),
-    "high": (C.high_pass_of(5.0), lambda: lambda v, f=C.HighPass(1.0): f.step(v, 5.0)),
-    "band": (C.band_pass_of(2.0, 9.0), lambda: lambda v, f=C.BandPass(1.0): f.step(v, 2.0, 9.0)),
-    "second": (C.second_order_of(5.0, 0.5), lambda: lambda v, f=C.SecondOrder(1.0): f.step(v, 5.0, 0.5)),
-    "second, off": (C.second_order_of(0.0, 0.5), lambda: lambda v, f=C.SecondOrder(1.0): f.step(v, 0.0, 0.5)),
+
+def recursion(kind):
+    """Filters at a time base of 1 s, from their definitions."""
+    def low(v, y, tc):
+        return v if y is None else v + (y - v) * tc / (1 + tc)
+
+    def run():
+        kept = {}
+
+        def step(v):
+            if kind == "low, order 2":
+                first = not kept
+                kept["i"] = 0.0 if first else low(v, kept["i"], 5.0)
+                kept["y"] = v if first else low(kept["i"], kept["y"], 5.0)
+                return kept["y"]
+            if kind.startswith("second"):
+                kept["n"] = kept.get("n", 0) + 1
+                if kind.endswith("off") or kept["n"] <= 2:
+                    kept["y"] = (v, v)
+                    return v
+                w, (y1, y2) = 2 / 5, kept["y"]
+                # (y - 2 y1 + y2) + 2 d w (y - y1) + w^2 (y - x) = 0
+                kept["y"] = ((w * w * v + 2 * y1 - y2 + w * y1) / (1 + w + w * w), y1)
+                return kept["y"][0]
+            for tc in (5.0, 2.0, 9.0):
+                kept[tc] = low(v, kept.get(tc), tc)
+            return {"low": kept[5.0], "high": v - kept[5.0], "band": kept[9.0] - kept[2.0]}[kind]
+
+        return step
+
+    return run
+
+
+FILTERS = {
+    "low": C.low_pass_of(5.0), "low, order 2": C.low_pass_of(5.0, order=2), "high": C.high_pass_of(5.0), "band": C.band_pass_of(2.0, 9.0),
+    "second": C.second_order_of(5.0, 0.5), "second, off": C.second_order_of(0.0, 0.5),
 }
+MACHINES = {k: (f, recursion(k)) for k, f in FILTERS.items()}
 
 
 @pytest.mark.parametrize("name", MACHINES)
@@ -27,6 +57,8 @@ def test_scan_equals_machine(name):
         want = [step(v) for v in x.tolist()]
         got = f.values(x, f.states(x, True, np.zeros(len(f.c))))
         assert got == pytest.approx(want, abs=1e-9)
+        machine = C.Machine(f)
+        assert [machine.step(v) for v in x.tolist()] == pytest.approx(want, abs=1e-9)
 
 
 def test_blocks_equal_machine_with_missing_samples(spark):

@@ -100,10 +100,10 @@ def test_low_pass_step(make, dt, tc):
 def test_filters_settle(make):
     x = make([3.0] * 60)
     one = lambda f: values(C.filtered(x, f), "y")
-    assert one(lambda: lambda v, f=C.HighPass(1.0): f.step(v, 5.0))[-1] == pytest.approx(0)
-    assert one(lambda: lambda v, f=C.BandPass(1.0): f.step(v, 2.0, 9.0))[-1] == pytest.approx(0)
-    assert one(lambda: lambda v, f=C.SecondOrder(1.0): f.step(v, 5.0, 0.5))[-1] == pytest.approx(3)
-    assert one(lambda: lambda v, f=C.LowPass(1.0): f.step(v, 5.0, 2))[-1] == pytest.approx(3, abs=0.01)
+    assert one(lambda: C.Machine(C.high_pass_of(5.0)).step)[-1] == pytest.approx(0)
+    assert one(lambda: C.Machine(C.band_pass_of(2.0, 9.0)).step)[-1] == pytest.approx(0)
+    assert one(lambda: C.Machine(C.second_order_of(5.0, 0.5)).step)[-1] == pytest.approx(3)
+    assert one(lambda: C.Machine(C.low_pass_of(5.0, order=2)).step)[-1] == pytest.approx(3, abs=0.01)
     assert one(lambda: C.Delay(1.0, 2.5).step)[:4] == [3, 3, 3, 3]
 
 
