@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import BLOCK, B, haloed, own
+from .regression import correlation
 
 #: Determinants below this part of the variances' product are taken for 0.
 SINGULAR = 1e-9
@@ -72,9 +73,9 @@ def strongest_shifts(df: DataFrame, main: str, others: list[str], lags: int, dt:
     Signals that never vary are left out; a lag is given where the
     correlation and the fit reach the least values.
     """
-    corr = df.groupBy("series_id").agg(*[F.corr(main, x).alias(f"_c{i}") for i, x in enumerate(others)])
+    corr = df.groupBy("series_id").agg(*[correlation(F.col(main), F.col(x)).alias(f"_c{i}") for i, x in enumerate(others)])
     flat: Column = F.array(*[F.struct(F.lit(x).alias("signal"), F.col(f"_c{i}").alias("corr")) for i, x in enumerate(others)])
-    strong = corr.select("series_id", F.inline(flat)).where("corr is not null and not isnan(corr)")
+    strong = corr.select("series_id", F.inline(flat)).where("corr is not null")
     both = strong.join(delays(df, main, others, lags, dt, block), ["series_id", "signal"], "left")
     told = (F.abs("corr") >= least_corr) & (F.col("rsq") >= least_rsq)
     return both.select("series_id", "signal", "corr", F.when(told, F.col("time_constant_s")).alias("time_constant_s"), F.when(told, F.col("delay_s")).alias("delay_s"))

@@ -68,10 +68,16 @@ def gradient(value: Column, seconds: Column, sample_time_s: float = 1.0) -> Colu
     return F.regr_slope(value, seconds / sample_time_s)
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Of the rows that have both; NULL where one doesn't vary, at which ``corr`` divides by zero."""
+    both = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(F.when(both, a)) * F.var_pop(F.when(both, b))))
+
+
 def correlations(df: DataFrame, main: str, others: list[str], ignore: Column | None = None) -> DataFrame:
     """series_id, signal, corr of each signal with `main`, strongest first within a series."""
     rows = df if ignore is None else df.where(~ignore)
-    one = rows.groupBy("series_id").agg(*[F.corr(main, s).alias(s) for s in others])
+    one = rows.groupBy("series_id").agg(*[correlation(F.col(main), F.col(s)).alias(s) for s in others])
     pairs = F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("corr")) for s in others])
     return one.select("series_id", F.inline(pairs)).orderBy("series_id", F.abs("corr").desc_nulls_last(), "signal")
 
