@@ -16,6 +16,7 @@ from ..plans import models as M
 from ..plans import plant as P
 from ..sources import files
 from ..sources.plants import plant_to_json
+from ..streaming import dataset as A
 from ..streaming import stateful as T
 from .base import BAD_EVERY, EVENTS, events, r, table
 
@@ -264,6 +265,20 @@ g as (select 0::bigint as k, series_id, ts, x as y from f where k = 0
 select series_id, ts, round(y, 6) as y from g"""
 
 
+def stream_append(spark, d):
+    """Events as points of a signal for each type; rows within ten minutes of the end are not complete."""
+    schema = table(spark, d, "events").schema
+    raw = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
+    points = raw.select(F.col("user_id").alias("series_id"), "ts", F.col("event_type").alias("signal"), F.col("value").alias("x"))
+    return T.drained(A.appended(points)).select("series_id", "k", "ts", "signal", r(F.col("x")).alias("x"))
+
+
+STREAM_APPEND = """with e as (select user_id as series_id, ts::timestamp as ts, event_type as signal, any_value(value) as x from events where event_type is not null and ts is not null group by all),
+c as (select * from e where ts <= (select max(ts)::timestamp - interval 10 minute from events)),
+t as (select series_id, ts, row_number() over (partition by series_id order by ts) - 1 as k from c group by series_id, ts), s as (select distinct series_id, signal from c)
+select t.series_id, t.k, t.ts, s.signal, round(c.x, 6) as x from t join s on s.series_id = t.series_id left join c on c.series_id = t.series_id and c.ts = t.ts and c.signal = s.signal"""
+
+
 def stream_pid(spark, d):
     out = T.drained(T.pid(_stream(spark, d).where("x is not null"), M.PidParameters(0.3, 25.0), 50.0))
     return out.groupBy("series_id").agg(F.count("*").alias("n"), r(F.max_by("y", "ts"), 5).alias("u_last"))
@@ -275,5 +290,5 @@ QUERIES = {
     "ident_closed_loop": (identified_loops, None), "ident_gain_sched": (identified_schedules, None), "disturbance_estimate": (disturbances, DISTURBANCES),
     "correlate_and_shift": (shifted_correlations, SHIFTED), "delay_search": (delay_search, DELAY_SEARCH), "plant_graph_closure": (graph_closure, GRAPH), "gain_sweep": (steady_sweep, STEADY_SWEEP),
     "csv_roundtrip": (csv_text, CSV_TEXT), "stream_running_mean": (stream_mean, STREAM_MEAN), "stream_low_pass": (stream_low_pass, STREAM_LOW_PASS),
-    "stream_pid": (stream_pid, None),
+    "stream_append_points": (stream_append, STREAM_APPEND), "stream_pid": (stream_pid, None),
 }

@@ -8,9 +8,10 @@ back with nulls, as if it had been there from the start.
 
 State is typed and kept by key in the state store: points that wait for
 their time (a map), the times of the rows so far (a list), the known
-signals (a map), the number of rows.  A timer for each waiting time makes
-its row; another ends a series that has had no point for `idle` and drops
-its state, after which the series begins anew.
+signals (a map), the number of rows.  A timer stands at the first waiting
+time and makes all rows that are complete by then; another ends a series
+that has had no point for `idle` and drops its state, after which the
+series begins anew.
 """
 
 from __future__ import annotations
@@ -38,54 +39,66 @@ class Appender(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "us bigint, signal string", "x double")
         self.times = handle.getListState("times", "us bigint")
         self.signals = handle.getMapState("signals", "signal string", "k bigint")
-        self.now = handle.getValueState("now", "rows bigint, last bigint, idle_ms bigint")
+        self.now = handle.getValueState("now", "rows bigint, due bigint, idle bigint")
 
     def _now(self) -> tuple[int, int, int]:
-        return self.now.get() if self.now.exists() else (0, -(1 << 62), 0)
+        """Rows so far, and the times (ms) of the timers for the next row and for the end; 0: none."""
+        return self.now.get() if self.now.exists() else (0, 0, 0)
+
+    def _moved(self, old: int, new: int) -> int:
+        if old != new:
+            if old:
+                self.handle.deleteTimer(old)
+            if new:
+                self.handle.registerTimer(new)
+        return new
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        count, last, idle = self._now()
-        timers, most = set(), None
+        count, due, end = self._now()
+        more, known = {}, self.waiting.exists()
         for pdf in rows:
             for us, signal, x in zip(pdf["us"].tolist(), pdf["signal"].tolist(), pdf["x"].tolist(), strict=True):
-                if not self.waiting.containsKey((us, signal)):
-                    self.waiting.updateValue((us, signal), (None if x is None or x != x else float(x),))
-                    timers.add(-(-us // 1000))
-                most = us if most is None else max(most, us)
-        for t in timers:
-            self.handle.registerTimer(t)
-        if most is not None and (end := -(-most // 1000) + self.idle_ms) > idle:
-            if idle:
-                self.handle.deleteTimer(idle)
-            self.handle.registerTimer(end)
-            self.now.update((count, last, end))
+                at = (us, signal)
+                if at not in more and not (known and self.waiting.containsKey(at)):
+                    more[at] = (None if x is None or x != x else float(x),)
+        for at, x in more.items():
+            self.waiting.updateValue(at, x)
+        if more:
+            first, last = (-(-f(us for us, _ in more) // 1000) for f in (min, max))
+            # A timer of the end that is also one for a row would be one timer.
+            self.now.update((count, self._moved(due, min(due or first, first)), self._moved(end, max(end, last + self.idle_ms))))
         yield self._out(key, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        count, last, idle = self._now()
-        due: dict[int, dict[str, float | None]] = {}
+        count, due, end = self._now()
+        until = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        points: dict[int, dict[str, float | None]] = {}
+        left = []
         for (us, signal), (x,) in self.waiting.iterator():
-            if -(-us // 1000) <= at:
-                due.setdefault(us, {})[signal] = x
+            if -(-us // 1000) <= until:
+                points.setdefault(us, {})[signal] = x
+            else:
+                left.append(-(-us // 1000))
+        known = {k[0] for k in self.signals.keys()} if points else set()
+        past = [t[0] for t in self.times.get()] if any(set(p) - known for p in points.values()) and self.times.exists() else []
         out = []
-        known = {k[0] for k in self.signals.keys()} if due else set()
-        past = [t[0] for t in self.times.get()] if any(set(p) - known for p in due.values()) and self.times.exists() else []
-        for us in sorted(due):
-            for signal in sorted(set(due[us]) - known):
+        for us in sorted(points):
+            for signal in sorted(set(points[us]) - known):
                 out += [(k, t, signal, None) for k, t in enumerate(past)]
                 self.signals.updateValue((signal,), (count,))
                 known.add(signal)
-            out += [(count, us, s, due[us].get(s)) for s in sorted(known)]
-            for signal in due[us]:
+            out += [(count, us, s, points[us].get(s)) for s in sorted(known)]
+            for signal in points[us]:
                 self.waiting.removeKey((us, signal))
-            self.times.appendValue((us,))
             past.append(us)
-            count, last = count + 1, us
-        self.now.update((count, last, idle))
-        if at >= idle:
+            count += 1
+        if points:
+            self.times.appendList([(us,) for us in sorted(points)])
+        if until >= end and not left:
             for state in (self.waiting, self.times, self.signals, self.now):
                 state.clear()
+        else:
+            self.now.update((count, self._moved(0 if due <= until else due, min(left, default=0)), end))
         yield self._out(key, out)
 
     def _out(self, key, rows: list) -> pd.DataFrame:

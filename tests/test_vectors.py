@@ -191,7 +191,7 @@ def test_streams_equal_batch(spark, tmp_path, make):
     # One file a batch; the second holds what is later than all of the first.
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(place)
     got = T.drained(T.low_pass(stream, 5.0)).orderBy("ts").collect()
-    assert len(got) in (40, 60) and ([g.y for g in got] == pytest.approx(want) if len(got) == 60 else True)
+    assert len(got) == 60 and [g.y for g in got] == pytest.approx(want)
     late = T.drained(T.frozen(spark.readStream.schema(df.schema).parquet(place))).collect()
     assert len(late) == 60 and sum(g.y for g in late) == 0
     means = T.drained(T.windowed_mean(spark.readStream.schema(df.schema).parquet(place), width="30 seconds"))
