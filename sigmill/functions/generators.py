@@ -13,10 +13,12 @@ START = "2010-01-01 00:00:00"
 
 def grid(spark: SparkSession, n: int, step_s: float = 1.0, start: str = START, series: str = "s") -> DataFrame:
     """series_id, k, ts: n times at a fixed distance."""
-    return spark.range(n).select(
-        F.lit(series).alias("series_id"), F.col("id").alias("k"),
-        (F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("id") * step_s).cast("decimal(18,6)"))).alias("ts"),
-    )
+    return spark.range(n).select(F.lit(series).alias("series_id"), F.col("id").alias("k"), time_at(F.col("id"), step_s, start).alias("ts"))
+
+
+def time_at(k: Column, step_s: float = 1.0, start: str = START) -> Column:
+    """The time of position k on a grid."""
+    return F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (k * step_s).cast("decimal(18,6)"))
 
 
 def step(k: Column, at: int, first: float, then: float) -> Column:
@@ -49,7 +51,12 @@ def noise(k: Column, amplitude: float, seed: int = 0) -> Column:
     return (F.conv(digits, 16, 10).cast("double") * 2.0**-51 - 1.0) * amplitude
 
 
+def walk_step(k: Column, amplitude: float, start: float = 0.0, seed: int = 0) -> Column:
+    """What a random walk adds at position k; ``ordered.running_sum`` adds them up."""
+    return F.when(k > 0, noise(k, amplitude, seed)).otherwise(F.lit(float(start)))
+
+
 def random_walk(k: Column, amplitude: float, start: float = 0.0, seed: int = 0) -> Column:
     """Sum of uniform steps within the series; the first sample is `start`."""
     w = Window.partitionBy("series_id").orderBy("k")
-    return F.sum(F.when(k > 0, noise(k, amplitude, seed)).otherwise(F.lit(float(start)))).over(w)
+    return F.sum(walk_step(k, amplitude, start, seed)).over(w)

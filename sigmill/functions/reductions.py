@@ -49,6 +49,18 @@ def covariation(a: Column, b: Column, norm: bool = False) -> Column:
     return both / (F.max(F.abs(a)) * F.max(F.abs(b))) if norm else both * F.count(a + b)
 
 
+def covariation_of_own(a: Column, b: Column) -> Column:
+    """Sum of products over samples that have both, each less the mean of all its own samples."""
+    both = a.isNotNull() & b.isNotNull()
+    off = (F.avg(F.when(both, a)) - F.avg(a)) * (F.avg(F.when(both, b)) - F.avg(b))
+    return (F.covar_pop(a, b) + off) * F.count_if(both)
+
+
+def after(k: Column, offset: int, x: Column) -> Column:
+    """x from position `offset` on: sums of errors leave out the samples before."""
+    return F.when(k >= offset, x)
+
+
 def mean_abs_error(a: Column, b: Column) -> Column:
     return F.coalesce(F.avg(F.abs(b - a)), F.lit(0.0))
 

@@ -175,7 +175,7 @@ def steady_input(y: Column, bias: float, gain: float, u0: float = 0.0, curvature
 
 def select(inputs: list[Column], kind: str) -> Column:
     """Row-wise MIN or MAX of the inputs that are there."""
-    return (F.least if kind == "MIN" else F.greatest)(*inputs)
+    return inputs[0] if len(inputs) == 1 else (F.least if kind == "MIN" else F.greatest)(*inputs)
 
 
 def divide_model(a: Column, b: Column, factor: float = 1.0, low: float | None = None, high: float | None = None, bad: float = BAD) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordered import numbered
+from .ordered import numbered, written
 
 
 def join_on_time(a: DataFrame, b: DataFrame, keys: list[str] = ["ts"]) -> DataFrame:  # noqa: B006
@@ -109,6 +109,16 @@ def unit_dataset(df: DataFrame, y: str, inputs: list[str], setpoint: str | None
     return df.select("series_id", "k", "ts", F.col(y).alias("y_meas"), (F.col(setpoint) if setpoint else F.lit(None).cast("double")).alias("y_set"), F.array(*inputs).alias("u"))
 
 
+def as_map(df: DataFrame, signals: list[str]) -> DataFrame:
+    """series_id, k, values: a map of signal and value."""
+    return df.select("series_id", "k", F.create_map(*[c for s in signals for c in (F.lit(s), F.col(s).cast("double"))]).alias("values"))
+
+
+def rows_after(rows: DataFrame, index: int) -> DataFrame:
+    """The rows of a matrix from position `index` on, counted from 0 again."""
+    return rows.where(F.col("k") >= index).withColumn("k", F.col("k") - index)
+
+
 def summary(df: DataFrame, signals: list[str]) -> DataFrame:
     """signal, n, n_missing, low, high: one pass over all signals."""
     aggs = [f(F.col(s)).alias(f"{s}_{n}") for s in signals for n, f in (("n", F.count), ("low", F.min), ("high", F.max))]
@@ -170,6 +180,21 @@ def append_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(moved)
 
 
+def reachable(edges: DataFrame) -> DataFrame:
+    """(a, b) -> all pairs of which b is downstream of a, each once.
+
+    The new pairs of each round are joined with the edges until there are
+    none; rounds are as many as the longest path, and cycles end them too.
+    """
+    edges = written(edges.select("a", "b").distinct(), "edges")
+    found = new = edges
+    while not new.isEmpty():
+        more = new.select("a", F.col("b").alias("m")).join(edges.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct()
+        new = written(more.join(found, ["a", "b"], "left_anti"), "paths")
+        found = found.unionByName(new)
+    return found
+
+
 def sorted_values(df: DataFrame, ascending: bool = True) -> DataFrame:
     """series_id, place, k, x: ties by position."""
     order = F.col("x").asc_nulls_last() if ascending else F.col("x").desc_nulls_last()

@@ -99,6 +99,12 @@ def held(df: DataFrame, x: Column, flag: Column, out: str, block: int = BLOCK) -
     return both.withColumn(out, F.coalesce(F.last("_u", True).over(so_far()), F.col("_old"))).drop("_b", "_u", "_old")
 
 
+def running_sum(df: DataFrame, x: Column, out: str, block: int = BLOCK) -> DataFrame:
+    """Add `out`: the sum of the samples so far; missing ones count as 0."""
+    both = carried(df.withColumn("_u", F.coalesce(x.cast("double"), F.lit(0.0))), {"_t": F.sum("_u")}, {"_t0": F.sum("_t")}, block)
+    return both.withColumn(out, F.coalesce("_t0", F.lit(0.0)) + F.sum("_u").over(so_far())).drop("_b", "_u", "_t0")
+
+
 def running_mean(df: DataFrame, x: Column, out: str, block: int = BLOCK) -> DataFrame:
     """Add `out`: the mean of the samples so far that are there, 0 before the first."""
     use = df.withColumn("_u", x.cast("double"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import control as K
+from ..operators import dataset as D
 from ..operators import lagged as L
 from ..operators import ordered as N
 from ..operators import recursive as C
@@ -203,28 +204,25 @@ select series_id, n, lag::double as delay_s, round(tc, 4) + 0.0 as time_constant
 
 
 def graph_closure(spark, d):
-    """All models downstream of each model of a plant, by joins on its edges."""
-    plant = serial_plant()
-    edges = spark.createDataFrame(sorted(plant.edges), "a string, b string")
-    reach = edges
-    for _ in range(max(1, len(plant.models) - 1).bit_length()):
-        more = reach.alias("x").join(reach.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
-        reach = reach.unionByName(more).distinct()
-    return reach.orderBy("a", "b")
+    """Everything downstream of each node, where customers and suppliers lead to their nation and nations to their region."""
+    edge = lambda t, a, ka, b, kb: table(spark, d, t).select(F.concat(F.lit(a), F.col(ka).cast("string")).alias("a"), F.concat(F.lit(b), F.col(kb).cast("string")).alias("b"))
+    return D.reachable(edge("customer", "c", "c_custkey", "n", "c_nationkey").unionByName(edge("supplier", "s", "s_suppkey", "n", "s_nationkey")).unionByName(edge("nation", "n", "n_nationkey", "r", "n_regionkey")))
 
 
-GRAPH = "select * from (values ('First', 'Second'), ('First', 'Most'), ('Second', 'Most')) as t(a, b)"
+GRAPH = """with recursive e as (select 'c' || c_custkey as a, 'n' || c_nationkey as b from customer union select 's' || s_suppkey, 'n' || s_nationkey from supplier union select 'n' || n_nationkey, 'r' || n_regionkey from nation),
+t as (select a, b from e union select t.a, e.b from t join e on e.a = t.b) select a, b from t"""
 
 
 def steady_sweep(spark, d):
-    """Steady state output over a range of inputs: the data of a gain plot."""
+    """Steady state output over the whole numbers that events reach: the data of a gain plot."""
     g = M.GainSchedParameters([[1.0], [2.0], [0.5]], [30.0, 60.0], operating_u=20.0, operating_y=5.0)
-    x = F.col("id").cast("double")
-    y = S.integrated_gain(g.operating_u, x, g.thresholds, [v[0] for v in g.gains]) + g.operating_y
-    return spark.range(101).select(x.alias("u"), r(y).alias("y"))
+    y = S.integrated_gain(g.operating_u, F.col("u"), g.thresholds, [v[0] for v in g.gains]) + g.operating_y
+    levels = events(spark, d).where("x is not null").groupBy(F.floor("x").cast("double").alias("u")).agg(F.count("*").alias("n"))
+    return levels.select("u", "n", r(y).alias("y"))
 
 
-STEADY_SWEEP = "select range::double as u, round(5 + (least(range, 30) - 20) * 1.0::double + (least(greatest(range, 30), 60) - 30) * 2.0 + (greatest(range, 60) - 60) * 0.5, 6) as y from range(101)"
+STEADY_SWEEP = f"""with {EVENTS}, l as (select floor(x) as u, count(*) as n from s where x is not null group by 1)
+select u, n, round(5 + (least(u, 30) - 20) * 1.0::double + (least(greatest(u, 30), 60) - 30) * 2.0 + (greatest(u, 60) - 60) * 0.5, 6) as y from l"""
 
 
 def csv_text(spark, d):
@@ -284,11 +282,17 @@ def stream_pid(spark, d):
     return out.groupBy("series_id").agg(F.count("*").alias("n"), r(F.max_by("y", "ts"), 5).alias("u_last"))
 
 
+STREAM_PID = f"""with recursive {EVENTS}, f as (select series_id, x, row_number() over (partition by series_id order by ts) - 1 as k from s where x is not null),
+g as (select -1::bigint as k, series_id, 0.0::double as u, 0.0::double as e from f where k = 0
+ union all select f.k, f.series_id, least(100, greatest(0, g.u + 0.3 * ((50 - x) - g.e) + 0.3 / 25::double * (50 - x))), 50 - x from g join f on f.series_id = g.series_id and f.k = g.k + 1)
+select series_id, max(k) + 1 as n, round(max_by(u, k), 5) + 0.0 as u_last from g where k >= 0 group by 1"""
+
+
 QUERIES = {
     "model_static": (static_models, STATIC_MODELS), "model_unit_dynamic": (unit_step, UNIT_STEP), "pid_controller": (pid_step, PID_STEP),
     "plant_simulate": (simulated, None), "ident_unit": (identified_units, None), "ident_pid": (identified_pids, None),
     "ident_closed_loop": (identified_loops, None), "ident_gain_sched": (identified_schedules, None), "disturbance_estimate": (disturbances, DISTURBANCES),
     "correlate_and_shift": (shifted_correlations, SHIFTED), "delay_search": (delay_search, DELAY_SEARCH), "plant_graph_closure": (graph_closure, GRAPH), "gain_sweep": (steady_sweep, STEADY_SWEEP),
     "csv_roundtrip": (csv_text, CSV_TEXT), "stream_running_mean": (stream_mean, STREAM_MEAN), "stream_low_pass": (stream_low_pass, STREAM_LOW_PASS),
-    "stream_append_points": (stream_append, STREAM_APPEND), "stream_pid": (stream_pid, None),
+    "stream_append_points": (stream_append, STREAM_APPEND), "stream_pid": (stream_pid, STREAM_PID),
 }

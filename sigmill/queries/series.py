@@ -126,6 +126,13 @@ def downsampled(spark, d):
     return O.downsample_good(events(spark, d), 4, F.col("x").isNull() | (F.col("x") > 90)).select("series_id", "block", "k", r(F.col("x")).alias("x"), "flagged")
 
 
+DOWNSAMPLED = f"""with {EVENTS}, b as (select *, x is null or x > 90 as bad from s), w as (select series_id, coalesce(min(k) filter (where not bad and k < 4), 3) as key, max(k) as last from b group by 1),
+g as (select b.*, ceil((k - key) / 4.0::double)::bigint as block, key, last from b join w using (series_id)),
+f as (select * from g where block >= 0 and key + block * 4 <= last and (block > 0 or k = key)),
+c as (select series_id, block, max_by(k, k) filter (where not coalesce(bad, false)) as gk, max_by(coalesce(x, -1e9), k) filter (where not coalesce(bad, false)) as gx, max(k) as ok, max_by(coalesce(x, -1e9), k) as ox from f group by all)
+select series_id, block, coalesce(gk, ok) as k, round(nullif(case when gk is null then ox else gx end, -1e9), 6) as x, gk is null as flagged from c"""
+
+
 def oversampled(spark, d):
     """At every hour from that of the first sample of all series to the last sample."""
     ev = events(spark, d)
@@ -369,7 +376,7 @@ QUERIES = {
     "win_moving_smooth_diff": (windows, WINDOWS), "filter_low_high_pass": (low_pass, LOW_PASS), "filter_low_pass_blocks": (low_pass_blocks, LOW_PASS_BLOCKS),
     "filter_low_pass_order_2": (low_pass_twice, LOW_PASS_TWICE),
     "filter_band_pass": (band_pass, BAND_PASS), "filter_second_order": (second_order, SECOND_ORDER), "recursive_average": (running_mean, RUNNING_MEAN),
-    "fit_score": (fit_score, FIT_SCORE), "downsample_skipping_bad": (downsampled, None), "asof_oversample": (oversampled, OVERSAMPLED),
+    "fit_score": (fit_score, FIT_SCORE), "downsample_skipping_bad": (downsampled, DOWNSAMPLED), "asof_oversample": (oversampled, OVERSAMPLED),
     "index_at_date": (index_at, INDEX_AT), "signal_period": (period, PERIOD), "series_spectrum": (spectrum, SPECTRUM), "join_on_time": (time_join, TIME_JOIN), "dataset_combine": (combined, COMBINED),
     "dataset_concat_append": (concatenated, CONCATENATED), "dataset_wide_long": (wide_long, WIDE_LONG), "dataset_summary": (summarised, SUMMARISED),
     "quality_ignore_flags": (bad_data, BAD_DATA), "quality_frozen_oversampled": (frozen_runs, FROZEN_RUNS), "unit_oversampled_factor": (unit_factor, UNIT_FACTOR), "regress_two_inputs": (regression, REGRESSION),

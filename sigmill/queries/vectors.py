@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import generators as G
+from ..operators import ordered as N
 from ..functions import predicates as P
 from ..functions import reductions as R
 from ..functions import scalar as S
@@ -207,28 +208,29 @@ SORTING = f"""with {EVENTS} select series_id, row_number() over (partition by se
 
 
 def generated(spark, d):
+    """Generated signals at the positions of each user's events."""
     k = F.col("k")
-    g = G.grid(spark, 400, 0.5)
-    return g.select(
-        "k", "ts", G.step(k, 40, 0, 1).alias("step"), G.two_steps(k, 40, 90, 0, 1, 3).alias("two"), G.three_steps(k, 40, 90, 200, 0, 1, 3, 2).alias("three"),
-        r(G.ramp(k, 101, 1, 5, 20)).alias("ramp"), r(G.sinus(k, 5, 20, 0.5)).alias("sinus"),
+    return events(spark, d).select(
+        "series_id", "k", G.time_at(k, 0.5).alias("ts"), G.step(k, 20, 0, 1).alias("step"), G.two_steps(k, 20, 40, 0, 1, 3).alias("two"),
+        G.three_steps(k, 20, 40, 55, 0, 1, 3, 2).alias("three"), r(G.ramp(k, 31, 1, 5, 10)).alias("ramp"), r(G.sinus(k, 5, 20, 0.5)).alias("sinus"),
     )
 
 
-GENERATED = """select range as k, timestamp '2010-01-01' + to_microseconds(range * 500000) as ts, case when range <= 40 then 0.0::double else 1 end as step,
-case when range <= 40 then 0.0::double when range < 90 then 1 else 3 end as two, case when range <= 40 then 0.0::double when range < 90 then 1 when range < 200 then 3 else 2 end as three,
-round(1 + least(greatest((range - 20) / 100.0::double, 0), 1) * 4, 6) as ramp, round(5 * sin(range * (2 * pi() * 0.5 / 20)), 6) + 0.0 as sinus from range(400)"""
+GENERATED = f"""with {EVENTS} select series_id, k, timestamp '2010-01-01' + to_microseconds(k * 500000) as ts, case when k <= 20 then 0.0::double else 1 end as step,
+case when k <= 20 then 0.0::double when k < 40 then 1 else 3 end as two, case when k <= 20 then 0.0::double when k < 40 then 1 when k < 55 then 3 else 2 end as three,
+round(1 + least(greatest((k - 10) / 30.0::double, 0), 1) * 4, 6) as ramp, round(5 * sin(k * (2 * pi() * 0.5 / 20)), 6) + 0.0 as sinus from s"""
 
 
 def noises(spark, d):
+    """Noise and a random walk at the positions of each user's events."""
     k = F.col("k")
-    g = G.grid(spark, 2000).withColumn("noise", G.noise(k, 2.0, 7))
-    return g.select("k", r(F.col("noise"), 9).alias("noise"), r(G.random_walk(k, 0.5, 10, 3), 9).alias("walk"))
+    ev = events(spark, d).withColumns({"noise": G.noise(k, 2.0, 7), "by": G.walk_step(k, 0.5, 10, 3)})
+    return N.running_sum(ev, F.col("by"), "walk", 24).select("series_id", "k", r(F.col("noise"), 9).alias("noise"), r(F.col("walk"), 9).alias("walk"))
 
 
 _UNIFORM = "(('0x' || substr(md5(k || ':{seed}'), 1, 13))::bigint::double / 2251799813685248 - 1)"
-NOISES = f"""with g as (select unnest(range(2000)) as k), u as (select k, {_UNIFORM.format(seed=7)} as a, {_UNIFORM.format(seed=3)} as b from g)
-select k, round(2 * a, 9) + 0.0 as noise, round(sum(case when k > 0 then b / 2 else 10 end) over (order by k), 9) + 0.0 as walk from u"""
+NOISES = f"""with {EVENTS}, u as (select series_id, k, {_UNIFORM.format(seed=7)} as a, {_UNIFORM.format(seed=3)} as b from s)
+select series_id, k, round(2 * a, 9) + 0.0 as noise, round(sum(case when k > 0 then b / 2 else 10 end) over (partition by series_id order by k), 9) + 0.0 as walk from u"""
 
 
 def array_texts(spark, d):
@@ -236,10 +238,16 @@ def array_texts(spark, d):
     return rows.select("series_id", S.array_text(F.col("v"), 4).alias("text"))
 
 
+# Decimals round half up, as Spark does; values are 0 to 10000 with two digits.
+ARRAY_TEXTS = f"""with {EVENTS}, q as (select series_id, k, x::decimal(18, 4) as x from s),
+v as (select series_id, k, case when x >= 1000 then round(x, 0)::double when x >= 100 then round(x, 1)::double else x::double end as x from q)
+select series_id, '[' || string_agg(coalesce(x::varchar, 'NaN'), ';' order by k) || ']' as text from v group by 1"""
+
+
 QUERIES = {
     "vec_arithmetic": (arithmetic, ARITHMETIC), "vec_clamps": (clamps, CLAMPS), "vec_significant_digits": (digits, DIGITS),
     "pid_scaling_schedule": (pid_scaling, PID_SCALING), "signal_names_unix_time": (names, NAMES), "vec_find_values": (find_values, FIND_VALUES),
     "index_algebra": (index_algebra, INDEX_ALGEBRA), "vec_checks": (vector_checks, VECTOR_CHECKS), "vec_reductions": (reductions, REDUCTIONS),
     "vec_pair_errors": (pair_errors, PAIR_ERRORS), "matrix_products": (matrices, MATRICES), "matrix_transpose": (transposing, TRANSPOSING),
-    "vec_sort": (sorting, SORTING), "generators": (generated, GENERATED), "noise_generators": (noises, NOISES), "vec_to_string": (array_texts, None),
+    "vec_sort": (sorting, SORTING), "generators": (generated, GENERATED), "noise_generators": (noises, NOISES), "vec_to_string": (array_texts, ARRAY_TEXTS),
 }
