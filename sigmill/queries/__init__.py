@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
-    from . import algebra, models, series, vectors
+    from . import algebra, files, models, series, vectors
 
-    return vectors.QUERIES | series.QUERIES | models.QUERIES | algebra.QUERIES
+    return vectors.QUERIES | series.QUERIES | models.QUERIES | algebra.QUERIES | files.QUERIES
 
 
 def queries() -> dict[str, Query]:

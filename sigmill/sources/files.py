@@ -65,6 +65,19 @@ def series_from_text(spark: SparkSession, content: str, sep: str = ";", time_for
     return cells.select(F.lit("text").alias("series_id"), "k", ts.alias("ts"), *[parse_number(cell(i)).alias(n) for i, n in keep[1:]])
 
 
+def series_of_texts(texts: DataFrame, signals: list[str], sep: str = ";", time_format: str = TIME_FORMAT) -> DataFrame:
+    """series_id, k, ts and signals of CSV texts (series_id, content), one a row; each has a line of names.
+
+    Signals are found by name, so texts may order them differently; one
+    that a text lacks is NULL.  Empty lines are left out.
+    """
+    lines = texts.select("series_id", F.split("content", "\r?\n").alias("_l")).select("series_id", F.split(F.col("_l")[0], f"[{sep}]").alias("_n"), F.posexplode(F.filter(F.slice("_l", 2, 1 << 30), lambda v: F.trim(v) != "")).alias("k", "_c"))
+    cells = lines.withColumn("_c", F.split("_c", f"[{sep}]", -1))
+    cell = lambda s: F.get("_c", F.nullif(F.array_position("_n", s), F.lit(0)).cast("int") - 1)
+    ts = F.try_to_timestamp(F.get("_c", F.lit(0)), F.lit(time_format)).cast("timestamp_ntz")
+    return cells.select("series_id", F.col("k").cast("bigint").alias("k"), ts.alias("ts"), *[parse_number(cell(s)).alias(s) for s in signals])
+
+
 def csv_lines(df: DataFrame, signals: list[str], sep: str = ";", digits: int = 5) -> DataFrame:
     """series_id, k, line: a header (k = -1) and a line for each sample; missing values are NaN."""
     number = lambda s: F.coalesce(significant(F.col(s), digits).cast("string"), F.lit("NaN"))
@@ -79,6 +92,31 @@ def write_csv(df: DataFrame, path: str, signals: list[str], sep: str = ";", digi
     lines.repartition("series_id").sortWithinPartitions("series_id", "k").select("series_id", "line").write.mode("overwrite").partitionBy("series_id").option("lineSep", "\r\n").text(path)
 
 
+def update_csv(df: DataFrame, path: str, signals: list[str], sep: str = ";", digits: int = 5) -> None:
+    """Append to what ``write_csv`` or this wrote: of each series the samples after the last that is there.
+
+    The new samples are files of their own in the folder of their series,
+    so what is there isn't written again; their lines have their own line
+    of names.  Spark's writer moves the files of a task into place once,
+    after it succeeded, so a failed task leaves no rows.
+    """
+    there = read_parts(df.sparkSession, path, sep).groupBy(F.col("series_id").alias("_s")).agg(F.max("ts").alias("_t"))
+    second = F.date_trunc("second", F.col("ts").cast("timestamp_ntz")).cast("timestamp_ntz")
+    more = df.join(there, F.col("series_id").cast("string") == F.col("_s"), "left").where(F.col("_t").isNull() | (second > F.col("_t"))).select(df.columns)
+    lines = csv_lines(more, signals, sep, digits)
+    lines.repartition("series_id").sortWithinPartitions("series_id", "k").select("series_id", "line").write.mode("append").partitionBy("series_id").option("lineSep", "\r\n").text(path)
+
+
+def read_parts(spark: SparkSession, path: str, sep: str = ";", time_format: str = TIME_FORMAT) -> DataFrame:
+    """series_id (text), k, ts and signals of the files in each series' folder, in the order of time."""
+    rows = spark.read.option("mode", "PERMISSIVE").csv(path, sep=sep, header=True)
+    time, *signals = [c for c in rows.columns if c != "series_id"]
+    ts = F.try_to_timestamp(F.col(f"`{time}`"), F.lit(time_format)).cast("timestamp_ntz")
+    found = rows.select(F.col("series_id").cast("string").alias("series_id"), ts.alias("ts"), F.monotonically_increasing_id().alias("_at"), *[parse_number(F.col(f"`{s}`")).alias(s) for s in signals])
+    w = Window.partitionBy("series_id").orderBy("ts", "_at")
+    return found.withColumn("k", (F.row_number().over(w) - 1).cast("bigint")).select("series_id", "k", "ts", *signals)
+
+
 def write_vector(df: DataFrame, path: str) -> None:
     """One number on a line, in order."""
     df.repartition("series_id").sortWithinPartitions("series_id", "k").select("series_id", F.coalesce(F.col("x").cast("string"), F.lit("NaN")).alias("line")).write.mode("overwrite").partitionBy("series_id").text(path)
