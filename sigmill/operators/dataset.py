@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordered import numbered, written
+from ..sources.shared import written
+from .ordered import numbered
 
 
 def join_on_time(a: DataFrame, b: DataFrame, keys: list[str] = ["ts"]) -> DataFrame:  # noqa: B006

@@ -14,29 +14,17 @@ have to give from a table with one row for each block.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from ..sources.files import shared_dir
+from ..sources.shared import written
 
 #: Samples of a block.
 BLOCK = 65_536
 KEYS = ["series_id", "_b"]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """A copy of `df` in the shared folder, which lost executors don't take with them; it goes when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def numbered(df: DataFrame, order: list[Column], out: str = "k") -> DataFrame:
     """Add `out`, the place of each row of (series_id, ...) in its series by `order`, from 0.
 

@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import reductions as R
 from ..operators import dataset as D
-from ..operators import ordered as N
 from ..sources import files
+from ..sources.shared import new_place
 from .base import EVENTS, PAIRS, events, pairs, r
 
 
-def _place(spark, name: str) -> str:
-    """A new folder that all executors share; it goes when the driver ends."""
-    path = f"{files.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
-
-
 def _series(df):
     """The series from the name of its folder."""
     return df.withColumn("series_id", F.regexp_extract("series_id", r"series_id=(-?\d+)", 1).cast("bigint"))
@@ -28,7 +18,7 @@ def _series(df):
 
 def csv_files(spark, d):
     """Each user's samples as a CSV file, read back as series."""
-    path = _place(spark, "csv")
+    path = new_place(spark, "csv")
     files.write_csv(events(spark, d), path, ["x"])
     return _series(files.read_series(spark, f"{path}/*")).select("series_id", "k", "ts", r(F.col("x"), 2).alias("x"))
 
@@ -38,7 +28,7 @@ CSV_FILES = f"with {EVENTS} select series_id, k, date_trunc('second', ts)::times
 
 def csv_appended(spark, d):
     """Files of the first samples of each user, to which the rest is appended in two steps; rows that are there already aren't written twice."""
-    path, ev = _place(spark, "csv-more"), events(spark, d)
+    path, ev = new_place(spark, "csv-more"), events(spark, d)
     files.write_csv(ev.where("k < 20"), path, ["x"])
     files.update_csv(ev.where("k < 50"), path, ["x"])
     files.update_csv(ev.where("k >= 30"), path, ["x"])
@@ -57,7 +47,7 @@ def csv_contents(spark, d):
 
 def cells(spark, d):
     """All cells of a written table as text."""
-    path, ev = _place(spark, "cells"), events(spark, d)
+    path, ev = new_place(spark, "cells"), events(spark, d)
     ev.select(F.col("series_id").cast("string").alias("user"), F.col("k").cast("string").alias("place"), F.coalesce(F.col("x").cast("string"), F.lit("none")).alias("value")).write.csv(path, header=True, sep=";")
     return files.read_strings(spark, path).select("user", "place", "value")
 
@@ -66,7 +56,7 @@ CELLS = f"with {EVENTS} select series_id::varchar as user, k::varchar as place,
 
 
 def vectors(spark, d):
-    path = _place(spark, "vectors")
+    path = new_place(spark, "vectors")
     files.write_vector(events(spark, d), path)
     return _series(files.read_vector(spark, f"{path}/*")).select("series_id", "k", r(F.col("x")).alias("x"))
 
@@ -76,7 +66,7 @@ VECTORS = f"with {EVENTS} select series_id, k, round(x, 6) as x from s"
 
 def xy(spark, d):
     """Mean over position of each user's samples as a table of named points, written and read as numbers."""
-    path = _place(spark, "xy")
+    path = new_place(spark, "xy")
     rows = events(spark, d).groupBy(F.col("k").cast("string").alias("name")).agg(F.max("k").cast("double").alias("place"), F.count("x").cast("double").alias("n"))
     files.write_xy(rows, path, ["place", "n"])
     return files.read_numbers(spark, path, ",").select(F.col("place").cast("bigint").alias("place"), F.col("n").cast("bigint").alias("n"))

@@ -106,8 +106,8 @@ RUNNING_MEAN = f"""with {EVENTS} select series_id, k, round(coalesce(avg(x) over
 def fit_score(spark, d):
     """How well the low-passed series fits the raw one; the first two samples are skipped in the deviations."""
     y = C.low_pass(events(spark, d), 5.0)
-    w = O.Window.partitionBy("series_id")
-    m = y.withColumn("m", F.avg("x").over(w)).where("k >= 2")
+    means = y.groupBy(F.col("series_id").alias("_s")).agg(F.avg("x").alias("m"))
+    m = y.where("k >= 2").join(means, F.col("series_id") == F.col("_s"))
     return m.groupBy("series_id").agg(
         r(100 * (1 - F.try_divide(F.avg(F.abs(F.col("x") - F.col("y"))), F.avg(F.abs(F.col("x") - F.col("m"))))), 4).alias("fit_score"),
         r(R.r_squared(F.col("y"), F.col("x")), 5).alias("r_squared"),
@@ -226,12 +226,14 @@ CONCATENATED = f"""with {EVENTS}, n as (select series_id, count(*) as n from s g
 select series_id, n + least(n, 3) as n, n + least(n, 3) - 1 as last, n + least(n, 3) as places, n + least(n, 2) as appended, n + least(n, 2) - 1 as last_appended from n"""
 
 
+#: The signals of the events, as they are described.
+TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
 def wide_long(spark, d):
     rows = table(spark, d, "events").select(F.col("user_id").alias("series_id"), F.col("ts").cast("date").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("signal"), F.col("value").alias("x"))
     daily = rows.groupBy("series_id", "ts", "signal").agg(F.max("x").alias("x"))
-    signals = sorted(s for (s,) in rows.where("signal is not null").select("signal").distinct().collect())
-    w = D.wide(daily, signals)
-    return D.long(w, signals).where("x is not null").select("series_id", "ts", "signal", r(F.col("x")).alias("x"))
+    return D.long(D.wide(daily, TYPES), TYPES).where("x is not null").select("series_id", "ts", "signal", r(F.col("x")).alias("x"))
 
 
 WIDE_LONG = """select user_id as series_id, date_trunc('day', ts)::timestamp as ts, event_type as signal, round(max(value), 6) as x from events

@@ -8,26 +8,16 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions.scalar import parse_number, significant
+from ..operators.ordered import numbered
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; only a local master may go without."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return (named or "/tmp/checkpoints").rstrip("/")
-
-
 def _numbered(rows: DataFrame) -> DataFrame:
     """series_id is the file; k counts its rows in the order of the file."""
-    w = Window.partitionBy("series_id").orderBy("_at")
-    marked = rows.withColumns({"series_id": F.input_file_name(), "_at": F.monotonically_increasing_id()})
-    return marked.withColumn("k", (F.row_number().over(w) - 1).cast("long")).drop("_at")
+    return numbered(rows.withColumns({"series_id": F.input_file_name(), "_line": F.monotonically_increasing_id()}), [F.col("_line")]).drop("_line")
 
 
 def read_strings(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
@@ -56,13 +46,9 @@ def read_series(spark: SparkSession, path: str, sep: str = ";", time_format: str
 
 def series_from_text(spark: SparkSession, content: str, sep: str = ";", time_format: str = TIME_FORMAT) -> DataFrame:
     """The same from a text in memory."""
-    head, *lines = content.splitlines()
-    names = [n for n in head.split(sep)]
-    keep = [(i, n) for i, n in enumerate(names) if n.strip()]
-    cells = spark.createDataFrame([(k, line.split(sep)) for k, line in enumerate(lines) if line.strip()], "k bigint, c array<string>")
-    cell = lambda i: F.get("c", F.lit(i))
-    ts = F.try_to_timestamp(cell(0), F.lit(time_format)).cast("timestamp_ntz")
-    return cells.select(F.lit("text").alias("series_id"), "k", ts.alias("ts"), *[parse_number(cell(i)).alias(n) for i, n in keep[1:]])
+    head = content.split("\n", 1)[0].strip("\r")
+    signals = [n for n in head.split(sep)[1:] if n.strip()]
+    return series_of_texts(spark.createDataFrame([("text", content)], "series_id string, content string"), signals, sep, time_format)
 
 
 def series_of_texts(texts: DataFrame, signals: list[str], sep: str = ";", time_format: str = TIME_FORMAT) -> DataFrame:
@@ -112,9 +98,8 @@ def read_parts(spark: SparkSession, path: str, sep: str = ";", time_format: str
     rows = spark.read.option("mode", "PERMISSIVE").csv(path, sep=sep, header=True)
     time, *signals = [c for c in rows.columns if c != "series_id"]
     ts = F.try_to_timestamp(F.col(f"`{time}`"), F.lit(time_format)).cast("timestamp_ntz")
-    found = rows.select(F.col("series_id").cast("string").alias("series_id"), ts.alias("ts"), F.monotonically_increasing_id().alias("_at"), *[parse_number(F.col(f"`{s}`")).alias(s) for s in signals])
-    w = Window.partitionBy("series_id").orderBy("ts", "_at")
-    return found.withColumn("k", (F.row_number().over(w) - 1).cast("bigint")).select("series_id", "k", "ts", *signals)
+    found = rows.select(F.col("series_id").cast("string").alias("series_id"), ts.alias("ts"), F.monotonically_increasing_id().alias("_line"), *[parse_number(F.col(f"`{s}`")).alias(s) for s in signals])
+    return numbered(found, [F.col("ts"), F.col("_line")]).select("series_id", "k", "ts", *signals)
 
 
 def write_vector(df: DataFrame, path: str) -> None:

@@ -9,7 +9,6 @@ they append.
 from __future__ import annotations
 
 import pickle
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.recursive import Machine, RunningMean, low_pass_of, missing
 from ..plans.models import PidController, PidParameters
-from ..sources.files import shared_dir
+from ..sources.shared import new_place
 
 OUT = "series_id {}, ts timestamp_ntz, x double, y double"
 
@@ -107,7 +106,7 @@ def windowed_mean(stream: DataFrame, delay: str = "10 minutes", width: str = "1
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now, into files in the shared folder, and read them."""
     spark: SparkSession = stream.sparkSession
-    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    place = new_place(spark, "stream")
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").option("path", f"{place}/out").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
