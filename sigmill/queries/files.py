@@ -111,7 +111,19 @@ OWN_MEANS = f"""with {PAIRS}, q as (select series_id, l_linenumber as k, case wh
 m as (select series_id, avg(a) as ma, avg(b) as mb from q group by 1)
 select series_id, round(sum((a - ma) * (b - mb)), 4) + 0.0 as cov, round(avg(abs(b - a)) filter (where k >= 2), 6) as absolute, round(avg((b - a) * (b - a)) filter (where k >= 2), 6) as square from q join m using (series_id) group by 1"""
 
+def caches(spark, d):
+    """Each user's samples and their tenth as a cache file, read back."""
+    path = new_place(spark, "cache")
+    files.write_cache(events(spark, d).withColumn("y", F.round(F.col("x") / 10, 4)), path, ["x", "y"])
+    out = files.cache_series(files.read_cache(spark, f"{path}/*"))
+    return _series(out).select("series_id", "k", "ts", "signal", r(F.col("x"), 4).alias("x"))
+
+
+CACHES = f"""with {EVENTS} select series_id, k, date_trunc('second', ts)::timestamp as ts, 'x' as signal, round(x, 4) as x from s
+union all select series_id, k, date_trunc('second', ts)::timestamp, 'y', round(round(x / 10, 4), 4) from s"""
+
 QUERIES = {
+    "cache_files": (caches, CACHES),
     "csv_files": (csv_files, CSV_FILES), "csv_appended": (csv_appended, CSV_APPENDED), "csv_contents": (csv_contents, CSV_FILES), "csv_cells": (cells, CELLS),
     "vector_files": (vectors, VECTORS), "xy_files": (xy, XY), "unit_datasets": (units, UNITS), "matrix_append_rows": (more_rows, MORE_ROWS), "vec_own_means": (own_means, OWN_MEANS),
 }

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import json
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.scalar import parse_number, significant
+from ..functions.scalar import BAD, clean, parse_number, significant
 from ..operators.ordered import numbered
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -118,41 +114,61 @@ def write_xy(df: DataFrame, path: str, columns: list[str], digits: int = 5) -> N
     df.select("name", *[significant(F.col(c), digits).alias(c) for c in columns]).write.mode("overwrite").csv(path, header=True)
 
 
+#: Entries of a cache that hold no signal (fixed values).
+NO_SIGNALS = ["Dmmy", "Negative9999", "UnixTime", "Ts", "HistoryDays"]
+#: Formats of the times of a cache.
+CACHE_TIMES = ["dd.MM.yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss"]
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """series_id, signal, constant, errors and values of cache files, one row a signal.
 
-    Only what comes before `eventData` is read.  Lines with empty places
-    in lists are dropped.  Signals of one value are constants; `errors`
-    counts values that are no number.  The signal 'Time' has its texts in
-    `times`.
+    A line holds one signal, so a file is read line by line by any number
+    of tasks.  Only what comes before `eventData` is read; lines with empty
+    places in lists are dropped, as are those that are no JSON.  Signals of
+    one value are constants; `errors` counts values that are no number.
+    The signal 'Time' has its texts in `times`.
+    """
+    # Parts of a file aren't read in order: a line's place is where its part begins, then its place in it.
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("series_id"), F.struct(F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line")).alias("at"), "value",
+    )
+    ends = lines.where(F.col("value").contains("eventData")).groupBy(F.col("series_id").alias("_s")).agg(F.min("at").alias("_end"))
+    cache = lines.join(ends, F.col("series_id") == F.col("_s"), "left").where(F.col("_end").isNull() | (F.col("at") < F.col("_end")))
+    whole = cache.where(~F.col("value").rlike(r",,|\[,|,\]"))
+    entry = F.from_json(F.regexp_extract("value", r"(\{.*\})", 1), "map<string,string>")
+    named = whole.withColumn("_e", F.map_values(entry)).where(F.size("_e") >= 2)
+    text = F.col("_e")[1]
+    values = F.when(text.startswith("["), F.from_json(text, "array<string>")).otherwise(F.array(text))
+    one = named.select("series_id", F.col("_e")[0].alias("signal"), values.alias("_v")).where(~F.col("signal").isin(NO_SIGNALS) & F.col("_v").isNotNull())
+    time, none = F.col("signal") == "Time", F.array()
+    numbers = F.transform("_v", lambda v: v.try_cast("double"))
+    return one.withColumn("numbers", F.when(time, none.cast("array<double>")).otherwise(numbers)).select(
+        "series_id", "signal", (F.size("numbers") == 1).alias("constant"), F.size(F.filter("numbers", lambda v: v.isNull())).alias("errors"), "numbers",
+        F.when(time, F.col("_v")).otherwise(none.cast("array<string>")).alias("times"),
+    )
+
+
+def write_cache(df: DataFrame, path: str, signals: list[str], bad: float = BAD) -> None:
+    """A cache file in a folder for each series: a line for its times and one for each signal; missing values are `bad`.
+
+    A signal of a series is one line, as the format has it, and so one row.
+    """
+    number = lambda s: F.coalesce(F.col(s).cast("double"), F.lit(bad)).cast("string")
+    cells = [("Time", F.concat(F.lit('"'), F.date_format("ts", CACHE_TIMES[0]), F.lit('"')))] + [(s, number(s)) for s in signals]
+    rows = df.select("series_id", "k", F.posexplode(F.array(*[F.struct(F.lit(n).alias("n"), v.alias("v")) for n, v in cells])).alias("_i", "c"))
+    packed = rows.groupBy("series_id", "_i", F.col("c.n").alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "c.v"))), lambda c: c["v"]), ",").alias("v"))
+    body = packed.select("series_id", "_i", F.format_string('{"n":"%s","v":[%s]},', "n", "v").alias("line"))
+    frame = df.select("series_id").distinct().select("series_id", F.inline(F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(t).alias("line")) for i, t in ((-1, "cacheContent = ["), (1 << 20, "];"), (1 << 21, "var eventData = [];"))])))
+    body.unionByName(frame).repartition("series_id").sortWithinPartitions("series_id", "_i").select("series_id", "line").write.mode("overwrite").partitionBy("series_id").text(path)
+
+
+def cache_series(cache: DataFrame) -> DataFrame:
+    """series_id, k, ts, signal, x: the samples of ``read_cache``, constants left out.
+
+    A signal that is longer than the times ends with them.
     """
-    @F.udf(T.ArrayType(T.StructType.fromDDL("signal string, numbers array<double>, times array<string>, errors int")))
-    def parse(text: str):
-        text = text.split("eventData")[0]
-        lines = [x for x in text.splitlines() if not re.search(r",,|\[,|,\]", x)]
-        body = "\n".join(lines)
-        body = body[body.index("["):] if "[" in body else "[]"
-        body = re.sub(r"[;\s,]*(var\s*)?$", "", body)
-        try:
-            found = json.loads(body)
-        except ValueError:
-            found = json.loads(body[: body.rindex("]") + 1])
-        out = []
-        for item in found:
-            name, values = list(item.values())[:2]
-            values = values if isinstance(values, list) else [values]
-            if name == "Time":
-                out.append((name, [], [str(v) for v in values], 0))
-            elif name not in ("Dmmy", "Negative9999", "UnixTime", "Ts", "HistoryDays"):
-                numbers, errors = [], 0
-                for v in values:
-                    try:
-                        numbers.append(float(v))
-                    except (TypeError, ValueError):
-                        numbers.append(None)
-                        errors += 1
-                out.append((name, numbers, [], errors))
-        return out
-
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("series_id"), F.inline(parse("value")))
-    return files.select("series_id", "signal", (F.size("numbers") == 1).alias("constant"), "errors", "numbers", "times")
+    ts = F.coalesce(*[F.try_to_timestamp("_t", F.lit(f)) for f in CACHE_TIMES]).cast("timestamp_ntz")
+    times = cache.where("signal = 'Time'").select("series_id", F.posexplode("times").alias("k", "_t"))
+    values = cache.where("signal <> 'Time' and not constant").select("series_id", "signal", F.posexplode("numbers").alias("k", "x"))
+    return values.join(times, ["series_id", "k"]).select("series_id", F.col("k").cast("bigint").alias("k"), ts.alias("ts"), "signal", clean(F.col("x")).alias("x"))
