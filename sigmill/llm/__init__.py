@@ -12,4 +12,7 @@ Nothing outside this subpackage imports it.  Modules:
 * ``exact_dedup``   minimal perfect hash over historical digests
 * ``token_counts``  edit-aware token counts on segment trees
 * ``url_filters``   URL rules plus trust and distrust propagation
+* ``whitening``     whitening of embeddings by computeSVD on centred rows
+* ``quality``       Bradley-Terry ranking of texts by preference pairs
+* ``divergence``    divergence of sources by joint histograms of counts
 """
