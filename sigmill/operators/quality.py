@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import WindowSpec
 
-from .ordered import BLOCK, B, carried, haloed, own, so_far
+from .ordered import BLOCK, B, carried, haloed, numbered, own, so_far
 from .series import W
 
 
@@ -21,40 +21,48 @@ def bad(signals: list[str]) -> Column:
     return any_of([F.col(s).isNull() for s in signals])
 
 
-def plus_next(flag: Column) -> Column:
-    """The flag, and the sample after it."""
-    return flag | F.coalesce(F.lag(flag).over(W()), F.lit(False))
+def plus_next(flag: Column, w: WindowSpec | None = None) -> Column:
+    """The flag, and the sample after it.
+
+    This and the next ones run over the series, or over blocks with a halo
+    of one row on both sides.
+    """
+    return flag | F.coalesce(F.lag(flag).over(w or W()), F.lit(False))
 
 
-def plus_previous(flag: Column) -> Column:
+def plus_previous(flag: Column, w: WindowSpec | None = None) -> Column:
     """The flag, and the sample before it; with a flag on the first sample also the second."""
-    first = F.coalesce(F.lag(flag).over(W()), F.lit(False)) & (F.row_number().over(W()) == 2)
-    return flag | F.coalesce(F.lead(flag).over(W()), F.lit(False)) | first
+    w = w or W()
+    return flag | F.coalesce(F.lead(flag).over(w), F.lit(False)) | (F.coalesce(F.lag(flag).over(w), F.lit(False)) & (F.col("k") == 1))
 
 
-def frozen(signals: list[str]) -> Column:
+def frozen(signals: list[str], w: WindowSpec | None = None) -> Column:
     """No signal differs from the sample before; a missing value counts as a change."""
-    same = [F.coalesce(F.col(s) == F.lag(s).over(W()), F.lit(False)) for s in signals]
-    return reduce(lambda a, b: a & b, same) & (F.row_number().over(W()) > 1)
+    same = [F.coalesce(F.col(s) == F.lag(s).over(w or W()), F.lit(False)) for s in signals]
+    return reduce(lambda a, b: a & b, same) & (F.col("k") > 0)
 
 
-def ignored(df: DataFrame, signals: list[str], given: Column | None = None, detect_frozen: bool = True) -> DataFrame:
+def ignored(df: DataFrame, signals: list[str], given: Column | None = None, detect_frozen: bool = True, block: int = BLOCK) -> DataFrame:
     """Add `ignore`: given samples with the one before, bad ones with the one after, frozen ones."""
-    flags = [plus_next(bad(signals))]
+    flags = [plus_next(bad(signals), B())]
     if given is not None:
-        flags.append(plus_previous(given))
+        flags.append(plus_previous(given, B()))
     if detect_frozen:
-        flags.append(frozen(signals))
-    return df.withColumn("ignore", any_of(flags))
+        flags.append(frozen(signals, B()))
+    return own(haloed(df, 1, 1, block).withColumn("ignore", any_of(flags)), block)
+
 
+def with_frozen(df: DataFrame, signals: list[str], out: str, block: int = BLOCK) -> DataFrame:
+    """Add the flag of ``frozen``."""
+    return own(haloed(df, 1, 0, block).withColumn(out, frozen(signals, B())), block)
 
-def frozen_runs(df: DataFrame, signals: list[str]) -> DataFrame:
+
+def frozen_runs(df: DataFrame, signals: list[str], block: int = BLOCK) -> DataFrame:
     """series_id, n_frozen, mean_run (rounded up) and min_run of frozen samples before each change."""
-    flagged = df.withColumn("_f", frozen(signals)).withColumn("_change", ~F.col("_f") & (F.row_number().over(W()) > 1))
-    runs = flagged.withColumn("_run", F.sum(F.col("_change").cast("int")).over(W()) - F.col("_change").cast("int"))
-    islands = runs.groupBy("series_id", "_run").agg(
-        F.sum(F.col("_f").cast("int")).alias("length"), F.bool_or("_change").alias("closed")
-    )
+    flagged = with_frozen(df.select("series_id", "k", *signals), signals, "_f", block).withColumn("_change", (~F.col("_f") & (F.col("k") > 0)).cast("int"))
+    runs = carried(flagged, {"_t": F.sum("_change")}, {"_t0": F.sum("_t")}, block)
+    runs = runs.withColumn("_run", F.coalesce("_t0", F.lit(0)) + F.sum("_change").over(so_far()) - F.col("_change"))
+    islands = runs.groupBy("series_id", "_run").agg(F.sum(F.col("_f").cast("int")).alias("length"), F.bool_or(F.col("_change") > 0).alias("closed"))
     return islands.groupBy("series_id").agg(
         F.sum("length").alias("n_frozen"),
         F.ceil(F.coalesce(F.avg(F.when(F.col("closed"), F.col("length"))), F.lit(0.0))).alias("mean_run"),
@@ -62,30 +70,33 @@ def frozen_runs(df: DataFrame, signals: list[str]) -> DataFrame:
     )
 
 
-def without_frozen(df: DataFrame, signals: list[str]) -> DataFrame:
+def without_frozen(df: DataFrame, signals: list[str], block: int = BLOCK) -> DataFrame:
     """Drop frozen samples of series whose mean and least run are one or more; keep others whole."""
-    runs = frozen_runs(df, signals).select("series_id", ((F.col("mean_run") >= 1) & (F.col("min_run") >= 1)).alias("_cut"))
-    return df.withColumn("_f", frozen(signals)).join(runs, "series_id", "left").where(~(F.col("_f") & F.coalesce("_cut", F.lit(False)))).drop("_f", "_cut")
+    runs = frozen_runs(df, signals, block).select("series_id", ((F.col("mean_run") >= 1) & (F.col("min_run") >= 1)).alias("_cut"))
+    return with_frozen(df, signals, "_f", block).join(runs, "series_id", "left").where(~(F.col("_f") & F.coalesce("_cut", F.lit(False)))).drop("_f", "_cut")
 
 
-def oversampled_factor(df: DataFrame, signals: list[str]) -> DataFrame:
+def oversampled_factor(df: DataFrame, signals: list[str], block: int = BLOCK) -> DataFrame:
     """series_id, factor, key: n / (n - repeats) where repeats are evenly spread, else 1 and 0.
 
     Evenly: the longest run of repeats is one less than the factor rounded
     up, and the two largest distances between repeats differ by less than
     three.  The key is where the first largest distance begins.
     """
-    flagged = df.withColumn("_f", frozen(signals))
-    sizes = flagged.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_f").cast("int")).alias("repeats"))
-    w = Window.partitionBy("series_id").orderBy("k")
-    gaps = flagged.where("_f").select("series_id", "k", (F.col("k") - F.lag("k").over(w)).alias("gap"))
-    runs = gaps.withColumn("_r", F.sum(F.coalesce((F.col("gap") != 1).cast("int"), F.lit(1))).over(w))
-    longest = runs.groupBy("series_id", "_r").count().groupBy("series_id").agg(F.max("count").alias("longest"))
-    far = gaps.where("gap is not null").groupBy("series_id", "gap").agg(F.min(F.col("k") - F.col("gap") + 1).alias("begin"))
+    sizes = df.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    runs = numbered(repeat_runs(df, signals, block), [F.col("first")])
+    lengths = runs.groupBy("series_id").agg(F.sum("length").alias("repeats"), F.max("length").alias("longest"))
+    # Repeats in a run are 1 apart, those of two runs as far as the runs.
+    near = own(haloed(runs, 1, 0, block).withColumn("_end", F.lag("last").over(B())), block)
+    gaps = near.select("series_id", F.inline(F.array(
+        F.struct((F.col("first") - F.col("_end")).alias("gap"), (F.col("_end") + 1).alias("begin")),
+        F.struct(F.when(F.col("length") > 1, F.lit(1).cast("bigint")).alias("gap"), F.when(F.col("length") > 1, F.col("first") + 1).alias("begin")),
+    ))).where("gap is not null")
+    far = gaps.groupBy("series_id", "gap").agg(F.min("begin").alias("begin"))
     ranked = far.groupBy("series_id").agg(F.max(F.struct("gap", "begin")).alias("top"), F.reverse(F.array_sort(F.collect_set("gap"))).alias("gaps"))
     two = ranked.select("series_id", F.col("top.gap").alias("g1"), F.coalesce(F.get("gaps", F.lit(1)), F.col("top.gap")).alias("g2"), F.col("top.begin").alias("key"))
-    out = sizes.join(longest, "series_id", "left").join(two, "series_id", "left")
-    factor = F.col("n") / (F.col("n") - F.col("repeats"))
+    out = sizes.join(lengths, "series_id", "left").join(two, "series_id", "left")
+    factor = F.col("n") / (F.col("n") - F.coalesce("repeats", F.lit(0)))
     ok = F.coalesce((F.col("repeats") >= 2) & (F.col("longest") + 1 == F.ceil(factor)) & (F.col("g1") - F.col("g2") < 3), F.lit(False))
     return out.select("series_id", F.when(ok, factor).otherwise(F.lit(1.0)).alias("factor"), F.when(ok, F.col("key")).otherwise(F.lit(0)).alias("key"))
 

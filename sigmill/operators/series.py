@@ -75,11 +75,11 @@ def downsample_good(df: DataFrame, factor: int, ignore: Column) -> DataFrame:
     series_id, block, k, x, flagged.
     """
     flags = df.withColumn("_bad", ignore)
-    key = F.min(F.when(~F.col("_bad") & (F.col("k") < factor), F.col("k"))).over(Window.partitionBy("series_id"))
-    keyed = flags.withColumn("_key", F.coalesce(key, F.lit(factor - 1)))
+    key = F.min(F.when(~F.col("_bad") & (F.col("k") < factor), F.col("k")))
+    ends = flags.groupBy(F.col("series_id").alias("_s")).agg(F.coalesce(key, F.lit(factor - 1)).alias("_key"), F.max("k").alias("_last"))
+    keyed = flags.join(ends, F.col("series_id").eqNullSafe(F.col("_s"))).drop("_s")
     blocks = keyed.withColumn("block", F.ceil((F.col("k") - F.col("_key")) / factor)).withColumn("_at", F.col("_key") + F.col("block") * factor)
-    last = F.max(F.col("k")).over(Window.partitionBy("series_id"))
-    blocks = blocks.withColumn("_last", last).where("block >= 0 and _at <= _last and (block > 0 or k = _key)")
+    blocks = blocks.where("block >= 0 and _at <= _last and (block > 0 or k = _key)")
     pick = F.max_by(F.struct("k", "x"), F.when(~F.col("_bad"), F.col("k")))
     own = F.max_by(F.struct("k", "x"), F.col("k"))
     out = blocks.groupBy("series_id", "block").agg(pick.alias("good"), own.alias("own"))
@@ -146,8 +146,8 @@ def subset(df: DataFrame, start: int, end: int | None) -> DataFrame:
 def subset_percent(df: DataFrame, low: float, high: float) -> DataFrame:
     """Samples floor(low n / 100) to floor(high n / 100)."""
     low, high = (min(100.0, max(0.0, p)) for p in (low, high))
-    n = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
-    return df.withColumn("_n", n).where((F.col("k") >= F.floor(F.col("_n") * (low / 100))) & (F.col("k") <= F.floor(F.col("_n") * (high / 100)))).drop("_n")
+    n = df.groupBy(F.col("series_id").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    return df.join(n, F.col("series_id").eqNullSafe(F.col("_s"))).drop("_s").where((F.col("k") >= F.floor(F.col("_n") * (low / 100))) & (F.col("k") <= F.floor(F.col("_n") * (high / 100)))).drop("_n")
 
 
 def index_at(df: DataFrame, when: Column, compat: bool = False) -> DataFrame:
@@ -179,6 +179,5 @@ def appended(df: DataFrame, more: DataFrame) -> DataFrame:
     """Rows of `more` that come after the last time of their series, in order; others are rejected."""
     last = df.groupBy("series_id").agg(F.max("ts").alias("_t"), (F.max("k") + 1).alias("_n"))
     ok = more.join(last, "series_id", "left").where(F.col("_t").isNull() | (F.col("ts") > F.col("_t"))).dropDuplicates(["series_id", "ts"])
-    w = Window.partitionBy("series_id").orderBy("ts")
-    ok = ok.withColumn("k", F.row_number().over(w) - 1 + F.coalesce("_n", F.lit(0)))
+    ok = numbered(ok.drop("k"), [F.col("ts")]).withColumn("k", F.col("k") + F.coalesce("_n", F.lit(0)))
     return df.unionByName(ok.select(*df.columns))

@@ -249,8 +249,8 @@ SUMMARISED = f"with {PAIRS} " + " union all ".join(f"select '{c}' as signal, cou
 
 def bad_data(spark, d):
     ev = events(spark, d).withColumn("y", F.when(F.col("k") % 13 == 0, None).otherwise(F.round("x", -1)))
-    out = Q.ignored(ev, ["x", "y"], given=F.col("k").isin(0, 20))
-    return out.select("series_id", "k", Q.bad(["x", "y"]).alias("bad"), Q.frozen(["y"]).alias("frozen"), "ignore", Q.outside("x", 10, 90).alias("outside"))
+    out = Q.with_frozen(Q.ignored(ev, ["x", "y"], given=F.col("k").isin(0, 20), block=16), ["y"], "frozen", 16)
+    return out.select("series_id", "k", Q.bad(["x", "y"]).alias("bad"), "frozen", "ignore", Q.outside("x", 10, 90).alias("outside"))
 
 
 BAD_DATA = f"""with {EVENTS}, q as (select *, case when k % 13 = 0 then null else round(x, -1) end as y from s),
@@ -262,9 +262,9 @@ coalesce(x < 10 or x > 90, false) as outside from t"""
 
 def frozen_runs(spark, d):
     ev = events(spark, d).withColumn("y", F.floor(F.col("k") / 3).cast("double"))
-    whole = Q.without_frozen(ev, ["y"]).groupBy("series_id").agg(F.count("*").alias("n_left"))
-    factor = Q.oversampled_factor(ev, ["y"]).select("series_id", r(F.col("factor")).alias("factor"), F.col("key").cast("long").alias("key"))
-    return Q.frozen_runs(ev, ["y"]).join(whole, "series_id").join(factor, "series_id")
+    whole = Q.without_frozen(ev, ["y"], 16).groupBy("series_id").agg(F.count("*").alias("n_left"))
+    factor = Q.oversampled_factor(ev, ["y"], 16).select("series_id", r(F.col("factor")).alias("factor"), F.col("key").cast("long").alias("key"))
+    return Q.frozen_runs(ev, ["y"], 16).join(whole, "series_id").join(factor, "series_id")
 
 
 FROZEN_RUNS = f"""with {EVENTS}, n as (select series_id, count(*) as n from s group by 1 having count(*) > 6),
