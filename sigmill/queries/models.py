@@ -12,6 +12,7 @@ from ..operators import lagged as L
 from ..operators import ordered as N
 from ..operators import recursive as C
 from ..operators import series as O
+from ..operators import units as U
 from ..plans import identify as I
 from ..plans import models as M
 from ..plans import plant as P
@@ -44,8 +45,7 @@ round(case when x / nullif(p, 0) is null then -9999 else greatest(least(x / p *
 
 def unit_step(spark, d):
     """A first-order process with a delay of two samples, driven by each series."""
-    p = M.UnitParameters([0.8], 2.0, 4.0, 2.0, u0=[10.0])
-    out = C.filtered(events(spark, d), lambda: lambda v, m=M.UnitModel("m", p, ["u"], "y"): m.step([v], 1.0)[0])
+    out = U.response(events(spark, d), ["x"], [0.8], 2.0, [10.0], time_constant_s=4.0, delay_s=2.0, block=16)
     return out.select("series_id", "k", r(F.col("y")).alias("y"))
 
 
@@ -147,15 +147,9 @@ def identified_schedules(spark, d):
 
 def disturbances(spark, d):
     """The disturbance of each loop, from the known process; the last value is the true one."""
-    model = M.UnitParameters([1.0], 5.0, 10.0, 5.0)
     loops = _loops(spark, d)
-
-    def one(pdf):
-        pdf = pdf.sort_values("k")
-        pdf["d"] = I.disturbance(pdf["y"], pdf["u"], model, 1.0)
-        return pdf[["series_id", "k", "d", "given"]]
-
-    out = loops.groupBy("series_id").applyInPandas(one, "series_id bigint, k bigint, d double, given double")
+    found = U.disturbance(loops, "y", ["u"], [1.0], bias=5.0, time_constant_s=10.0, delay_s=5.0, block=64)
+    out = found.join(loops.select("series_id", "k", "given"), ["series_id", "k"])
     return out.groupBy("series_id").agg(r(F.max_by("d", "k"), 3).alias("last"), r(F.max_by("given", "k"), 3).alias("true"))
 
 

@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigmill.operators import control, lagged, ordered, quality, regression, series, spectrum, tallqr, thresholds
+from sigmill.operators import control, lagged, ordered, quality, regression, series, spectrum, tallqr, thresholds, units
 from sigmill.operators.series import W
-from sigmill.plans.models import PidController, PidParameters
+from sigmill.plans import identify, plant
+from sigmill.plans.models import PidController, PidParameters, UnitModel, UnitParameters
 
 SAMPLES = "series_id string, k bigint, x double"
 
@@ -208,3 +209,21 @@ def test_controller_in_blocks_equals_its_steps(samples):
         for block in (4, 65_536):
             close(table(control.pid(samples, F.col("x"), F.lit(1.0), kp, ti, td, block=block), "u"), want)
     assert control.pid(samples.limit(0), F.col("x"), F.lit(1.0), 1.0, 1.0).count() == 0
+
+
+def test_units_and_disturbances_equal_their_steps(spark):
+    r = np.random.default_rng(13)
+    data = {"a": r.normal(size=(150, 3)), "b": r.normal(size=(6, 3)), "c": r.normal(size=(1, 3))}
+    df = spark.createDataFrame([(s, k, *map(float, row)) for s, v in data.items() for k, row in enumerate(v)], "series_id string, k bigint, u double, v double, y double").repartition(4)
+    for more in ({"time_constant_s": 6.0, "delay_s": 2.5}, {"time_constant_s": 4.0, "damping": 0.4}, {"curvatures": [0.5, 0.0], "unorm": [2.0, 1.0]}):
+        p = UnitParameters([1.5, -0.5], 3.0, u0=[0.5, 0.0], **more)
+        want, gone = {}, {}
+        for s, x in data.items():
+            y = plant.simulate_single(UnitModel("m", p, ["u", "v"], "y"), [x[:, 0], x[:, 1]], 1.0)
+            want |= {(s, k): (v,) for k, v in enumerate(y)}
+            gone |= {(s, k): (v,) for k, v in enumerate(identify.disturbance(x[:, 2], x[:, :2], p, 1.0))}
+        for block in (8, 65_536):
+            close(table(units.response(df, ["u", "v"], [1.5, -0.5], 3.0, [0.5, 0.0], block=block, **more), "y"), want)
+            close(table(units.disturbance(df, "y", ["u", "v"], [1.5, -0.5], bias=3.0, u0=[0.5, 0.0], block=block, **more), "d"), gone)
+    low = units.response(df, ["u"], [100.0], limits=(-1.0, 1.0)).agg(F.min("y"), F.max("y")).first()
+    assert tuple(low) == (-1.0, 1.0)
