@@ -3,7 +3,7 @@
 A state machine for each series lives in the state store; samples of a
 micro-batch go through it in time order.  Samples that aren't later than
 the last one of their series are rejected, as the batch operators do when
-they append.
+they append, and counted: `dropped` is their number so far.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from ..operators.recursive import Machine, RunningMean, low_pass_of, missing
 from ..plans.models import PidController, PidParameters
 from ..sources.shared import new_place
 
-OUT = "series_id {}, ts timestamp_ntz, x double, y double"
+OUT = "series_id {}, ts timestamp_ntz, x double, y double, dropped bigint"
 
 
 class Frozen:
@@ -57,25 +57,28 @@ class PidStep:
 
 
 def stateful(stream: DataFrame, make: Callable[[], object]) -> DataFrame:
-    """(series_id, ts, x) -> series_id, ts, x, y: a machine with step(x) over each series."""
+    """(series_id, ts, x) -> series_id, ts, x, y, dropped: a machine with step(x) over each series."""
     kind = stream.schema["series_id"].dataType.simpleString()
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
-            raw, last = state.get
+            raw, last, dropped = state.get
             machine, last = pickle.loads(raw), pd.Timestamp(last)
         else:
-            machine, last = make(), None
-        rows = pd.concat(list(parts)).sort_values("ts").drop_duplicates("ts")
+            machine, last, dropped = make(), None, 0
+        came = pd.concat(list(parts)).sort_values("ts")
+        rows = came.drop_duplicates("ts")
         if last is not None:
             rows = rows[rows["ts"] > last]
+        dropped += len(came) - len(rows)
         if len(rows):
             rows["y"] = [machine.step(float("nan") if v is None else float(v)) for v in rows["x"]]
-            state.update((pickle.dumps(machine), rows["ts"].iloc[-1].to_pydatetime()))
-            yield rows[["series_id", "ts", "x", "y"]]
+            last = rows["ts"].iloc[-1]
+        state.update((pickle.dumps(machine), last.to_pydatetime(), dropped))
+        yield rows.assign(dropped=dropped)[["series_id", "ts", "x", "y", "dropped"]] if len(rows) else pd.DataFrame(columns=["series_id", "ts", "x", "y", "dropped"])
 
     return stream.select("series_id", "ts", "x").groupBy("series_id").applyInPandasWithState(
-        run, OUT.format(kind), "machine binary, last timestamp_ntz", "append", GroupStateTimeout.NoTimeout
+        run, OUT.format(kind), "machine binary, last timestamp_ntz, dropped bigint", "append", GroupStateTimeout.NoTimeout
     )
 
 

@@ -193,7 +193,14 @@ def test_streams_equal_batch(spark, tmp_path, make):
     got = T.drained(T.low_pass(stream, 5.0)).orderBy("ts").collect()
     assert len(got) == 60 and [g.y for g in got] == pytest.approx(want)
     late = T.drained(T.frozen(spark.readStream.schema(df.schema).parquet(place))).collect()
-    assert len(late) == 60 and sum(g.y for g in late) == 0
+    assert len(late) == 60 and sum(g.y for g in late) == 0 and {g.dropped for g in late} == {0}
+    df.where("second(ts) >= 50").unionByName(df.where("second(ts) = 5")).coalesce(1).write.mode("append").parquet(place)
+    again = T.drained(T.running_mean(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(place))).collect()
+    # Its last file has 11 samples that aren't later than the ones before.
+    assert len(again) == 60 and {g.dropped for g in again} == {0}
+    df.where("second(ts) = 59").withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(1))).coalesce(1).write.mode("append").parquet(place)
+    end = T.drained(T.running_mean(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(place))).orderBy("ts").collect()
+    assert len(end) == 61 and end[-1].dropped == 11
     means = T.drained(T.windowed_mean(spark.readStream.schema(df.schema).parquet(place), width="30 seconds"))
     assert means.count() <= 2
 
