@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -111,16 +110,14 @@ def _found(df):
     return df.select("series_id", "kind", "able", r(F.col("fit_score"), 3).alias("fit_score"), "params")
 
 
-def identified_units(spark, d):
-    rows = scenario_inputs(spark, d, ["serial"]).where("scenario_id > 0").select(F.col("scenario_id").alias("series_id"), "k", F.col("Yset").alias("u"), "D")
+def _joined(rows, more):
+    return rows.join(more, ["series_id", "k"])
 
-    def estimate(pdf):
-        m = M.UnitModel("m", M.UnitParameters([1.5, 0.7], 5.0, 6.0, 3.0, u0=[50.0, 0.0]), ["u", "d"], "y")
-        u = pdf[["u", "D"]].to_numpy(float)
-        y = P.simulate_single(m, [u[:, 0], u[:, 1]], 1.0)
-        return I.identify_unit(y, u, 1.0)[0]
 
-    return _found(I.per_series(rows, estimate, ["u", "D"]))
+def identified_units(spark, d):
+    rows = scenario_inputs(spark, d, ["serial"]).where("scenario_id > 0").select(F.col("scenario_id").alias("series_id"), "k", F.col("Yset").alias("u"), "D")
+    y = U.response(rows, ["u", "D"], [1.5, 0.7], 5.0, [50.0, 0.0], time_constant_s=6.0, delay_s=3.0)
+    return _found(I.per_series(_joined(rows, y), lambda p: I.identify_unit(p["y"], p[["u", "D"]].to_numpy(float), 1.0)[0], ["u", "D", "y"]))
 
 
 def identified_pids(spark, d):
@@ -135,14 +132,11 @@ def identified_loops(spark, d):
 def identified_schedules(spark, d):
     rows = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("series_id")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(319).cast("long"))))
 
-    def estimate(pdf):
-        s = int(pdf["series_id"].iloc[0])
-        u = np.floor(pdf["k"].to_numpy() / 20)
-        g = M.GainSchedParameters([[1.0], [2.0 + s]], [7.0], [3.0], operating_u=5.0, operating_y=10.0)
-        y = P.simulate_single(M.GainSchedModel("g", g, ["u"], "y"), [u], 1.0)
-        return I.identify_gain_sched(y, u, 1.0, coarse=20, fine=10)[0]
-
-    return _found(I.per_series(rows, estimate, []))
+    s = F.col("series_id")
+    rows = rows.withColumn("u", F.floor(F.col("k") / 20).cast("double"))
+    level = 10.0 + F.when(F.col("u") <= 7, F.col("u") - 5).otherwise(2.0 + (F.col("u") - 7) * (2 + s))
+    y = C.low_pass(rows.select("series_id", "k", level.alias("x")), 3.0).select("series_id", "k", "y")
+    return _found(I.per_series(_joined(rows, y), lambda p: I.identify_gain_sched(p["y"], p["u"], 1.0, coarse=20, fine=10)[0], ["u", "y"]))
 
 
 def disturbances(spark, d):
