@@ -110,6 +110,12 @@ def _found(df):
     return df.select("series_id", "kind", "able", r(F.col("fit_score"), 3).alias("fit_score"), "params")
 
 
+def _numbers(df, **paths):
+    """Whether a fit was able and scores over 99 %, and numbers of its parameters."""
+    number = lambda path: r(F.get_json_object("params", f"$.{path}").cast("double"), 1)
+    return df.select("series_id", "able", (F.col("fit_score") > 99).alias("fits"), *[number(v).alias(k) for k, v in paths.items()])
+
+
 def _joined(rows, more):
     return rows.join(more, ["series_id", "k"])
 
@@ -117,11 +123,21 @@ def _joined(rows, more):
 def identified_units(spark, d):
     rows = scenario_inputs(spark, d, ["serial"]).where("scenario_id > 0").select(F.col("scenario_id").alias("series_id"), "k", F.col("Yset").alias("u"), "D")
     y = U.response(rows, ["u", "D"], [1.5, 0.7], 5.0, [50.0, 0.0], time_constant_s=6.0, delay_s=3.0)
-    return _found(I.per_series(_joined(rows, y), lambda p: I.identify_unit(p["y"], p[["u", "D"]].to_numpy(float), 1.0)[0], ["u", "D", "y"]))
+    found = I.per_series(_joined(rows, y), lambda p: I.identify_unit(p["y"], p[["u", "D"]].to_numpy(float), 1.0)[0], ["u", "D", "y"])
+    return _numbers(found, gain_u="gains[0]", gain_d="gains[1]", time_constant_s="time_constant_s", delay_s="delay_s")
+
+
+#: The true parameters; an input that never moves has no gain.
+IDENT_UNIT = """select n_nationkey as series_id, true as able, true as fits, 1.5::double as gain_u, case when n_nationkey % 7 = 3 then 0 else 0.7::double end as gain_d, 6::double as time_constant_s,
+3::double as delay_s from nation where n_nationkey > 0"""
 
 
 def identified_pids(spark, d):
-    return _found(I.per_series(_loops(spark, d), lambda p: I.identify_pid(p["y"], p["Yset"], p["u"], 1.0)[0], ["u", "y", "Yset"]))
+    found = I.per_series(_loops(spark, d), lambda p: I.identify_pid(p["y"], p["Yset"], p["u"], 1.0)[0], ["u", "y", "Yset"])
+    return _numbers(found, kp="kp", ti_s="ti_s")
+
+
+IDENT_PID = "select n_nationkey as series_id, true as able, true as fits, 0.5::double as kp, 20::double as ti_s from nation where n_nationkey > 0"
 
 
 def identified_loops(spark, d):
@@ -136,7 +152,11 @@ def identified_schedules(spark, d):
     rows = rows.withColumn("u", F.floor(F.col("k") / 20).cast("double"))
     level = 10.0 + F.when(F.col("u") <= 7, F.col("u") - 5).otherwise(2.0 + (F.col("u") - 7) * (2 + s))
     y = C.low_pass(rows.select("series_id", "k", level.alias("x")), 3.0).select("series_id", "k", "y")
-    return _found(I.per_series(_joined(rows, y), lambda p: I.identify_gain_sched(p["y"], p["u"], 1.0, coarse=20, fine=10)[0], ["u", "y"]))
+    found = I.per_series(_joined(rows, y), lambda p: I.identify_gain_sched(p["y"], p["u"], 1.0, coarse=20, fine=10)[0], ["u", "y"])
+    return _numbers(found, threshold="thresholds[0]", low="gains[0][0]", high="gains[1][0]", time_constant_s="time_constants_s[0]")
+
+
+IDENT_GAIN_SCHED = "select r_regionkey as series_id, true as able, true as fits, 7::double as threshold, 1::double as low, 2.0::double + r_regionkey as high, 3::double as time_constant_s from region"
 
 
 def disturbances(spark, d):
@@ -278,8 +298,8 @@ select series_id, max(k) + 1 as n, round(max_by(u, k), 5) + 0.0 as u_last from g
 
 QUERIES = {
     "model_static": (static_models, STATIC_MODELS), "model_unit_dynamic": (unit_step, UNIT_STEP), "pid_controller": (pid_step, PID_STEP),
-    "plant_simulate": (simulated, None), "ident_unit": (identified_units, None), "ident_pid": (identified_pids, None),
-    "ident_closed_loop": (identified_loops, None), "ident_gain_sched": (identified_schedules, None), "disturbance_estimate": (disturbances, DISTURBANCES),
+    "plant_simulate": (simulated, None), "ident_unit": (identified_units, IDENT_UNIT), "ident_pid": (identified_pids, IDENT_PID),
+    "ident_closed_loop": (identified_loops, None), "ident_gain_sched": (identified_schedules, IDENT_GAIN_SCHED), "disturbance_estimate": (disturbances, DISTURBANCES),
     "correlate_and_shift": (shifted_correlations, SHIFTED), "delay_search": (delay_search, DELAY_SEARCH), "plant_graph_closure": (graph_closure, GRAPH), "gain_sweep": (steady_sweep, STEADY_SWEEP),
     "csv_roundtrip": (csv_text, CSV_TEXT), "stream_running_mean": (stream_mean, STREAM_MEAN), "stream_low_pass": (stream_low_pass, STREAM_LOW_PASS),
     "stream_append_points": (stream_append, STREAM_APPEND), "stream_pid": (stream_pid, STREAM_PID),
