@@ -249,6 +249,31 @@ def test_line_candidates_at_the_threshold(n, words):
     assert np.mean([bool(keys[i] & keys[len(ones) + i]) and close[i] for i in range(len(ones))]) >= 0.9
 
 
+@pytest.mark.parametrize("hot", [10, 500])
+def test_large_buckets_of_lines_lose_no_link(spark, monkeypatch, hot):
+    """Lines of one word that share seven tenths, so that their buckets hold all of them; each has one partner."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    r = random.Random(31)
+    letters = lambda n: "".join(r.choice("abcdefghilmnoprstu") for _ in range(n))
+    shared, lines = letters(1400), []
+    for _ in range(60):
+        own = letters(600)
+        # Every piece of 12 bytes of its own part is another one in the partner.
+        lines += [shared + own, shared + "".join("x" if i % 12 == 0 else c for i, c in enumerate(own))]
+    got = line_dedup.op1(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).collect()
+    assert {x.doc_id for x in got if x.dropped} == set(range(1, 120, 2))
+
+
+def test_distances_together_equal_those_one_by_one():
+    r, ones, others = random.Random(22), [], []
+    for _ in range(3000):
+        ones.append("".join(r.choice("abcé漢") for _ in range(r.choice((1, 40, 63, 64, 65, 130, 190)))))
+        others.append("".join(c if r.random() > 0.15 else r.choice(("", "b", "xy")) for c in ones[-1]))
+    most = [int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in zip(ones, others, strict=True)]
+    got = myers.all_within(ones, others, most)
+    assert 0 < got.mean() < 1 and got.tolist() == [myers.within(*x) for x in zip(ones, others, most, strict=True)]
+
+
 def test_bounded_distance_equals_dynamic_programming():
     r = random.Random(21)
     for _ in range(400):
