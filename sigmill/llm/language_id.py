@@ -10,8 +10,8 @@ One-hot bytes make a filter a sum of table entries, one per position, so
 responses are gathered from tables of byte pairs.
 
 The network learns from a bounded sample of labelled rows (see
-``labelled_windows``), which is the only data that reaches the driver; it
-is applied to whole texts, batch by batch.
+``labelled_windows``), which reaches the driver; it is applied to whole
+texts, batch by batch.
 
 The softmax has one more class, none, taught by windows that are no
 language: windows of the sample with their letters shuffled, and random
@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .common import forget, text_tags, written
 
 WINDOW = 256
 FILTERS = 16
@@ -47,7 +48,7 @@ WIDTHS = (2, 3, 4)
 CLASSES = 128
 #: Bound of the sample: labelled rows of each language, one window of each.
 SAMPLE = 1500
-#: The filter rejects what is none with at least this probability, or that of all but a share TAIL of the held-out windows.
+#: The filter rejects what is none beyond this probability, or beyond that of all but a share TAIL of the held-out texts.
 NONE, TAIL = 0.98, 0.001
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 UND = "und"
@@ -87,19 +88,22 @@ class Model:
         sizes = np.diff(offsets)
         counts = np.maximum(1, -(-(sizes + len(WIDTHS)) // WINDOW))
         starts = np.concatenate([[0], np.cumsum(counts * WINDOW)])
-        code = np.zeros(starts[-1] + 4, np.uint8)
+        code = np.zeros(starts[-1], np.uint8)
         code[np.arange(offsets[0], offsets[-1]) - offsets[0] + np.repeat(starts[:-1] - (offsets[:-1] - offsets[0]), sizes)] = CLASS[data]
-        best = np.empty((len(code) // WINDOW, len(WIDTHS) * FILTERS), np.float32)
-        step = WINDOW * 32
-        for a in range(0, int(starts[-1]), step):
-            b = min(a + step, int(starts[-1]))
-            part = code[a : b + 4].astype(np.int64)
-            got = tables[0][part[:-1] * CLASSES + part[1:]]
-            n, f = b - a, FILTERS
-            here = best[a // WINDOW : b // WINDOW]
-            here[:, :f] = got[:n, :f].reshape(-1, WINDOW, f).max(axis=1)
-            here[:, f : 2 * f] = (got[:n, f : 2 * f] + tables[1][part[2 : n + 2]]).reshape(-1, WINDOW, f).max(axis=1)
-            here[:, 2 * f :] = (got[:n, 2 * f : 3 * f] + got[2 : n + 2, 3 * f :]).reshape(-1, WINDOW, f).max(axis=1)
+        code = code.reshape(-1, WINDOW)
+        # Filters at a window's end look into the next one, but not into that of the next text.
+        ahead = np.zeros((len(code), len(WIDTHS)), np.uint8)
+        ahead[:-1] = code[1:, : len(WIDTHS)]
+        ahead[starts[1:] // WINDOW - 1] = 0
+        best = np.empty((len(code), len(WIDTHS) * FILTERS), np.float32)
+        f = FILTERS
+        for a in range(0, len(code), 32):
+            part = np.concatenate([code[a : a + 32], ahead[a : a + 32]], axis=1).astype(np.int64)
+            got = tables[0][part[:, :-1] * CLASSES + part[:, 1:]]
+            here = best[a : a + 32]
+            here[:, :f] = got[:, :WINDOW, :f].max(axis=1)
+            here[:, f : 2 * f] = (got[:, :WINDOW, f : 2 * f] + tables[1][part[:, 2 : WINDOW + 2]]).max(axis=1)
+            here[:, 2 * f :] = (got[:, :WINDOW, 2 * f : 3 * f] + got[:, 2 : WINDOW + 2, 3 * f :]).max(axis=1)
         logs = _log_softmax(np.maximum(best, 0) @ self.weights + self.bias)
         first = starts[:-1] // WINDOW
         filled = np.clip(np.repeat(sizes, counts) - (np.arange(counts.sum()) - np.repeat(first, counts)) * WINDOW, 1, WINDOW)
@@ -180,14 +184,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_windows(docs: DataFrame, per_label: int = SAMPLE, tested: bool = False) -> list[tuple[str, str]]:
-    """(window, lang) of about `per_label` labelled rows of each language outside the held-out fold, or of it.
+def labelled_windows(docs: DataFrame, per_label: int = SAMPLE) -> list[tuple[str, str]]:
+    """(window, lang) of about `per_label` labelled rows of each language outside the held-out fold.
 
     Which rows, and where the window begins in the text, depends on a hash
     of the doc_id and the text.  Rows with a null doc_id teach nothing.
     """
-    fold = held_out(F.col("doc_id"))
-    taught = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold if tested else ~fold))
+    taught = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r[0]: r[1] for r in taught.groupBy("lang").count().collect()}
     if not counts:
         return []
@@ -231,11 +234,29 @@ def fit(docs: DataFrame, per_label: int = SAMPLE) -> Model | None:
     return train([w for w, _ in sample], [x for _, x in sample]) if sample else None
 
 
-def most_none(docs: DataFrame, model: Model, per_label: int = SAMPLE) -> float:
-    """A probability of being none that clean windows stay below, by a bounded sample of the held-out fold."""
-    sample = [w for w, _ in labelled_windows(docs, per_label, tested=True)]
-    none = _judged(model, model.tables(), pa.array(sample, pa.large_string()), np.ones(len(sample), bool))[2]
-    return max(NONE, float(np.quantile(none, 1 - TAIL))) if len(none) else NONE
+def most_none(docs: DataFrame, model: Model) -> float:
+    """A probability of being none that all but a share TAIL of the held-out fold's labelled texts stay within, NONE at least.
+
+    All of them are judged, whole, and each text counts once; only those
+    without a letter, which the filter rejects anyway, don't count.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        tables = net.tables()
+        for batch in batches:
+            none = _judged(net, tables, batch.column(2), np.ones(len(batch), bool))[2]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(none)], ["tag", "tag2", "none"])
+
+    tested = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & held_out(F.col("doc_id")) & _letter())
+    judged = tested.select(*text_tags(), "text").mapInArrow(run, "tag bigint, tag2 bigint, none double")
+    judged = written(judged.groupBy("tag", "tag2").agg(F.max("none").alias("none")), "language-none")
+    over = judged.where(F.col("none") > NONE)
+    most = int(TAIL * judged.count())
+    bound = NONE if over.count() <= most else over.orderBy(F.desc("none")).limit(most + 1).agg(F.min("none")).first()[0]
+    forget(judged)
+    return bound
 
 
 def _letter() -> Column:
@@ -259,7 +280,7 @@ def recognised(docs: DataFrame, languages: tuple[str, ...] | None = None, most:
     model = fit(docs, per_label)
     if model is None:
         return docs.where(_letter())
-    bound = most_none(docs, model, per_label) if most is None else most
+    bound = most_none(docs, model) if most is None else most
     shared, at, n = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -357,6 +357,21 @@ def test_filter_rejects_what_is_no_language(languages, spark):
     assert language_id.recognised(blank).count() == languages.count() - 3
 
 
+def test_bound_of_no_language_is_that_of_all_held_out_texts(languages, monkeypatch):
+    model = language_id.fit(languages)
+    tested = languages.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & language_id.held_out(F.col("doc_id")))
+    texts = sorted({x.text for x in tested.collect()})
+    none = language_id._judged(model, model.tables(), pa.array(texts, pa.large_string()), np.ones(len(texts), bool))[2]
+    alone = [language_id._judged(model, model.tables(), pa.array([x], pa.large_string()), np.ones(1, bool))[2][0] for x in texts]
+    assert none == pytest.approx(alone, rel=1e-5)
+    for tail in (0.0, 0.1, 0.5):
+        monkeypatch.setattr(language_id, "NONE", 0.0)
+        monkeypatch.setattr(language_id, "TAIL", tail)
+        assert language_id.most_none(languages, model) == pytest.approx(np.sort(none)[::-1][int(tail * len(none))], rel=1e-5)
+    monkeypatch.setattr(language_id, "NONE", 0.98)
+    assert language_id.most_none(languages.union(languages), model) >= 0.98
+
+
 def test_prediction_sees_only_the_text_and_all_of_it(spark, languages):
     model = language_id.fit(languages)
     long = "the and ing " * 50 + "der ung sch ich zu ß ei " * 20_000
