@@ -264,6 +264,44 @@ def test_large_buckets_of_lines_lose_no_link(spark, monkeypatch, hot):
     assert {x.doc_id for x in got if x.dropped} == set(range(1, 120, 2))
 
 
+def test_candidates_of_a_bucket_are_never_rows(spark, monkeypatch):
+    """Lines that share seven tenths and aren't similar: no table has a row for each pair of them."""
+    sizes = {}
+
+    def counted(df, name):
+        out = written(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    written = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", counted)
+    r = random.Random(32)
+    letters = lambda n: "".join(r.choice("abcdefghilmnoprstu") for _ in range(n))
+    shared = letters(420)
+    lines = [shared + letters(180) for _ in range(120)]
+    lines.append(lines[7][:-100] + "x" * 100)
+    got = line_dedup.op1(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).collect()
+    assert {x.doc_id for x in got if x.dropped} == {j for j in range(121) if any(myers.within(lines[i], lines[j], 120) for i in range(j))}
+    assert max(sizes.values()) < 3000 < 120 * 119 // 2
+
+
+@pytest.mark.parametrize("few", [0, 1 << 30])
+def test_windows_of_distances_lose_no_pair(monkeypatch, few):
+    """Near the limit, with parts moved and put in, so that paths stray from the diagonal."""
+    monkeypatch.setattr(myers, "FEW", few)
+    r, ones, others, most = random.Random(23), [], [], []
+    for _ in range(400):
+        x = "".join(r.choice("abcdé") for _ in range(r.choice((1, 63, 64, 65, 130, 300, 700))))
+        y = "".join(c if r.random() > 0.1 else r.choice(("", "b", "xy")) for c in x)
+        at, n = r.randrange(len(y) + 1), r.randrange(40)
+        y = y[:at] + "q" * n + y[at:] if r.random() < 0.5 else y[n:] + "z" * n
+        ones.append(x)
+        others.append(y)
+        most.append(max(0, myers.distance(x, y) + r.choice((-1, 0, 0, 3))))
+    want = [myers.distance(x, y) <= k for x, y, k in zip(ones, others, most, strict=True)]
+    assert 0.1 < np.mean(want) < 0.9 and myers.all_within(ones, others, most).tolist() == want
+
+
 def test_distances_together_equal_those_one_by_one():
     r, ones, others = random.Random(22), [], []
     for _ in range(3000):
