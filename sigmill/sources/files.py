@@ -74,6 +74,14 @@ def write_csv(df: DataFrame, path: str, signals: list[str], sep: str = ";", digi
     lines.repartition("series_id").sortWithinPartitions("series_id", "k").select("series_id", "line").write.mode("overwrite").partitionBy("series_id").option("lineSep", "\r\n").text(path)
 
 
+def _later(df: DataFrame, there: DataFrame) -> DataFrame:
+    """Of each series in `df` the samples after the last one in `there` (series_id as text, ts), to the second."""
+    last = there.groupBy(F.col("series_id").alias("_s")).agg(F.max("ts").alias("_t"))
+    second = F.date_trunc("second", F.col("ts").cast("timestamp_ntz")).cast("timestamp_ntz")
+    joined = df.join(last, F.col("series_id").cast("string").eqNullSafe(F.col("_s")), "left")
+    return joined.where(F.col("_t").isNull() | (second > F.col("_t"))).select(df.columns)
+
+
 def update_csv(df: DataFrame, path: str, signals: list[str], sep: str = ";", digits: int = 5) -> None:
     """Append to what ``write_csv`` or this wrote: of each series the samples after the last that is there.
 
@@ -82,20 +90,46 @@ def update_csv(df: DataFrame, path: str, signals: list[str], sep: str = ";", dig
     of names.  Spark's writer moves the files of a task into place once,
     after it succeeded, so a failed task leaves no rows.
     """
-    there = read_parts(df.sparkSession, path, sep).groupBy(F.col("series_id").alias("_s")).agg(F.max("ts").alias("_t"))
-    second = F.date_trunc("second", F.col("ts").cast("timestamp_ntz")).cast("timestamp_ntz")
-    more = df.join(there, F.col("series_id").cast("string") == F.col("_s"), "left").where(F.col("_t").isNull() | (second > F.col("_t"))).select(df.columns)
-    lines = csv_lines(more, signals, sep, digits)
+    lines = csv_lines(_later(df, _parts(df.sparkSession, path, sep)), signals, sep, digits)
     lines.repartition("series_id").sortWithinPartitions("series_id", "k").select("series_id", "line").write.mode("append").partitionBy("series_id").option("lineSep", "\r\n").text(path)
 
 
-def read_parts(spark: SparkSession, path: str, sep: str = ";", time_format: str = TIME_FORMAT) -> DataFrame:
-    """series_id (text), k, ts and signals of the files in each series' folder, in the order of time."""
+def _parts(spark: SparkSession, path: str, sep: str, time_format: str = TIME_FORMAT) -> DataFrame:
+    """series_id (text), ts, the signals and `_at`, the place of a line: file, its part and the line in that."""
     rows = spark.read.option("mode", "PERMISSIVE").csv(path, sep=sep, header=True)
     time, *signals = [c for c in rows.columns if c != "series_id"]
     ts = F.try_to_timestamp(F.col(f"`{time}`"), F.lit(time_format)).cast("timestamp_ntz")
-    found = rows.select(F.col("series_id").cast("string").alias("series_id"), ts.alias("ts"), F.monotonically_increasing_id().alias("_line"), *[parse_number(F.col(f"`{s}`")).alias(s) for s in signals])
-    return numbered(found, [F.col("ts"), F.col("_line")]).select("series_id", "k", "ts", *signals)
+    # Files are named by the number of the task that wrote them; parts of a file aren't read in order.
+    file = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("bigint")
+    at = F.struct(file.alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line"))
+    return rows.select(F.col("series_id").cast("string").alias("series_id"), ts.alias("ts"), at.alias("_at"), *[F.nanvl(parse_number(F.col(f"`{s}`")), F.lit(None)).alias(s) for s in signals])
+
+
+def read_parts(spark: SparkSession, path: str, sep: str = ";", time_format: str = TIME_FORMAT) -> DataFrame:
+    """series_id (text), k, ts and signals of the files in each series' folder, or of files of many series, in the order of time."""
+    return numbered(_parts(spark, path, sep, time_format), [F.col("ts"), F.col("_at")]).drop("_at")
+
+
+def write_shared(df: DataFrame, path: str, signals: list[str], sep: str = ";", digits: int = 5, mode: str = "overwrite") -> None:
+    """CSV files of many series, whose first column is the series; its lines are in order, over one file or several.
+
+    The number of files follows from the size of the data, not from the
+    number of series, so this is for series too many to have a folder each.
+    """
+    number = lambda s: F.coalesce(significant(F.col(s), digits).cast("string"), F.lit("NaN"))
+    rows = df.select(F.col("series_id"), "k", F.date_format("ts", TIME_FORMAT).alias("Time"), *[number(s).alias(s) for s in signals])
+    sort = rows.repartitionByRange("series_id", "k").sortWithinPartitions("series_id", "k")
+    sort.drop("k").write.mode(mode).csv(path, header=True, sep=sep, lineSep="\r\n")
+
+
+def update_shared(df: DataFrame, path: str, signals: list[str], sep: str = ";", digits: int = 5) -> None:
+    """Append to what ``write_shared`` or this wrote, as files beside those that are there: of each series the samples after the last that is there."""
+    write_shared(_later(df, _parts(df.sparkSession, path, sep)), path, signals, sep, digits, "append")
+
+
+def read_shared(spark: SparkSession, path: str, sep: str = ";", time_format: str = TIME_FORMAT) -> DataFrame:
+    """series_id (text), k, ts and signals of what ``write_shared`` wrote, in the order of its lines."""
+    return numbered(_parts(spark, path, sep, time_format), [F.col("_at")]).drop("_at")
 
 
 def write_vector(df: DataFrame, path: str) -> None:
